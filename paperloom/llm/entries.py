@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from paperloom.llm import folds, language
+from paperloom.llm import folds, language, mixing
 from paperloom.session import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,5 +19,10 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", folds.held_out().alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
-QUERIES: dict[str, Query] = {"op9_language": op9_language}
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(read(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "shards")
+
+
+QUERIES: dict[str, Query] = {"op9_language": op9_language, "op10_mixing": op10_mixing}
 ORACLE_SQL: dict[str, str] = {}
