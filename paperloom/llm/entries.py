@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import decontamination, folds, language, mixing
+from paperloom.llm import decontamination, folds, language, mixing, ngram_join
 from paperloom.session import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,33 @@ FROM d LEFT JOIN hits USING (rid) LEFT JOIN its USING (rid)
 """
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = ngram_join.join(read(spark, sf_dir, "documents"))
+    return joined.select("doc_id", "class_id", "n_links", "n_shingles")
+
+
+OP6_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+g AS (
+  SELECT DISTINCT doc_id, array_to_string(w[s:s + 4], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS s FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+e AS (
+  SELECT x.a, x.b FROM (
+    SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS c FROM g p JOIN g q USING (g) WHERE p.doc_id <> q.doc_id GROUP BY 1, 2) x
+  JOIN n na ON na.doc_id = x.a JOIN n nb ON nb.doc_id = x.b
+  WHERE 5 * x.c >= 4 * (na.n + nb.n - x.c)),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT a, min(b) AS least FROM r GROUP BY a),
+l AS (SELECT a, count(*) AS n_links FROM e GROUP BY a)
+SELECT d.doc_id, least(d.doc_id, coalesce(c.least, d.doc_id)) AS class_id, coalesce(l.n_links, 0) AS n_links, coalesce(n.n, 0) AS n_shingles
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.a = d.doc_id LEFT JOIN l ON l.a = d.doc_id
+"""
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = language.learn(docs.where(~folds.held_out()))
@@ -59,5 +86,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "shards")
 
 
-QUERIES: dict[str, Query] = {"op1_decontamination": op1_decontamination, "op9_language": op9_language, "op10_mixing": op10_mixing}
-ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL}
+QUERIES: dict[str, Query] = {"op1_decontamination": op1_decontamination, "op6_ngram_join": op6_ngram_join, "op9_language": op9_language, "op10_mixing": op10_mixing}
+ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op6_ngram_join": OP6_SQL}
