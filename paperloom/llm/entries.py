@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import decontamination, folds, language, mixing, ngram_join
+from paperloom.llm import decontamination, folds, language, mixing, ngram_join, quality, secrets
 from paperloom.session import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,11 @@ FROM d LEFT JOIN hits USING (rid) LEFT JOIN its USING (rid)
 """
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random")
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = ngram_join.join(read(spark, sf_dir, "documents"))
     return joined.select("doc_id", "class_id", "n_links", "n_shingles")
@@ -74,6 +79,13 @@ FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.a = d.doc_id LEFT JOI
 """
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = quality.learn(docs, read(spark, sf_dir, "labels").where(~folds.held_out()))
+    scored = quality.score(docs, machine)
+    return scored.select("doc_id", folds.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = language.learn(docs.where(~folds.held_out()))
@@ -86,5 +98,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "shards")
 
 
-QUERIES: dict[str, Query] = {"op1_decontamination": op1_decontamination, "op6_ngram_join": op6_ngram_join, "op9_language": op9_language, "op10_mixing": op10_mixing}
+QUERIES: dict[str, Query] = {"op1_decontamination": op1_decontamination, "op4_secrets": op4_secrets, "op6_ngram_join": op6_ngram_join, "op8_quality": op8_quality, "op9_language": op9_language, "op10_mixing": op10_mixing}
 ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op6_ngram_join": OP6_SQL}
