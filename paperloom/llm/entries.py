@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import decontamination, folds, language, mixing, ngram_join, quality, secrets
+from paperloom.llm import decontamination, folds, html_tree, language, mixing, ngram_join, quality, secrets
 from paperloom.session import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,6 +79,10 @@ FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.a = d.doc_id LEFT JOI
 """
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_tree.extract(read(spark, sf_dir, "pages"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     machine = quality.learn(docs, read(spark, sf_dir, "labels").where(~folds.held_out()))
@@ -98,5 +102,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "shards")
 
 
-QUERIES: dict[str, Query] = {"op1_decontamination": op1_decontamination, "op4_secrets": op4_secrets, "op6_ngram_join": op6_ngram_join, "op8_quality": op8_quality, "op9_language": op9_language, "op10_mixing": op10_mixing}
+QUERIES: dict[str, Query] = {"op1_decontamination": op1_decontamination, "op4_secrets": op4_secrets, "op6_ngram_join": op6_ngram_join, "op7_html": op7_html, "op8_quality": op8_quality, "op9_language": op9_language, "op10_mixing": op10_mixing}
 ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op6_ngram_join": OP6_SQL}
