@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import decontamination, folds, html_tree, language, mixing, ngram_join, quality, secrets
+from paperloom.llm import decontamination, folds, html_tree, language, licenses, mixing, ngram_join, quality, secrets, spotsigs, token_counts
 from paperloom.session import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,11 +47,52 @@ FROM d LEFT JOIN hits USING (rid) LEFT JOIN its USING (rid)
 """
 
 
+def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.edited(read(spark, sf_dir, "documents"))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.context_limits(token_counts.lengths(read(spark, sf_dir, "documents")))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random")
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
+def _licenses_sql() -> str:
+    """The same scan in DuckDB SQL, from the same fixed values."""
+
+    def quoted(text: str) -> str:
+        return "'" + text.replace("'", "''") + "'"
+
+    def lines(column: str) -> str:
+        out = f"lower(coalesce({column}, ''))"
+        for old, new in licenses.SPELLINGS:
+            out = f"replace({out}, {quoted(old)}, {quoted(new)})"
+        return f"regexp_replace(regexp_replace({out}, {quoted(licenses.SYMBOLS)}, ' ', 'g'), {quoted(licenses.COPYRIGHT_LINE)}, '', 'g')"
+
+    def canonical(column: str) -> str:
+        return f"trim(regexp_replace({column}, '[ ' || chr(10) || ']+', ' ', 'g'))"
+
+    notices = [(k, t) for k, ts in licenses.NOTICES.items() for t in ts]
+    rows = ", ".join(f"({quoted(k)}, {quoted(t)}, {i >= len(licenses.TEXTS)})" for i, (k, t) in enumerate([*licenses.TEXTS.items(), *notices]))
+    return f"""
+WITH raw(license, text, notice) AS (VALUES {rows}),
+known AS (SELECT license, notice, {canonical(lines("text"))} AS body FROM raw),
+d AS (SELECT row_number() OVER () AS rid, doc_id, {lines("text")} AS lines FROM documents),
+hit AS (
+  SELECT rid, string_agg(DISTINCT k.license, ',' ORDER BY k.license) AS line_licenses
+  FROM (SELECT rid, trim(unnest(string_split(lines, chr(10)))) AS line FROM d) l JOIN known k ON k.notice AND k.body = l.line GROUP BY rid)
+SELECT doc_id, sha256({canonical("lines")}) AS digest, k.license, coalesce(line_licenses, '') AS line_licenses
+FROM d LEFT JOIN hit USING (rid) LEFT JOIN known k ON sha256(k.body) = sha256({canonical("lines")})
+"""
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = ngram_join.join(read(spark, sf_dir, "documents"))
     return joined.select("doc_id", "class_id", "n_links", "n_shingles")
@@ -102,5 +143,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "shards")
 
 
-QUERIES: dict[str, Query] = {"op1_decontamination": op1_decontamination, "op4_secrets": op4_secrets, "op6_ngram_join": op6_ngram_join, "op7_html": op7_html, "op8_quality": op8_quality, "op9_language": op9_language, "op10_mixing": op10_mixing}
-ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op6_ngram_join": OP6_SQL}
+QUERIES: dict[str, Query] = {"op1_decontamination": op1_decontamination, "op2_spotsigs": op2_spotsigs, "op3_token_counts": op3_token_counts, "op4_secrets": op4_secrets, "op5_licenses": op5_licenses, "op6_ngram_join": op6_ngram_join, "op7_html": op7_html, "op8_quality": op8_quality, "op9_language": op9_language, "op10_mixing": op10_mixing}
+ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op5_licenses": _licenses_sql(), "op6_ngram_join": OP6_SQL}
