@@ -42,15 +42,22 @@ def ship(spark: SparkSession) -> None:
     context._paperloom_shipped = True
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` in the folder that spark.checkpoint.dir names.
-
-    Only where the cluster names none (as in tests) is a temporary one set.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a temporary one only where the cluster names none."""
     context = spark.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir", None) and context._jsc.sc().getCheckpointDir().isEmpty():
+    named = context.getConf().get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    found = context._jsc.sc().getCheckpointDir()
+    if found.isEmpty():
         context.setCheckpointDir(tempfile.mkdtemp(prefix="paperloom-checkpoint-"))
+        found = context._jsc.sc().getCheckpointDir()
+    return found.get()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` with a copy in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
