@@ -5,9 +5,10 @@
 2. Chosen paths: in each of ``runs`` runs a set joins the bucket of one sampled token, so that two
    sets meet with probability J a run. Small buckets are compared by brute force on sketches.
    A bucket of more than ``BUCKET`` sets is split again on ``CHILDREN`` further tokens, after its sets were compared to
-   one of them, the pivot: sets anywhere near it are tied to it, and the very near ones, whose
-   partners are then tied to it as well by the triangle inequality, leave. What is still crowded
-   after ``ROUNDS`` rounds is tied to its pivot whole. Ties only say "verify together".
+   one of them, the pivot. Where many are near the pivot (a crowd of near copies, which no token
+   splits), all that may have a near one for a partner, by the triangle inequality, are tied to the pivot, and the
+   near ones leave. What is still crowded after ``ROUNDS`` rounds is tied to its pivot whole. Ties only say
+   "verify together".
 3. Ties form candidate groups, whose texts are compared exactly, in blocks of bounded size; each
    block pair of a large group is a task of its own. Only per-document counts and a spanning
    forest leave a task, so no group is expanded into its pairs.
@@ -35,15 +36,19 @@ from paperloom.session import checkpoint
 
 COORDINATES = 96
 BUCKET = 800
-CHILDREN = 4
+CHILDREN = 3
 ROUNDS = 8
-BLOCK_SETS = 300
+#: A crowd is dense if so many of its sets are near its pivot.
+DENSE = 0.25
+BLOCK_SETS = 250
 BLOCK_SHINGLES = 1 << 20
 _RNG = np.random.default_rng(20240229)
 _ODD = _RNG.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _XOR = _RNG.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
 #: Five standard deviations of a sketch's estimate at the usual threshold.
 _SLACK = 0.2
+#: Three standard deviations: in a crowd a pair has further runs to be seen in.
+_SLACK_IN_CROWD = 0.12
 
 
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
@@ -130,21 +135,16 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.concat_tables(pending)
 
 
-def _roots(n: int, pairs: np.ndarray) -> np.ndarray:
-    """The least member each of n things is tied to."""
-    parent = list(range(n))
-
-    def top(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    for a, b in pairs.tolist():
-        a, b = top(a), top(b)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-    return np.array([top(i) for i in range(n)])
+def _roots(tied: np.ndarray) -> np.ndarray:
+    """The least member that each thing is tied to, from a symmetric matrix of ties."""
+    n = len(tied)
+    labels = np.arange(n)
+    while True:
+        least = np.minimum(labels, np.where(tied, labels[None, :], n).min(axis=1, initial=n))
+        least = least[least]
+        if (least == labels).all():
+            return labels
+        labels = least
 
 
 def _ties_in(sets: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -152,18 +152,15 @@ def _ties_in(sets: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, threshol
     sets, first = np.unique(sets, return_index=True)
     sizes, sketches = sizes[first], sketches[first]
     goal = (threshold - _SLACK) * COORDINATES
-    pairs = []
+    tied = np.zeros((len(sets), len(sets)), dtype=bool)
     for i in range(len(sets) - 1):
         like = (sketches[i + 1 :] == sketches[i]).sum(axis=1) >= goal
-        like &= np.minimum(sizes[i + 1 :], sizes[i]) >= threshold * np.maximum(sizes[i + 1 :], sizes[i])
-        if like.any():
-            others = np.flatnonzero(like) + i + 1
-            pairs.append(np.column_stack([np.full(len(others), i), others]))
-    if not pairs:
+        tied[i, i + 1 :] = like & (np.minimum(sizes[i + 1 :], sizes[i]) >= threshold * np.maximum(sizes[i + 1 :], sizes[i]))
+    if not tied.any():
         return sets[:0], sets[:0]
-    roots = _roots(len(sets), np.concatenate(pairs))
-    tied = roots != np.arange(len(sets))
-    return sets[tied], sets[roots[tied]]
+    roots = _roots(tied | tied.T)
+    moved = roots != np.arange(len(sets))
+    return sets[moved], sets[roots[moved]]
 
 
 def _edges(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
@@ -215,31 +212,20 @@ def _buckets(table: pa.Table, threshold: float) -> tuple[list[np.ndarray], list[
     return a, b
 
 
-def _pivoted(rows: DataFrame, threshold: float, last: bool) -> DataFrame:
-    """Rows of crowded buckets with ``tie`` (to their pivot, or null) and ``stay``.
-
-    A set of estimated likeness ``near`` to the pivot is at distance 1 - threshold + slack at most;
-    any partner of it is then tied to the pivot too, so it need not stay.
-    """
-    near, far = threshold, max(0.0, 2 * threshold - 1 - 2 * _SLACK)
+def _likened(rows: DataFrame) -> DataFrame:
+    """Rows of crowded buckets with the bucket's pivot and their estimated likeness to it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            at = {name: i for i, name in enumerate(batch.schema.names)}
-            mine, pivot = (np.frombuffer(b"".join(batch.column(at[c]).to_pylist()), dtype=np.uint16).reshape(-1, COORDINATES) for c in ("sketch", "pivot_sketch"))
-            like = (mine == pivot).mean(axis=1)
-            tied = (like >= far) | last
-            stay = (like < near) & (not last)
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(at[c]) for c in ("path", "set_hash", "n", "sketch")), pa.array(np.where(tied, batch.column(at["pivot"]).to_numpy(), 0), pa.int64(), mask=~tied), pa.array(stay)],
-                names=["path", "set_hash", "n", "sketch", "tie", "stay"],
-            )
+            if batch.num_rows:
+                mine, pivot = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint16).reshape(-1, COORDINATES) for i in (3, 5))
+                like = pa.array((mine == pivot).mean(axis=1))
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), like], names=["path", "set_hash", "n", "sketch", "pivot", "like"])
 
     pivots = rows.groupBy("path").agg(F.min_by(F.struct("set_hash", "sketch"), F.xxhash64("path", "set_hash")).alias("p"))
     pivots = pivots.select("path", F.col("p.set_hash").alias("pivot"), F.col("p.sketch").alias("pivot_sketch"))
-    return rows.join(pivots, "path").mapInArrow(run, "path long, set_hash long, n long, sketch binary, tie long, stay boolean")
+    both = rows.join(pivots, "path").select("path", "set_hash", "n", "sketch", "pivot", "pivot_sketch")
+    return both.mapInArrow(run, "path long, set_hash long, n long, sketch binary, pivot long, like double")
 
 
 def candidate_ties(sets: DataFrame, threshold: float = 0.8, runs: int = 6) -> DataFrame:
@@ -254,10 +240,17 @@ def candidate_ties(sets: DataFrame, threshold: float = 0.8, runs: int = 6) -> Da
         ties.append(_brute_force(rows if none else rows.join(crowded, "path", "left_anti"), threshold))
         if none:
             break
-        seen = checkpoint(_pivoted(rows.join(crowded, "path", "left_semi"), threshold, turn == ROUNDS - 1))
-        ties.append(seen.where("tie is not null").select(F.col("set_hash").alias("a"), F.col("tie").alias("b")))
+        seen = checkpoint(_likened(rows.join(crowded, "path", "left_semi")))
+        near, last = 2 * threshold - 1 + 0.05, turn == ROUNDS - 1
+        dense = seen.groupBy("path").agg(F.avg((F.col("like") >= near).cast("int")).alias("share")).select("path", (F.col("share") >= DENSE).alias("dense"))
+        seen = seen.join(dense, "path")
+        far = near - (1 - threshold) - 2 * _SLACK_IN_CROWD
+        tied = F.lit(last) | (F.col("dense") & (F.col("like") >= far))
+        ties.append(seen.where(tied).select(F.col("set_hash").alias("a"), F.col("pivot").alias("b")))
+        if last:
+            break
         further = F.array(*[_token(F.col("path"), F.pmod(F.xxhash64("path", F.lit(j)), F.lit(COORDINATES)).cast("int")) for j in range(CHILDREN)])
-        rows = seen.where("stay").select(*columns, F.explode(further).alias("path"))
+        rows = seen.where(~F.col("dense") | (F.col("like") < near)).select(*columns, F.explode(further).alias("path"))
     out = ties[0]
     for more in ties[1:]:
         out = out.unionByName(more)
@@ -281,8 +274,7 @@ def _exact(rows: DataFrame, threshold: float, width: int) -> DataFrame:
             if side.any() and not side.all():
                 linked &= side[:, None] != side[None, :]
             links = linked @ copies
-            a, b = np.nonzero(np.triu(linked))
-            roots = _roots(len(sets), np.column_stack([a, b]))
+            roots = _roots(linked)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (hashes, hashes[roots], links)], names=["set_hash", "root", "links"])
 
     return rows.repartition("part").sortWithinPartitions("part").mapInArrow(run, "set_hash long, root long, links long")
@@ -360,10 +352,11 @@ def firsts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshol
     """One document of each class, the one with the least id, with all columns."""
     joined = checkpoint(join(docs, doc_id, text, threshold, width).select("key", "first"))
     columns = docs.columns
+    own, times = (next(n for i in range(len(columns) + 1) if (n := f"{base}{i}") not in columns) for base in ("key_", "rows_"))
     keys = joined.groupBy("key").agg(F.bool_or("first").alias("first"), F.count(F.lit(1)).alias("rows"))
-    kept = keys.where("first").select(F.col("key").alias("_key"), F.col("rows").alias("_rows"))
-    rows = docs.withColumn("_key", _key(doc_id, text)).join(kept, "_key")
+    kept = keys.where("first").select(F.col("key").alias(own), F.col("rows").alias(times))
+    rows = docs.withColumn(own, _key(doc_id, text)).join(kept, own)
     if keys.where("rows > 1").isEmpty():
         return rows.select(*columns)
-    once = rows.where("_rows > 1").dropDuplicates(["_key"])
-    return rows.where("_rows = 1").unionByName(once).select(*columns)
+    once = rows.where(F.col(times) > 1).dropDuplicates([own])
+    return rows.where(F.col(times) == 1).unionByName(once).select(*columns)
