@@ -271,7 +271,7 @@ def _exact(rows: DataFrame, threshold: float, width: int) -> DataFrame:
             if not len(sets):
                 continue
             linked = _linked(sets, threshold)
-            if side.any() and not side.all():
+            if side[0]:  # a pair of different blocks, one of which may be empty
                 linked &= side[:, None] != side[None, :]
             links = linked @ copies
             roots = _roots(linked)
@@ -331,8 +331,9 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold:
     texts = docs.select(_key(doc_id, text).alias("key"), F.col(text).cast("string").alias("text")).join(placed, "key")
     other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")
     pairs = texts.select("set_hash", "copies", "grp", "own", "text", other)
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
     part = F.xxhash64("grp", F.least("own", "other"), F.greatest("own", "other"))
-    compared = checkpoint(_exact(pairs.select(part.alias("part"), (F.col("own") > F.col("other")).cast("int").alias("side"), "set_hash", "copies", "text"), threshold, width))
+    compared = checkpoint(_exact(pairs.select(part.alias("part"), side.alias("side"), "set_hash", "copies", "text"), threshold, width))
     links = compared.groupBy("set_hash").agg(F.sum("links").alias("links"))
     classes = components(compared.select(F.col("set_hash").alias("a"), F.col("root").alias("b"))).withColumnsRenamed({"node": "set_hash"})
     known = sets.join(links, "set_hash", "left").join(classes, "set_hash", "left").where("copies > 1 or links > 0")
