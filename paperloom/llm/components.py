@@ -8,18 +8,26 @@ from pyspark.sql import functions as F
 from paperloom.session import checkpoint
 
 
+def _doubled(points: DataFrame) -> DataFrame:
+    """Pointers of twice as many steps, and whether they lead elsewhere."""
+    further = points.select(F.col("node").alias("point"), F.col("point").alias("further"))
+    return points.join(further, "point").select("node", F.col("further").alias("point"), (F.col("further") != F.col("point")).alias("moved"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of the edges (a, b); the label is the least node it reaches.
 
-    Each round points every node at its least neighbour and keeps the edges between different
-    points; a star is done in one round, a chain in about the logarithm of its length. A hub's edges
-    are pre-aggregated before they meet. Nulls and self-loops are ignored.
+    Each round points every node at its least neighbour, follows the pointers to their roots by doubling,
+    and keeps the edges between different roots; a star is done in one round, a chain in the
+    logarithm of its length. A hub's edges are pre-aggregated before they meet. Nulls and self-loops are ignored.
     """
     edges = checkpoint(edges.select("a", "b").where("a <> b").distinct())
     labels = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         points = checkpoint(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("point")))
+        while not _doubled(points).where("moved").isEmpty():
+            points = checkpoint(_doubled(points).select("node", "point"))
         if labels is None:
             labels = points.select("node", F.col("point").alias("label"))
         else:
