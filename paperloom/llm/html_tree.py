@@ -75,7 +75,8 @@ NOT_ARTICLES = frozenset("ad ads advert advertisement comment comments reply rep
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-_DIGITS = re.compile(r"\d+")
+#: Numbers in ids, and long ones in classes, tell pages apart and not kinds of elements.
+_DIGITS = {"id": re.compile(r"\d+"), "class": re.compile(r"\d{3,}")}
 
 
 class _Page:
@@ -117,7 +118,7 @@ class _Page:
             for m in _ATTRIBUTE.finditer(attributes):
                 name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
                 if name in ("class", "id"):
-                    value = _DIGITS.sub("", value)
+                    value = _DIGITS[name].sub("", value)
                     label += ("." if name == "class" else "#") + ".".join(sorted(value.split()))
                     if tag not in ("html", "body"):
                         names = NOT_ARTICLES if tag in TOP else NAMES
@@ -142,7 +143,8 @@ class _Page:
         for i in range(len(self.stack) - 1, 0, -1):
             tag = self.stack[i][0]
             if tag in tags:
-                self._end_block()
+                if any(open_tag[0] in BLOCK for open_tag in self.stack[i:]):
+                    self._end_block()
                 del self.stack[i:]
                 return
             if tag in scopes:
