@@ -4,8 +4,8 @@ Each language is a zstandard raw-content dictionary of sample text. A text is co
 dictionary in turn, in pieces of a few KB, and belongs to the language whose dictionary leaves the
 fewest bytes; where the two smallest sizes are close, the choice is marked as rejected.
 
-Learning reads a bounded, deterministic sample (``docs_per_language`` distinct texts, at most
-``CUT`` characters of each). Scoring reads whole texts and is one narrow pass without a shuffle.
+Learning reads a bounded, deterministic sample (the ``docs_per_language`` distinct texts of the least
+hashes, at most ``CUT`` characters of each from the first letter on), however many copies texts have. Scoring reads whole texts and is one narrow pass without a shuffle.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0 and rejected; ties go to
 the language with more learned rows, then to the smaller name; with nothing to learn from every text
@@ -36,6 +36,8 @@ _LETTERS = np.full(256, 32, dtype=np.uint8)
 _LETTERS[97:123] = _LETTERS[65:91] = np.arange(97, 123)
 _LETTERS[128:] = np.arange(128, 256)
 _TABLE = _LETTERS.tobytes()
+#: What _plain keeps something of, and what it skips at the start of a text.
+USABLE, UNUSABLE_START = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]", r"\A[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 _LETTER = re.compile(r"[^\W\d_]")
 FIELDS = "lang_pred string, score double, margin double, rejected boolean"
 
@@ -55,19 +57,22 @@ def _plain(text: str) -> bytes:
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", docs_per_language: int = 64, dictionary_bytes: int = 32 << 10, min_margin: float = 0.01) -> LanguageModel:
     """Dictionaries from the labelled rows; at most MAX_LANGUAGES languages, else ValueError."""
     rows = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).where("lang is not null")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    usable, key = F.col("text").rlike(USABLE), F.xxhash64("text")
+    found = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.when(usable, key)).alias("texts")).limit(MAX_LANGUAGES + 1).collect()
+    counts = {r["lang"]: r["n"] for r in found}
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not counts:
         return LanguageModel((), min_margin)
+    # Copies share a hash, so the share let through follows the distinct texts and not the rows.
     scale = 1 << 30
-    most = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(scale, scale * 8 * docs_per_language // n))])
-    key = F.xxhash64("text")
+    most = F.create_map(*[F.lit(x) for r in found for x in (r["lang"], min(scale, scale * 8 * docs_per_language // max(1, r["texts"])))])
+    place = F.pmod(key, F.lit(scale))
     sample = (
-        rows.where(F.col("text").isNotNull() & (F.pmod(key, F.lit(scale)) < F.element_at(most, F.col("lang"))))
-        .groupBy("lang", key.alias("key"))
-        .agg(F.min(F.substring("text", 1, CUT)).alias("text"))
-        .withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("key")))
+        rows.where(usable & (place < F.element_at(most, F.col("lang"))))
+        .groupBy("lang", place.alias("place"), key.alias("key"))
+        .agg(F.min(F.substring(F.regexp_replace("text", UNUSABLE_START, ""), 1, CUT)).alias("text"))
+        .withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("place", "key")))
         .where(F.col("rank") <= docs_per_language)
         .orderBy("lang", "rank")
         .collect()

@@ -80,6 +80,15 @@ def test_language(spark, odd, none):
     assert {r["lang_pred"] for r in language.identify(odd, nothing).collect()} == {"und"} and language.identify(none, model).count() == 0
 
 
+def test_language_learns_beside_many_copies(spark):
+    """Copies and texts without a letter leave every language its dictionary."""
+    rows = spark.range(1_000_000).select(F.lit("the house of the river").alias("text"), F.concat(F.lit("l"), (F.col("id") % 50).cast("string")).alias("lang"))
+    blank = spark.range(20_000).select(F.col("id").cast("string").alias("text"), F.lit("rare").alias("lang"))
+    rare = spark.createDataFrame([("7 " * language.CUT + "word", "rare")], "text string, lang string")
+    model = dict(language.learn(rows.union(blank).union(rare), docs_per_language=4).dictionaries)
+    assert len(model) == 51 and model["rare"] == b"word" and model["l7"] == b"the house of the river"
+
+
 def test_folds(spark):
     got = {r["doc_id"]: r["h"] for r in spark.createDataFrame([(i,) for i in range(50)] + [(None,)], "doc_id long").select("doc_id", folds.held_out().alias("h")).collect()}
     assert got.pop(None) and got == {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in range(50)}
