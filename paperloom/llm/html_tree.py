@@ -3,15 +3,16 @@
 1. Every page is parsed once into style nodes: a node is the path of elements (tag, classes, id
    without digits) from the root, so like elements of one page merge. For each node of a page,
    its presentation (the order of its children) and its content (the text below it) are hashed.
-2. Pages of one host merge: counts by (host, node, hash) give the entropy of presentation and content
+2. Different pages of one host merge (copies of a page count once): counts by (host, node, hash) give the entropy of presentation and content
    of each node, as a share of the entropy that as many different pages would have. Importance is
    their mean, weighted by ``CONTENT_WEIGHT``. Nodes of at least ``least_pages`` pages below
    ``least_importance`` are the low branches of the host.
 3. Pages are parsed again and lose the low branches of their host, besides the branches whose
-   element or name says what they are (menus, footers, forms, adverts, comments and so on).
+   element or name says what they are (menus, footers, forms, adverts, comments and so on). In an article
+   a single word that also labels article content (``GENERIC``) says nothing; importance decides.
 
-At scale: only hashes are shuffled for 2, pre-aggregated by (host, node, hash), so one host with
-a third of all pages spreads over its contents. Low branches are one row for each host; they are broadcast
+At scale: only hashes are shuffled for 2, dealt by (host, node, hash, page) and then pre-aggregated by
+(host, node, hash), so one host with a third of all pages spreads over its pages. Low branches are one row for each host; they are broadcast
 when their measured size allows, else joined with the pages salted by ``SALTS``.
 
 Blocks are the runs of text between block elements; inside a block character references are
@@ -20,7 +21,7 @@ text outside them does not count.
 
 Defined cases: null or empty html has an empty text; a null url has no host and no tree, only the
 names count; unclosed elements end with their parents; if the low branches hold all of a page's text
-they are kept; repeated pages count again; an empty table gives no rows.
+they are kept; repeated pages have a row each; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -66,8 +67,10 @@ NAMES = frozenset(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 
-#: Elements that carry an article's text; without a class or an id they are never a low branch in it.
-PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li table tr td th thead tbody blockquote pre b i em strong a span".split())
+#: Words of NAMES that also label parts of an article itself.
+GENERIC = frozenset(
+    "alert alerts copyright disclaimer discussion feedback follow head header legal notice notices popular reader readers review reviews toc trending warning".split()
+)
 TOP = frozenset("html body article main".split())
 #: What a class or id of a whole article or main element must say for it to be dropped.
 NOT_ARTICLES = frozenset("ad ads advert advertisement comment comments reply replies sponsored promo promoted teaser teasers related".split())
@@ -122,7 +125,8 @@ class _Page:
                     label += ("." if name == "class" else "#") + ".".join(sorted(value.split()))
                     if tag not in ("html", "body"):
                         names = NOT_ARTICLES if tag in TOP else NAMES
-                        named = named or any(w.lower() in names for w in _WORDS.findall(value))
+                        found = {w.lower() for w in _WORDS.findall(value)} & names
+                        named = named or bool(found) and not (inside and len(found) == 1 and found <= GENERIC)
                 elif name == "role":
                     named = named or value.lower() in ROLES
                 elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
@@ -135,7 +139,7 @@ class _Page:
                 shape.append(label)
             self.contents.setdefault(node, 0)
         dropped = dropped or named
-        if node in self.low and not (tag in TOP or (inside and tag in PLAIN and label == tag)):
+        if node in self.low and tag not in TOP:
             low = True
         self.stack.append((tag, node, dropped, inside or (tag in ("article", "main") and not dropped), low))
 
@@ -192,12 +196,12 @@ class _Page:
         return "\n".join([b[0] for b in pick if not b[2]] or [b[0] for b in pick])
 
 
-def _style_rows(source: str | None) -> list[tuple[int, int, int]]:
-    """(node, presentation, content) for the nodes of a page."""
+def _style_rows(source: str | None) -> list[tuple[int, int, int, int]]:
+    """(node, presentation, content, page) for the nodes of a page."""
     if not source:
         return []
-    page = _Page(source, frozenset(), hashing=True)
-    return [(node, xxhash.xxh64_intdigest(" ".join(page.shapes.get(node, []))) >> 1, value >> 1) for node, value in page.contents.items()]
+    page, whole = _Page(source, frozenset(), hashing=True), xxhash.xxh64_intdigest(source.encode("utf-8", "replace")) >> 1
+    return [(node, xxhash.xxh64_intdigest(" ".join(page.shapes.get(node, []))) >> 1, value >> 1, whole) for node, value in page.contents.items()]
 
 
 def _host(url: str) -> F.Column:
@@ -205,20 +209,20 @@ def _host(url: str) -> F.Column:
 
 
 def importance(pages: DataFrame, url: str = "url", source: str = "html") -> DataFrame:
-    """host, node, pages, importance (0 to 1) of the style nodes of all hosts."""
+    """host, node, pages (different ones), importance (0 to 1) of the style nodes of all hosts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "html"):
                 hosts, found = batch.column(0).to_pylist(), [_style_rows(x) for x in batch.column(1).to_pylist()]
                 flat = [(h, *row) for h, rows in zip(hosts, found, strict=True) for row in rows]
-                columns = list(zip(*flat, strict=True)) or [(), (), (), ()]
-                kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["host", "node", "shape", "content"])
+                columns = list(zip(*flat, strict=True)) or [(), (), (), (), ()]
+                kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["host", "node", "shape", "content", "page"])
 
     rows = pages.select(_host(url).alias("host"), F.col(source).cast("string").alias("html")).where("host <> ''")
-    rows = rows.mapInArrow(run, "host string, node long, shape long, content long")
-    counts = rows.groupBy("host", "node", "shape", "content").agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.mapInArrow(run, "host string, node long, shape long, content long, page long")
+    counts = rows.groupBy("host", "node", "shape", "content").agg(F.count_distinct("page").alias("n"))
 
     def entropy(column: str) -> DataFrame:
         each = counts.groupBy("host", "node", column).agg(F.sum("n").alias("n"))

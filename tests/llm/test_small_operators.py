@@ -195,3 +195,18 @@ def test_style_tree_drops_what_repeats_on_a_host(spark):
         got = {r["page_id"]: r["text"] for r in html_tree.extract(df).collect()}
         html_tree.BROADCAST_BYTES = old
         assert got[3] == "Story number 3 is unlike others 21" and got[101].startswith("Repeated words of host\n")
+
+
+def test_copies_of_a_page_count_once(spark):
+    page = lambda i: f"<body><article><h1>Title {i}</h1><div class='post-body'>Story {i} is unlike {i * 7}</div></article></body>"
+    rows = [(i, f"http://one.example/{i}", page(max(0, i - 180))) for i in range(200)]
+    got = {r["page_id"]: r["text"] for r in html_tree.extract(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    assert got[3] == "Title 0\nStory 0 is unlike 0" and got[185] == "Title 5\nStory 5 is unlike 35"
+
+
+def test_importance_decides_inside_articles(spark):
+    """Unlabelled elements as well as labelled ones, and elements whose class is a generic word."""
+    page = lambda i: f"<body><article><p>Story {i}</p><div class='warning'>Note {i}</div><blockquote>On all pages</blockquote><div class='notice'>On all</div></article></body>"
+    rows = [(i, f"http://one.example/{i}", page(i)) for i in range(20)] + [(100, "http://other.example/", page(100))]
+    got = {r["page_id"]: r["text"] for r in html_tree.extract(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    assert got[3] == "Story 3\nNote 3" and got[100] == "Story 100\nNote 100\nOn all pages\nOn all"
