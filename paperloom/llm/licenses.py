@@ -1,8 +1,8 @@
 """License scans by canonical digests, with DataFrame functions only.
 
-A text's canonical form has lower case, equivalent spellings made equal, no copyright lines, and single
+A text's canonical form has lower case, equivalent spellings made equal, no lines that are copyright statements, and single
 spaces for everything but letters and digits. The digest of an entire text is joined with the digests of known
-licence texts; the table of known texts is fixed and small, so its side is broadcast. Besides, entire lines
+licence texts, with and without their titles; the table of known texts is fixed and small, so its side is broadcast. Besides, entire lines
 are held against the known one-line notices, row by row and without a shuffle.
 
 Defined cases: a null text, and one without letters or digits, has the digest of the empty text
@@ -52,6 +52,16 @@ SPELLINGS = (
 )
 SYMBOLS = r"[^\p{L}\p{N}\n]+"
 COPYRIGHT_LINE = r"(?m)^ *(copyright|c \d|all rights reserved)[^\n]*"
+#: As COPYRIGHT_LINE (which the SQL keeps), without lines of a wrapped licence text that merely begin with the word.
+STATEMENT_LINE = (
+    r"(?m)^ *(copyright(?= *$| c\b| \d| y{2,4}\b| year\b)|copyright(?! (?:notices?|holders?|owners?|laws?|licenses?|statements?|interests?|and|or|in|to|on|by|of|is|are|the software)\b)|c \d|all rights reserved)[^\n]*"
+)
+#: Titles that a known text may have; the empty one is a text without a title.
+TITLES = {
+    "MIT": ("", "MIT License", "The MIT License", "The MIT License (MIT)"),
+    "ISC": ("", "ISC License", "The ISC License", "ISC License (ISC)"),
+    "0BSD": ("", "Zero-Clause BSD", "BSD Zero Clause License", "Zero Clause BSD License"),
+}
 
 
 def lines_of(text: Column) -> Column:
@@ -59,7 +69,7 @@ def lines_of(text: Column) -> Column:
     out = F.lower(F.coalesce(text, F.lit("")))
     for old, new in SPELLINGS:
         out = F.replace(out, F.lit(old), F.lit(new))
-    return F.regexp_replace(F.regexp_replace(out, SYMBOLS, " "), COPYRIGHT_LINE, "")
+    return F.regexp_replace(F.regexp_replace(out, SYMBOLS, " "), STATEMENT_LINE, "")
 
 
 def canonical(lines: Column) -> Column:
@@ -68,7 +78,8 @@ def canonical(lines: Column) -> Column:
 
 def known(docs: DataFrame) -> DataFrame:
     """(digest, license) of the known texts and notices."""
-    rows = [(k, t) for k, t in TEXTS.items()] + [(k, t) for k, ts in NOTICES.items() for t in ts]
+    bodies = {k: t[t.index("Copyright (c)") :] for k, t in TEXTS.items()}
+    rows = [(k, f"{title}\n\n{t}") for k, t in bodies.items() for title in TITLES[k]] + [(k, t) for k, ts in NOTICES.items() for t in ts]
     table = docs.sparkSession.sql("SELECT * FROM VALUES " + ", ".join(f"({_sql(k)}, {_sql(t)})" for k, t in rows) + " AS t(license, text)")
     return table.select(F.sha2(canonical(lines_of(F.col("text"))), 256).alias("digest"), "license")
 

@@ -56,6 +56,23 @@ def test_secrets(spark, odd, none):
     assert secrets.scan(none).count() == 0
 
 
+def test_wrapped_licenses(spark):
+    import textwrap
+
+    rows = []
+    for name, text in licenses.TEXTS.items():
+        body = text[text.index("Permission") :]
+        for title in licenses.TITLES[name]:
+            for holder in ("Copyright (c) 2020 Me", "Copyright 2020, Me", "Copyright The Authors", "(c) 2020 Me\nAll rights reserved."):
+                for width in (40, 60, 76, 80, 10_000):
+                    wrapped = "\n\n".join(textwrap.fill(part, width) for part in body.split("\n\n"))
+                    rows.append((name, f"{title}\n\n{holder}\n\n{wrapped}\n"))
+        for word in ("copyright notice", "COPYRIGHT HOLDERS"):
+            rows.append((name, text.replace(word, "\n" + word)))
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert len(got) == len(rows) and all(r["license"] == r["doc_id"] for r in got)
+
+
 def test_licenses(spark, odd, none):
     mit = licenses.TEXTS["MIT"].replace("<year> <holder>", "2020 Me").upper().replace("SUBLICENSE", "SUB-LICENCE")
     df = spark.createDataFrame([(1, mit), (2, "Some text\n  Released under the MIT licence!\nmore"), (3, mit + " And more."), (4, None)], "doc_id int, text string")
