@@ -2,7 +2,7 @@
 
 A run of key-like characters that a tokenizer's vocabulary covers badly (few characters a token)
 is random text. Digests of known lengths, UUIDs, dates and numbers are identifiers, not secrets, and are
-left out before the test; so is what a base span covers already.
+left out before the test; so is what a base span covers already, but not the rest of its run.
 
 One narrow pass over whole texts without a shuffle. Spans are in code points, end exclusive.
 
@@ -31,15 +31,20 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 ASSIGN_VALUE, ACCESS_LENGTH = 12, 18
 
-CANDIDATE = re.compile(r"[A-Za-z0-9_+/=-]{16,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9_+/=-]{12,}")
 #: Known digests by length, UUIDs, numbers and dates.
 KNOWN = re.compile(
     r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}"
     r"|[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
-    r"|[0-9+/_=-]+|\d{4}-?\d\d-?\d\d[T_-].*)"
+    r"|[0-9+/_=-]+|\d{4}-?\d\d-?\d\d[T_-]\d\d(?:[_-]?\d\d){0,2}(?:Z|[+-]\d\d(?:-?\d\d)?)?)"
 )
+#: A date at the start is left out of the test, not what follows it.
+DATE = re.compile(r"^\d{4}-?\d\d-?\d\d[T_-]")
 _DIGIT, _LETTER, _CHANGE = re.compile(r"\d"), re.compile(r"[A-Za-z]"), re.compile(r"[a-z](?=[A-Z])")
+LEAST_LENGTH = 12
 MOST_CHARS_A_TOKEN = 2.1
+#: For letters of hardly changing case; rare prose words reach 1.8.
+MOST_LETTERS_A_TOKEN = 1.7
 
 Span = tuple[str, int, int]
 
@@ -54,16 +59,30 @@ def base_spans(text: str) -> list[Span]:
     return found + [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
 
 
+def _uncovered(low: int, high: int, taken: list[Span]) -> Iterator[tuple[int, int]]:
+    """The parts of a run that no span (by start) covers."""
+    for _, a, b in taken:
+        if a < high and low < b:
+            if low < a:
+                yield low, a
+            low = max(low, b)
+    if low < high:
+        yield low, high
+
+
 def random_spans(text: str, taken: list[Span], encoder: tiktoken.Encoding, most: float = MOST_CHARS_A_TOKEN) -> list[Span]:
     found = []
     for m in CANDIDATE.finditer(text):
-        word, low, high = m[0], m.start(), m.end()
-        if not (_LETTER.search(word) and (_DIGIT.search(word) or len(_CHANGE.findall(word)) >= 4)):
-            continue
-        if KNOWN.fullmatch(word) or any(a < high and low < b for _, a, b in taken):
-            continue
-        if len(word) <= most * len(encoder.encode_ordinary(word)):
-            found.append(("random", low, high))
+        for low, high in _uncovered(m.start(), m.end(), taken):
+            word = text[low:high]
+            if KNOWN.fullmatch(word):
+                continue
+            rest = DATE.sub("", word)
+            if len(rest) < LEAST_LENGTH or not _LETTER.search(rest):
+                continue
+            mixed = _DIGIT.search(rest) or len(_CHANGE.findall(rest)) >= 4
+            if len(rest) <= (most if mixed else min(most, MOST_LETTERS_A_TOKEN)) * len(encoder.encode_ordinary(rest)):
+                found.append(("random", low, high))
     return found
 
 

@@ -56,6 +56,16 @@ def test_secrets(spark, odd, none):
     assert secrets.scan(none).count() == 0
 
 
+def test_random_strings_of_every_layout():
+    encoder = tokenizer.encoding(tokenizer.read_ranks())
+    found = lambda text: [text[a:b] for kind, a, b in secrets.spans(text, encoder)[1] if kind == "random"]
+    for word in ("xqzkvwpjhtrbgfmd", "KZXWQ4JTGEYDSNRV", "QZXJKVWPHBTRGFMD", "20240101_sk9fJ3kLq8ZpXw2V", "x9Kq2Zp7Lw4V"):
+        assert found(f"key {word} here") == [word], word
+    assert found("x 0123456789abcdef0_Zk9Jq3LpX8wV2 y") == ["_Zk9Jq3LpX8wV2"]
+    for text in ("internationalisation", "RESPONSIBILITIES", "2024-01-02T03:04:05", "20240102_030405Z", "2024-01-02_v1", "20240102_quarterly_report"):
+        assert found(text) == [], text
+
+
 def test_wrapped_licenses(spark):
     import textwrap
 
