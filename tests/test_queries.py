@@ -35,3 +35,13 @@ def test_equals_sql(spark, name):
 
 def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_title_similarity_scores_whole_titles(spark, tmp_path):
+    """A letter less in a title of any length, past 1,003 characters too."""
+    from paperloom.operators.match import indel_ratio
+    from paperloom.queries import QUERIES
+
+    title = "abcd efgh " * 300 + "end"
+    spark.createDataFrame([(1, title, "en", "a", len(title))], "doc_id long, text string, lang string, source string, n_chars int").write.parquet(str(tmp_path / "documents.parquet"))
+    assert QUERIES["f31_title_similarity"](spark, str(tmp_path)).first()["score"] == indel_ratio(title, title[:3] + title[4:])
