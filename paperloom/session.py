@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -43,13 +44,15 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one only where the cluster names none."""
+    """The folder that spark.checkpoint.dir names; a temporary one only where none is named and all runs on this machine."""
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     found = context._jsc.sc().getCheckpointDir()
     if found.isEmpty():
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="paperloom-checkpoint-"))
         found = context._jsc.sc().getCheckpointDir()
     return found.get()
@@ -61,5 +64,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` with a table in the shared folder, whose true size the optimiser then knows.
+
+    In loops that join what earlier rounds made this is the one to take: a checkpoint keeps the estimate of its plan,
+    and the estimate of a join is a product, so that its digits double with each round.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
