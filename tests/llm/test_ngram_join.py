@@ -51,6 +51,59 @@ def test_equals_brute_force(spark):
     check(spark, rows + [(900, rows[5][1]), (901, rows[5][1].upper() + "!"), (902, None), (903, ""), (904, "..."), (905, "..."), (None, rows[7][1]), (7, "the same id again as another text"), (906, "w")])
 
 
+def near_copies(n, edits, seed, words=200):
+    """Copies of one text with so many words replaced, or from one to so many where edits is negative."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base, out = [word() for _ in range(words)], []
+    for _ in range(n):
+        own = list(base)
+        for place in rng.sample(range(words), edits if edits > 0 else rng.randint(1, -edits)):
+            own[place] = word()
+        out.append(" ".join(own))
+    return out
+
+
+def test_large_crowds(spark, monkeypatch):
+    """5,000 near copies at 2, 6, 12, and 1 to 5 edits of 200 words, with the constants as they are: links of every 100th as by brute force, rows in proportion."""
+    crowds = {edits: near_copies(5000, edits, edits) for edits in (2, 6, 12, -5)}
+    rows = [(1_000_000 * e + i, t) for e, texts in crowds.items() for i, t in enumerate(texts)]
+    seen, likened = [], N._likened
+
+    def counted(rows, n):
+        seen.append(rows.count())
+        return likened(rows, n)
+
+    monkeypatch.setattr(N, "_likened", counted)
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in N.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    assert len(got) == len(rows) and max(seen) <= 3 * 6 * len(rows) and seen[-1] < seen[0]
+    found = wanted = 0
+    for e, texts in crowds.items():
+        sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+        for i in range(0, len(texts), 100):
+            near = [j for j, s in enumerate(sets) if j != i and 5 * (k := len(s & sets[i])) >= 4 * (len(s) + len(sets[i]) - k)]
+            n = got[1_000_000 * e + i][1]
+            assert n <= len(near) and {got[1_000_000 * e + i][0]} >= {got[1_000_000 * e + j][0] for j in near[: 1 if n else 0]}
+            found, wanted = found + n, wanted + len(near)
+    assert wanted > 100_000 and found >= 0.999 * wanted
+
+
+def test_groups_by_distance_to_their_usual_set(spark, monkeypatch):
+    """Blocks of five sets: classes of distance make links certain, rule them out or have them compared."""
+    monkeypatch.setattr(N, "BLOCK_SETS", 5)
+    rows = [t for edits in (1, 2, 3, 4, 5) for t in near_copies(25, edits, 77)]
+    check(spark, [(i, t) for i, t in enumerate(rows + rows[::7])])
+
+
+def test_overlaps():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for n, span in ((3, 40), (40, 60), (60, 100_000), (200, 900)):
+        a, b = ([np.unique(rng.integers(0, span, rng.integers(0, 200))).astype(np.uint64) for _ in range(k)] for k in (n, n + 3))
+        assert (N._overlaps(a, b) == [[len(set(x.tolist()) & set(y.tolist())) for y in b] for x in a]).all()
+
+
 def test_crowded_buckets_and_blocks(spark, monkeypatch):
     """Buckets are split at ten sets and groups compared in blocks of four: the same result."""
     monkeypatch.setattr(N, "BUCKET", 10)
