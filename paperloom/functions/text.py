@@ -78,7 +78,7 @@ def refs(c: C) -> Column:
 
 
 #: The citation macros.
-CITE_MACROS = "cite citep citet citealt citealp citeauthor citeyear citeyearpar citenum parencite textcite autocite fullcite footcite supercite".split()
+CITE_MACROS = "cite citet citep citealt citealp citeauthor citeyear citeyearpar citenum parencite textcite autocite fullcite footcite supercite".split()
 
 
 def cites(c: C, optional_arguments: bool = False) -> Column:

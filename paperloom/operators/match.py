@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from paperloom.functions import text as X
+from paperloom.session import checkpoint
+
+#: Characters of a gram by which near titles meet.
+GRAM = 5
 
 
 def _lcs(a: str, b: str) -> int:
@@ -37,18 +41,22 @@ def indel_ratio(a: str | None, b: str | None) -> float | None:
 
 
 @F.pandas_udf(DoubleType())
-def _score(a: pd.Series, b: pd.Series) -> pd.Series:
+def _score_all(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([indel_ratio(x, y) for x, y in zip(a, b, strict=True)])
 
 
+#: Marked so that a filter on the score is not computed beside it, which would score each pair twice.
+_score = _score_all.asNondeterministic()
+
+
 def scored(pairs: DataFrame, a: str, b: str, threshold: int) -> DataFrame:
     """Pairs of a score of ``threshold`` or more, with the score; cheap bounds come first."""
     la, lb = F.length(a), F.length(b)
     budget = F.floor((100 - threshold) * (la + lb) / 100).cast("int")
     near = pairs.where(F.abs(la - lb) <= budget).withColumn("_budget", budget)
     near = near.where(F.expr(f"levenshtein({a}, {b}, _budget)") >= 0)
-    equal = F.when(F.col(a) == F.col(b), F.lit(100.0))
-    return near.withColumn("score", F.coalesce(equal, _score(a, b))).where(F.col("score") >= threshold).drop("_budget")
+    other = F.when(F.col(a) != F.col(b), F.col(a))  # a null costs no comparison
+    return near.withColumn("score", F.coalesce(_score(other, F.col(b)), F.lit(100.0))).where(F.col("score") >= threshold).drop("_budget")
 
 
 def best(df: DataFrame, query: list[str], order_by: list[str | Column]) -> DataFrame:
@@ -85,22 +93,40 @@ def match_bib_titles(paragraph_citations: DataFrame, candidates: DataFrame, thre
     return best(scored(titles.join(known, "citing_arxiv_id"), "title", "name", threshold), ["citing_arxiv_id", "title"], ["at"]).select("citing_arxiv_id", "title", "cited_arxiv_id", "score")
 
 
+def _rare_grams(titles: DataFrame, threshold: int) -> DataFrame:
+    """Rows (side, id, title, gram): the first grams of each title, in an order of rising frequency.
+
+    An insertion or deletion changes at most ``GRAM`` of a title's grams. If at most k of them lead from one title to another, the k * GRAM + 1 first
+    grams of both, in one order of all grams, have one in common; k follows from the longest partner that the threshold allows.
+    """
+    length = F.length("title")
+    characters = F.split("title", "")
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), length - GRAM + 1)), lambda i: F.xxhash64(F.concat_ws("", F.slice(characters, i, GRAM))))
+    each = titles.select("side", "id", "title", F.explode(F.array_distinct(grams)).alias("gram")).withColumn("bucket", F.pmod("gram", F.lit(1 << 16)))
+    often = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("often"))  # at most 65,536 rows
+    longest = length * (200 - threshold) / threshold  # where a title's partner contains it
+    most = F.floor((100 - threshold) * (length + longest) / 100).cast("int")
+    ordered = each.join(F.broadcast(often), "bucket").groupBy("side", "id", "title").agg(F.array_sort(F.collect_list(F.struct("often", "gram"))).alias("grams"))
+    return ordered.select("side", "id", "title", F.explode(F.slice("grams", F.lit(1), most * GRAM + 1)).alias("g")).select("side", "id", "title", F.col("g.gram").alias("gram"))
+
+
 def near_titles(left: DataFrame, right: DataFrame, threshold: int = 97) -> DataFrame:
     """Best right title of each left one across sources: (left_id, right_id, score).
 
-    Titles meet if their lengths are near and their first or their last two words are equal; a change in
-    both pairs of words is not seen.
+    No pair of the threshold is lost: titles meet in one of their rarest grams, as many as the edits that the threshold allows
+    can change and one more, and in a band of lengths.
     """
     band = F.floor(F.log(F.length("title") + 1.0) / F.log(F.lit(1.2)))
+    sides = [df.select(F.lit(side).alias("side"), F.col("id"), X.normalize_title("title").alias("title")).where("title <> ''") for side, df in (("l", left), ("r", right))]
+    grams = checkpoint(_rare_grams(sides[0].unionByName(sides[1]), threshold))
 
-    def blocked(df: DataFrame, side: str, bands: list[int]) -> DataFrame:
-        words = F.split("title", " ")
-        keys = F.array_distinct(F.array(F.concat(F.lit("a "), F.concat_ws(" ", F.slice(words, 1, 2))), F.concat(F.lit("z "), F.concat_ws(" ", F.reverse(F.slice(F.reverse(words), 1, 2))))))
-        base = df.select(F.col("id").alias(f"{side}_id"), X.normalize_title("title").alias("title")).where("title <> ''")
-        base = base.withColumn("block", F.explode(keys)).withColumn("band", F.explode(F.array(*[band + d for d in bands])))
-        return base.withColumnRenamed("title", f"{side}_title")
+    def side(which: str, name: str, bands: list[int]) -> DataFrame:
+        rows = grams.where(F.col("side") == which).withColumn("band", F.explode(F.array(*[band + d for d in bands])))
+        return rows.select(F.col("id").alias(f"{name}_id"), F.col("title").alias(f"{name}_title"), "gram", "band")
 
-    pairs = blocked(left, "left", [0]).join(blocked(right, "right", [-1, 0, 1]), ["block", "band"]).drop("block", "band").distinct()
+    met = side("l", "left", [0]).join(side("r", "right", [-1, 0, 1]), ["gram", "band"])
+    near = F.abs(F.length("left_title") - F.length("right_title")) <= F.floor((100 - threshold) * (F.length("left_title") + F.length("right_title")) / 100)
+    pairs = met.where(near).select("left_id", "left_title", "right_id", "right_title").distinct()
     return best(scored(pairs, "left_title", "right_title", threshold), ["left_id"], ["right_id"]).select("left_id", "right_id", "score")
 
 

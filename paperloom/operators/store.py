@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.schema import STAGES, Table
+from paperloom.session import checkpoint
 
 
 def lookup(df: DataFrame, keys: DataFrame) -> DataFrame:
@@ -95,9 +96,10 @@ def with_ids(df: DataFrame, order_by: list[str], start: int = 1, name: str = "id
     """Dense ids in key order, without a window over everything.
 
     Rows are ranged by the key; each range numbers its own rows and adds the counts of those before it.
-    The counts are one row for each range.
+    The counts are one row for each range. The ranged rows are kept in the shared folder before anything is counted: computed twice,
+    ranges need not agree, as their bounds come from samples and adaptive execution may merge partitions.
     """
-    ranged = df.withColumn("_place", F.struct(*order_by)).repartitionByRange("_place").withColumn("_range", F.spark_partition_id())
+    ranged = checkpoint(df.withColumn("_place", F.struct(*order_by)).repartitionByRange("_place").withColumn("_range", F.spark_partition_id()))
     counts = ranged.groupBy("_range").count()
     earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_range", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_offset"))

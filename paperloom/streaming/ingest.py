@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from paperloom.functions import text as X
-from paperloom.operators.store import insert
+from paperloom.operators.store import append, first_wins, not_stored
 from paperloom.schema import METADATA, Table
 from paperloom.sources.tables import Snapshots
 
@@ -34,13 +34,16 @@ def window_of(df: DataFrame, date: str, today: str, interval_days: int = 2, dela
 
 
 def ingest(stream: DataFrame, store: Snapshots, table: Table, build: Callable[[DataFrame], DataFrame], checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Each batch is built into rows and merged into the table; known keys are left as they are.
+    """Each batch is built into rows, and those with new keys are added to the table; known keys are left as they are.
 
-    A batch that is played again adds nothing, so a failed one can simply run again from the checkpoint.
+    A batch that is played again adds nothing, and one that died while it was written is not seen, so a failed one can simply
+    run again from the checkpoint. Stored rows are read for their keys alone and not written again.
     """
 
     def merge(batch: DataFrame, _: int) -> None:
-        old = store.scan(table)
-        store.write(table, insert(old, build(batch), list(table.key), list(table.key)))
+        key = list(table.key)
+        stored = store.scan(table)
+        fresh = not_stored(first_wins(build(batch), key, key), stored, key)
+        store.add(table, append(stored.limit(0), fresh.select(*[c for c in table.names if c in fresh.columns])))
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -37,6 +37,25 @@ def test_update_delete_ids(spark):
     assert [r["id"] for r in ids.orderBy("k").collect()] == list(range(5, 1005))
 
 
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_ids_of_wide_rows_written_out(spark, tmp_path, adaptive):
+    """Every row arrives with an id of its own, whatever the ranges are when they are computed again."""
+    changed = {"spark.sql.adaptive.enabled": adaptive, "spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1m"}
+    before = {k: spark.conf.get(k, None) for k in changed}
+    for k, v in changed.items():
+        spark.conf.set(k, v)
+    try:
+        df = spark.range(200_000).select(F.sha2(F.col("id").cast("string"), 256).alias("k"), F.repeat(F.lit("x"), 256).alias("wide"))
+        store.with_ids(df, ["k"], 5).write.parquet(f"{tmp_path}/ids")
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    out = spark.read.parquet(f"{tmp_path}/ids")
+    seen = out.agg(F.count("wide").alias("n"), F.count_distinct("id").alias("ids"), F.min("id").alias("low"), F.max("id").alias("high")).first()
+    assert tuple(seen) == (200_000, 200_000, 5, 200_004)
+    assert [r["k"] for r in out.orderBy("id").limit(100).collect()] == [r["k"] for r in df.orderBy("k").limit(100).collect()]
+
+
 def lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
@@ -172,3 +191,24 @@ def test_pdf_text(spark):
     text = "Title here\n\nHeader\n\nAbstract\n\nWe study.\n\n1 Introduction\n\nA sentence that is\nlong\n\nand goes on.\n\n• a list\n\n3 4 + 5 = 9\n\nFigure 1: x\n\nNext one.\n\nReferences\n\n[1] Y"
     got = [(r["section"], r["content"]) for r in pdftext.paragraphs(spark.createDataFrame([("p", text)], "paper_openreview_id string, text string")).orderBy("paragraph_idx").collect()]
     assert got == [("Abstract", "We study."), ("1 Introduction", "A sentence that islong and goes on. • a list Next one."), ("1 Introduction", "Figure 1: x")]
+
+
+def test_near_titles_equal_brute_force(spark):
+    """One edit anywhere, in short titles and in the middle of long ones."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 9)))
+    titles = [" ".join(word() for _ in range(rng.choice([1, 2, 3, 6, 12, 60]))) for _ in range(150)]
+    def edited(t):
+        for _ in range(rng.randrange(0, 4)):
+            i = rng.randrange(len(t) + 1)
+            t = t[:i] + rng.choice(["", "z", "q"]) + t[i + rng.randrange(2) :]
+        return t
+    left, right = list(enumerate(titles)), [(1000 + i, edited(t)) for i, t in enumerate(titles)]
+    got = {r["left_id"]: (r["right_id"], r["score"]) for r in match.near_titles(*(spark.createDataFrame(x, "id int, title string") for x in (left, right))).collect()}
+    want = {}
+    for i, a in left:
+        scores = [(-match.indel_ratio(" ".join(a.split()), " ".join(b.split())), j) for j, b in right if b.strip()]
+        best = min(scores)
+        if -best[0] >= 97:
+            want[i] = (best[1], -best[0])
+    assert got == want and len(want) > 50

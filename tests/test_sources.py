@@ -58,6 +58,15 @@ def test_snapshots(spark, tmp_path):
     store.write(small, store.scan(small).union(spark.createDataFrame([("b", 2)], small.schema)))
     assert store.version("small") == 2 and sorted(tuple(r) for r in store.scan(small).collect()) == [("a", 1), ("b", 2)]
     assert store.scan(small).where("venue = 'b'").count() == 1
+    for kind in "va":  # writes that died: before the first file, and before the last
+        (tmp_path / f"small/{kind}3-{'0' * 32}/_temporary").mkdir(parents=True)
+    spark.createDataFrame([("lost", 9)], small.schema).write.partitionBy(*small.partition).parquet(str(tmp_path / f"small/v3-{'1' * 32}"))
+    (tmp_path / f"small/v3-{'1' * 32}/_SUCCESS").unlink()
+    assert store.version("small") == 2 and store.scan(small).count() == 2
+    assert store.add(small, spark.createDataFrame([("c", 3)], small.schema)) == 3
+    assert sorted(tuple(r) for r in store.scan(small).collect()) == [("a", 1), ("b", 2), ("c", 3)]
+    assert store.add(small, spark.createDataFrame([("d", 4)], small.schema), most=2) == 5 and store.scan(small).count() == 4
+    assert store.write(small, spark.createDataFrame([("e", 5)], small.schema)) == 6 and store.scan(small).count() == 1
 
 
 def test_csv_round_trip_and_cleaner(spark, tmp_path):
