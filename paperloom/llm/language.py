@@ -4,12 +4,14 @@ Each language is a zstandard raw-content dictionary of sample text. A text is co
 dictionary in turn, in pieces of a few KB, and belongs to the language whose dictionary leaves the
 fewest bytes; where the two smallest sizes are close, the choice is marked as rejected.
 
-Learning reads a bounded, deterministic sample (the ``docs_per_language`` distinct texts of the least
-hashes, at most ``CUT`` characters of each from the first letter on), however many copies texts have. Scoring reads whole texts and is one narrow pass without a shuffle.
+Learning cuts the whole of every learned text into passages of ``PASSAGE`` characters. The ``passages`` distinct passages of the
+least hashes of each language, however many copies texts have, are its dictionary: a bounded sample, all parts of all texts
+having the same chance. Scoring reads whole texts and is one narrow pass without a shuffle.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0 and rejected; ties go to
-the language with more learned rows, then to the smaller name; with nothing to learn from every text
-is ``und``; repeated rows get equal results; kept columns pass through unchanged.
+the language with more learned rows, then to the smaller name; with nothing to learn from, as from an empty table, every text
+is ``und``; a passage without a letter teaches nothing; very long texts are learned from and compressed piece by piece; repeated rows get equal
+results; kept columns, of any name, pass through unchanged; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from paperloom.llm.words import slices
 
-CUT = 2048
+PASSAGE = 512
 PIECE = 4096
 MAX_LANGUAGES = 256
 UNKNOWN = "und"
@@ -36,8 +38,8 @@ _LETTERS = np.full(256, 32, dtype=np.uint8)
 _LETTERS[97:123] = _LETTERS[65:91] = np.arange(97, 123)
 _LETTERS[128:] = np.arange(128, 256)
 _TABLE = _LETTERS.tobytes()
-#: What _plain keeps something of, and what it skips at the start of a text.
-USABLE, UNUSABLE_START = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]", r"\A[\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: What _plain keeps something of.
+USABLE = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]"
 _LETTER = re.compile(r"[^\W\d_]")
 FIELDS = "lang_pred string, score double, margin double, rejected boolean"
 
@@ -54,35 +56,38 @@ def _plain(text: str) -> bytes:
     return b" ".join(text.lower().encode("utf-8", "replace").translate(_TABLE).split())
 
 
-def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", docs_per_language: int = 64, dictionary_bytes: int = 32 << 10, min_margin: float = 0.01) -> LanguageModel:
-    """Dictionaries from the labelled rows; at most MAX_LANGUAGES languages, else ValueError."""
+def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", passages: int = 64, min_margin: float = 0.01) -> LanguageModel:
+    """Dictionaries of so many passages from the labelled rows; at most MAX_LANGUAGES languages, else ValueError."""
     rows = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).where("lang is not null")
-    usable, key = F.col("text").rlike(USABLE), F.xxhash64("text")
-    found = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.when(usable, key)).alias("texts")).limit(MAX_LANGUAGES + 1).collect()
-    counts = {r["lang"]: r["n"] for r in found}
+    cuts = F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1)), F.lit(PASSAGE))
+    found = F.filter(F.transform(cuts, lambda i: F.substring(F.col("text"), i, F.lit(PASSAGE))), lambda x: x.rlike(USABLE))
+    pieces = rows.select("lang", F.explode(found).alias("text")).withColumn("key", F.xxhash64("text"))
+    texts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    different = pieces.groupBy("lang").agg(F.approx_count_distinct("key").alias("pieces"))
+    counted = texts.join(different, "lang", "left").select("lang", "n", F.coalesce("pieces", F.lit(0)).alias("pieces")).limit(MAX_LANGUAGES + 1).collect()
+    counts = {r["lang"]: r["n"] for r in counted}
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not counts:
         return LanguageModel((), min_margin)
-    # Copies share a hash, so the share let through follows the distinct texts and not the rows.
+    # Copies share a hash, so the share let through follows the distinct passages and not the rows.
     scale = 1 << 30
-    most = F.create_map(*[F.lit(x) for r in found for x in (r["lang"], min(scale, scale * 8 * docs_per_language // max(1, r["texts"])))])
-    place = F.pmod(key, F.lit(scale))
+    most = F.create_map(*[F.lit(x) for r in counted for x in (r["lang"], min(scale, scale * 8 * passages // max(1, r["pieces"])))])
+    place = F.pmod("key", F.lit(scale))
     sample = (
-        rows.where(usable & (place < F.element_at(most, F.col("lang"))))
-        .groupBy("lang", place.alias("place"), key.alias("key"))
-        .agg(F.min(F.substring(F.regexp_replace("text", UNUSABLE_START, ""), 1, CUT)).alias("text"))
+        pieces.where(place < F.element_at(most, F.col("lang")))
+        .groupBy("lang", place.alias("place"), "key")
+        .agg(F.min("text").alias("text"))
         .withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("place", "key")))
-        .where(F.col("rank") <= docs_per_language)
+        .where(F.col("rank") <= passages)
         .orderBy("lang", "rank")
         .collect()
     )
-    texts: dict[str, list[bytes]] = {}
+    taught: dict[str, list[bytes]] = {}
     for row in sample:
-        if plain := _plain(row["text"]):
-            texts.setdefault(row["lang"], []).append(plain)
-    learned = sorted(texts, key=lambda k: (-counts[k], k))
-    return LanguageModel(tuple((k, b" ".join(texts[k])[:dictionary_bytes]) for k in learned), min_margin)
+        taught.setdefault(row["lang"], []).append(_plain(row["text"]))
+    learned = sorted(taught, key=lambda k: (-counts[k], k))
+    return LanguageModel(tuple((k, b" ".join(taught[k])) for k in learned), min_margin)
 
 
 class _Scorer:
@@ -145,7 +150,8 @@ def accepted(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(shared.value)
-        for batch in batches:
-            yield batch.filter(pa.array([not scorer.one(x)[3] for x in _texts(batch, text)], pa.bool_()))
+        for whole in batches:
+            for batch in slices(whole, text):
+                yield batch.filter(pa.array([not scorer.one(x)[3] for x in _texts(batch, text)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
