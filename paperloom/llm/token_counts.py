@@ -7,7 +7,8 @@ inside blocks of 1,024 lengths, plus the totals of later blocks.
 Encoding counts the merges of each distinct piece of text once and remembers them, as texts repeat
 their words; the memory is bounded by ``MEMORY`` pieces.
 
-Defined cases: a null or empty text has length 0; an empty table gives no rows.
+Defined cases: a null or empty text has length 0; each row counts, repeated ones too; a very long text is encoded piece by piece
+and has a length of its own; other columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.llm import tokenizer
+from paperloom.llm.words import slices
+from paperloom.session import checkpoint
 
 BLOCK = 1024
 MEMORY = 1 << 18
@@ -56,8 +59,10 @@ def lengths(docs: DataFrame, text: str = "text", vocabulary: str = tokenizer.DEF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = Counted(shared.value)
-        for batch in batches:
-            found = Counter(count(t) for t in batch.column(0).to_pylist())
+        for whole in batches:
+            found: Counter[int] = Counter()
+            for batch in slices(whole, "text"):
+                found.update(count(t) for t in batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.int64())], names=["length", "n_docs"])
 
     counted = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "length long, n_docs long")
@@ -70,6 +75,7 @@ def context_limits(histogram: DataFrame) -> DataFrame:
     truncated_tokens is the total if each text is cut to this length; for a limit L between two lengths it is
     that of the next length minus (length - L) * docs_at_least. quantile is the share of documents up to it.
     """
+    histogram = checkpoint(histogram)  # read twice below; one row a length
     rows = histogram.withColumn("n_tokens", F.col("length") * F.col("n_docs")).withColumn("block", F.floor(F.col("length") / BLOCK))
     blocks = rows.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("n_tokens").alias("t"))
     later, all_rows = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
