@@ -48,6 +48,9 @@ def test_stages(spark, folder):
         elif name == "secret_scan":
             assert all(kept[d] == (secrets.redacted(t, secrets.spans(t, encoder)[1], "[secret]")) for d, t in before.items()) and "[secret]" in kept[502]
         else:
-            assert after.count() == len(before) and after.where("taken > 3 * size").count() == 0
+            rows = after.collect()
+            assert {r["doc_id"] for r in rows} <= set(before) and all(r["taken"] <= 3 * r["size"] and len(r["text"].split()) == r["words"] for r in rows)
+            targets = {r["source"]: r["target"] for r in rows}
+            assert {s: sum(r["words"] for r in rows if r["source"] == s) for s in targets} == {s: int(t + 0.5) for s, t in targets.items()}
         docs = after
     assert sorted(map(str, corpus_pipeline.run(spark, folder).collect())) == sorted(map(str, docs.collect()))
