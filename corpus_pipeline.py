@@ -1,10 +1,11 @@
 """A training-corpus pipeline: each stage is one operator applied to what the stage before kept.
 
 language ID -> one document of each near-duplicate group -> benchmark passages cut ->
-secrets replaced -> sources mixed to target weights.
+secrets replaced -> sources mixed to target weights, as a shuffled corpus in shards.
 
 run() writes each stage as Parquet below the folder that spark.checkpoint.dir names and reads it again.
-Rows keep the columns of documents until the last stage; where a text changes, n_chars follows it.
+Rows keep the columns of documents, and others of any name, until the last stage; where a text changes, n_chars follows it.
+Every stage takes an empty table and then gives none of its rows. Very long texts are worked through whole.
 """
 
 from __future__ import annotations
@@ -26,34 +27,47 @@ def _with_length(docs: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is identified; the rejected ones go."""
+    """Documents whose language is identified; the rejected ones go, and with them null texts and those without a letter.
+
+    Equal texts fare alike, and repeated rows stay repeated; a null in another column changes nothing.
+    """
     ship(spark)
     model = language.learn(read(spark, sf_dir, "documents").where(~folds.held_out()))
     return language.accepted(docs, model)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of near duplicates."""
+    """The document with the least id of each group of near duplicates.
+
+    A null text, or one without words, is a group of its own. Of repeated rows one stays; null ids come last; rows of one id and
+    different texts are different documents.
+    """
     ship(spark)
     return ngram_join.firsts(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark passages are cut out; a document left without a word goes."""
+    """Benchmark passages are cut out; a document left without a word goes.
+
+    Other texts, null ones too, stay as they are; repeated rows stay repeated; nulls in benchmark have no words.
+    """
     ship(spark)
     return _with_length(decontamination.cut(docs, read(spark, sf_dir, "benchmark")))
 
 
 def replace_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets give way to a mark; every document stays."""
+    """Secrets give way to a mark; every document stays, with a null text as it is, and repeated rows stay repeated."""
     ship(spark)
     return _with_length(secrets.redact(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row for each document: its source, size, target, the words taken of it and its output shards."""
+    """The mixed corpus: a row with the text for each time a document is taken, by shard, in shuffled order.
+
+    A null or blank text is never taken; a null source is a source of its own; repeated rows each count; ties of order follow the id.
+    """
     ship(spark)
-    return mixing.mix(docs)
+    return mixing.dealt(mixing.mix(docs, carry=("text",)))
 
 
 STAGES = [
