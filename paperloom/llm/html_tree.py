@@ -17,11 +17,12 @@ when their measured size allows, else joined with the pages salted by ``SALTS``.
 
 Blocks are the runs of text between block elements; inside a block character references are
 decoded and white space becomes one space. If a page has article or main elements with text,
-text outside them does not count.
+text outside them does not count, unless there is ``TEASER`` times as much of it: then they are teasers.
 
-Defined cases: null or empty html has an empty text; a null url has no host and no tree, only the
-names count; unclosed elements end with their parents; if the low branches hold all of a page's text
-they are kept; repeated pages have a row each; an empty table gives no rows.
+Defined cases: null or empty html has an empty text; a null url has no host and no tree, and a host of fewer than ``least_pages`` different pages
+has no low branches, so only the names count there; unclosed elements end with their parents, unclosed scripts, styles and other raw text with the
+page; if the low branches hold all of a page's text they are kept; ties of importance with the threshold stay; very long and deeply nested
+pages take time in proportion to their length; repeated pages have a row each; other columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +44,7 @@ from paperloom.session import checkpoint
 CONTENT_WEIGHT = 0.9
 BROADCAST_BYTES = 32 << 20
 SALTS = 32
+TEASER = 20
 
 #: Element names of HTML by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -56,7 +59,10 @@ DROPPED = frozenset(
 )
 CLOSES_P = BLOCK - {"html", "body", "head", "title", "template", "noscript"}
 SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-SCOPES = frozenset("ul ol dl table select".split())
+SCOPES = ("ul", "ol", "dl", "table", "select")
+P_SCOPES = ("table", "button", "td", "th", "div", "section", "article")
+#: Raw elements that end with their parents if they have no end of their own; the others then run to the end of the page.
+NESTED = frozenset("svg math template noscript".split())
 #: Words in a class or id that name what is not the article.
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner banners sponsor sponsored promo promos promotion nav navbar navigation menu menus breadcrumb breadcrumbs"
@@ -76,12 +82,18 @@ TOP = frozenset("html body article main".split())
 NOT_ARTICLES = frozenset("ad ads advert advertisement comment comments reply replies sponsored promo promoted teaser teasers related".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_READ = frozenset(("class", "id", "role", "hidden", "aria-hidden"))
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Numbers in ids, and long ones in classes, tell pages apart and not kinds of elements.
 _DIGITS = {"id": re.compile(r"\d+"), "class": re.compile(r"\d{3,}")}
 
 
+@cache
+def _end_of(tag: str) -> re.Pattern[str]:
+    return re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I)
+
+
 class _Page:
     """One parsed page: its blocks, and hashes by node where asked for."""
 
@@ -92,19 +104,28 @@ class _Page:
         self.contents: dict[int, int] = {}
         self.shapes: dict[int, list[str]] = {}
         self.parts: list[str] = []
-        # open elements: (tag, node, dropped, in article, low)
+        # open elements: (tag, node, dropped, in article, low), the places of each tag in them, and the hash of each one's text so far
         self.stack: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]
+        self.places: dict[str, list[int]] = {}
+        self.values: list[int] = [0]
         self._parse(source)
 
     def _text(self, text: str) -> None:
-        top = self.stack[-1]
-        if self.hashing and (text := text.strip()):
-            value = xxhash.xxh64_intdigest(text)
-            for _, node, *_ in self.stack[1:]:
-                self.contents[node] = (self.contents.get(node, 0) * 31 + value) & 0xFFFFFFFFFFFFFFFF
-        elif not top[2]:
+        if self.hashing:
+            if text := text.strip():
+                self.values[-1] = (self.values[-1] * 31 + xxhash.xxh64_intdigest(text)) & 0xFFFFFFFFFFFFFFFF
+        elif not self.stack[-1][2]:
             self.parts.append(text)
 
+    def _pop(self) -> None:
+        """Ends the last open element; its text belongs to its node and to its parent."""
+        tag, node, *_ = self.stack.pop()
+        self.places[tag].pop()
+        value = self.values.pop()
+        if self.hashing and value:
+            self.contents[node] = (self.contents[node] * 31 + value) & 0xFFFFFFFFFFFFFFFF
+            self.values[-1] = (self.values[-1] * 31 + value) & 0xFFFFFFFFFFFFFFFF
+
     def _end_block(self) -> None:
         if self.parts:
             text = " ".join(entities.unescape("".join(self.parts)).split())
@@ -120,6 +141,8 @@ class _Page:
         if attributes:
             for m in _ATTRIBUTE.finditer(attributes):
                 name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+                if name not in _READ:
+                    continue
                 if name in ("class", "id"):
                     value = _DIGITS[name].sub("", value)
                     label += ("." if name == "class" else "#") + ".".join(sorted(value.split()))
@@ -141,21 +164,23 @@ class _Page:
         dropped = dropped or named
         if node in self.low and tag not in TOP:
             low = True
+        self.places.setdefault(tag, []).append(len(self.stack))
+        self.values.append(0)
         self.stack.append((tag, node, dropped, inside or (tag in ("article", "main") and not dropped), low))
 
-    def _close(self, tags: tuple[str, ...], scopes: frozenset[str] = frozenset()) -> None:
-        for i in range(len(self.stack) - 1, 0, -1):
-            tag = self.stack[i][0]
-            if tag in tags:
-                if any(open_tag[0] in BLOCK for open_tag in self.stack[i:]):
-                    self._end_block()
-                del self.stack[i:]
-                return
-            if tag in scopes:
-                return
+    def _close(self, tags: tuple[str, ...], scopes: tuple[str, ...] = ()) -> None:
+        """Ends the innermost open element of the tags and what is open in it, unless a scope is open further in."""
+        at = max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+        if not at or any(self.places[t][-1] > at for t in scopes if self.places.get(t)):
+            return
+        if any(open_tag[0] in BLOCK for open_tag in self.stack[at:]):
+            self._end_block()
+        while len(self.stack) > at:
+            self._pop()
 
     def _parse(self, source: str) -> None:
         at, n = 0, len(source)
+        self.endless: set[str] = set()
         while at < n:
             m = _TOKEN.search(source, at)
             if m is None:
@@ -178,21 +203,28 @@ class _Page:
             if tag in BLOCK:
                 self._end_block()
                 if tag in CLOSES_P:
-                    self._close(("p",), frozenset({"table", "button", "td", "th", "div", "section", "article"}))
+                    self._close(("p",), P_SCOPES)
                 if tag in SAME:
                     self._close(SAME[tag], SCOPES)
             if tag in RAW:
-                end = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
-                if end and not m[3].rstrip().endswith("/"):
-                    at = end.end()
-                continue
+                if tag in NESTED and m[3].rstrip().endswith("/"):
+                    continue
+                end = None if tag in self.endless else _end_of(tag).search(source, at)
+                if end or tag not in NESTED:
+                    at = end.end() if end else n
+                    continue
+                self.endless.add(tag)  # none further on either
             if tag in VOID or m[3].rstrip().endswith("/"):
                 continue
             self._open(tag, m[3])
         self._end_block()
+        while len(self.stack) > 1:
+            self._pop()
 
     def text(self) -> str:
-        pick = [b for b in self.blocks if b[1]] or self.blocks
+        inside, outside = ([b for b in self.blocks if b[1] == place] for place in (True, False))
+        length = [sum(len(b[0]) for b in blocks if not b[2]) for blocks in (inside, outside)]
+        pick = self.blocks if not inside or length[1] > TEASER * max(1, length[0]) else inside
         return "\n".join([b[0] for b in pick if not b[2]] or [b[0] for b in pick])
 
 
