@@ -1,13 +1,15 @@
 """Secret scans: three base patterns, and a token-efficiency test for other random strings.
 
 A run of key-like characters that a tokenizer's vocabulary covers badly (few characters a token)
-is random text. Digests of known lengths, UUIDs, dates and numbers are identifiers, not secrets, and are
+is random text. Digests of known lengths, integrity digests, UUIDs, paths of plain names, dates and numbers are identifiers, not secrets, and are
 left out before the test; so is what a base span covers already, but not the rest of its run.
 
 One narrow pass over whole texts without a shuffle. Spans are in code points, end exclusive.
 
-Defined cases: a null or empty text has no spans; equal texts have equal spans; a span is the whole
-match (name and value for ``assign``).
+Defined cases: a null or empty text has no spans; equal texts and repeated rows have equal spans; a span is the whole
+match (name and value for ``assign``); spans of equal start follow the order of kinds, and overlapping ones are cut out as one; very long texts are
+scanned whole, in time that grows with their length and number of spans; an empty table gives no rows; ``scan`` reads no other columns and
+``redact`` passes them through, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,10 +34,12 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 ASSIGN_VALUE, ACCESS_LENGTH = 12, 18
 
 CANDIDATE = re.compile(r"[A-Za-z0-9_+/=-]{12,}")
-#: Known digests by length, UUIDs, numbers and dates.
+#: Known digests by length, UUIDs, integrity digests, paths of two plain names or more, numbers and dates.
 KNOWN = re.compile(
     r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}"
     r"|[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
+    r"|sha(?:1|224|256|384|512)-[A-Za-z0-9+/]{27,86}={0,2}"
+    r"|/?(?:[A-Z]?[a-z]+(?:[_-][a-z]+)*[0-9]*|[0-9]+)(?:/(?:[A-Z]?[a-z]+(?:[_-][a-z]+)*[0-9]*|[0-9]+))+/?"
     r"|[0-9+/_=-]+|\d{4}-?\d\d-?\d\d[T_-]\d\d(?:[_-]?\d\d){0,2}(?:Z|[+-]\d\d(?:-?\d\d)?)?)"
 )
 #: A date at the start is left out of the test, not what follows it.
@@ -59,30 +63,41 @@ def base_spans(text: str) -> list[Span]:
     return found + [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
 
 
-def _uncovered(low: int, high: int, taken: list[Span]) -> Iterator[tuple[int, int]]:
-    """The parts of a run that no span (by start) covers."""
+def _uncovered(runs: Iterator[re.Match[str]], taken: list[Span]) -> Iterator[tuple[int, int]]:
+    """The parts of the runs that no span covers; both come by start and are passed through once."""
+    covered: list[list[int]] = []
     for _, a, b in taken:
-        if a < high and low < b:
-            if low < a:
-                yield low, a
-            low = max(low, b)
-    if low < high:
-        yield low, high
+        if covered and a <= covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], b)
+        else:
+            covered.append([a, b])
+    at = 0
+    for m in runs:
+        low, high = m.span()
+        while at < len(covered) and covered[at][1] <= low:
+            at += 1
+        i = at
+        while i < len(covered) and covered[i][0] < high:
+            if low < covered[i][0]:
+                yield low, covered[i][0]
+            low = covered[i][1]
+            i += 1
+        if low < high:
+            yield low, high
 
 
 def random_spans(text: str, taken: list[Span], encoder: tiktoken.Encoding, most: float = MOST_CHARS_A_TOKEN) -> list[Span]:
     found = []
-    for m in CANDIDATE.finditer(text):
-        for low, high in _uncovered(m.start(), m.end(), taken):
-            word = text[low:high]
-            if KNOWN.fullmatch(word):
-                continue
-            rest = DATE.sub("", word)
-            if len(rest) < LEAST_LENGTH or not _LETTER.search(rest):
-                continue
-            mixed = _DIGIT.search(rest) or len(_CHANGE.findall(rest)) >= 4
-            if len(rest) <= (most if mixed else min(most, MOST_LETTERS_A_TOKEN)) * len(encoder.encode_ordinary(rest)):
-                found.append(("random", low, high))
+    for low, high in _uncovered(CANDIDATE.finditer(text), taken):
+        word = text[low:high]
+        if KNOWN.fullmatch(word):
+            continue
+        rest = DATE.sub("", word)
+        if len(rest) < LEAST_LENGTH or not _LETTER.search(rest):
+            continue
+        mixed = _DIGIT.search(rest) or len(_CHANGE.findall(rest)) >= 4
+        if len(rest) <= (most if mixed else min(most, MOST_LETTERS_A_TOKEN)) * len(encoder.encode_ordinary(rest)):
+            found.append(("random", low, high))
     return found
 
 
@@ -139,13 +154,14 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[secret]", vocabula
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokenizer.encoding(shared.value)
-        for batch in batches:
-            place = batch.schema.get_field_index(text)
-            values = batch.column(place).to_pylist()
-            for i, value in enumerate(values):
-                if found := spans(value, encoder, most)[1]:
-                    values[i] = redacted(value, found, mark)
-            columns = [pa.array(values, f.type) if i == place else batch.column(i) for i, f in enumerate(batch.schema)]
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+        for whole in batches:
+            for batch in slices(whole, text):
+                place = batch.schema.get_field_index(text)
+                values = batch.column(place).to_pylist()
+                for i, value in enumerate(values):
+                    if found := spans(value, encoder, most)[1]:
+                        values[i] = redacted(value, found, mark)
+                columns = [pa.array(values, f.type) if i == place else batch.column(i) for i, f in enumerate(batch.schema)]
+                yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
     return docs.mapInArrow(run, docs.schema)

@@ -66,6 +66,41 @@ def test_random_strings_of_every_layout():
         assert found(text) == [], text
 
 
+def test_precision_and_recall_of_random_strings():
+    """Planted random strings of many layouts in prose against words, paths, identifiers and digests: figures for the README."""
+    import random
+    import string
+
+    rng, encoder = random.Random(11), tokenizer.encoding(tokenizer.read_ranks())
+    draw = lambda letters, low, high: "".join(rng.choice(letters) for _ in range(rng.randrange(low, high)))
+    mixed, base64 = string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/"
+    secret = [lambda: draw(mixed, 16, 44), lambda: draw(base64, 20, 64) + "==", lambda: "sk_" + draw(mixed, 24, 33), lambda: draw(string.ascii_uppercase + "234567", 16, 33), lambda: draw(mixed + "_-", 20, 44), lambda: draw(string.ascii_lowercase + string.digits, 20, 36)]
+    names = "river house network storage manager config request handler user account python library local share build target service cache".split()
+    plain = [
+        lambda: "/" + "/".join(rng.choice(names) for _ in range(rng.randrange(3, 7))) + str(rng.randrange(9)), lambda: "_".join(rng.choice(names) for _ in range(rng.randrange(2, 5))), lambda: "".join(rng.choice(names).title() for _ in range(3)),
+        lambda: "-".join(rng.choice(names) for _ in range(4)), lambda: "sha256-" + draw(base64, 43, 44) + "=", lambda: draw("0123456789ABCDEF", 64, 65), lambda: f"{draw('0123456789', 4, 5)}-{draw('0123456789', 8, 9)}", lambda: "2024-01-02T03:04:05Z",
+    ]
+    wanted = found = wrong = 0
+    for i in range(600):
+        key, other = secret[i % len(secret)](), plain[i % len(plain)]()
+        text = f"In the {rng.choice(names)} of the town {other} was near, and {key} lay there."
+        got = {text[a:b] for kind, a, b in secrets.spans(text, encoder)[1] if kind != "hex"}
+        wanted, found, wrong = wanted + 1, found + (key in got), wrong + len(got - {key})
+    print(f"recall {found / wanted:.4f}, precision {found / (found + wrong):.4f}")
+    assert found >= 0.97 * wanted and found >= 0.98 * (found + wrong)
+
+
+def test_secrets_take_time_in_proportion():
+    import time
+
+    encoder, took = tokenizer.encoding(tokenizer.read_ranks()), []
+    for n in (5_000, 40_000):
+        began = time.process_time()
+        secrets.spans("the word 0123456789abcdef0 internationalisation " * n, encoder)
+        took.append(time.process_time() - began)
+    assert took[1] < 20 * took[0]
+
+
 def test_wrapped_licenses(spark):
     import textwrap
 
