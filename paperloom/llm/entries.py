@@ -74,22 +74,27 @@ def _licenses_sql() -> str:
         out = f"lower(coalesce({column}, ''))"
         for old, new in licenses.SPELLINGS:
             out = f"replace({out}, {quoted(old)}, {quoted(new)})"
-        return f"regexp_replace(regexp_replace({out}, {quoted(licenses.SYMBOLS)}, ' ', 'g'), {quoted(licenses.COPYRIGHT_LINE)}, '', 'g')"
+        split = f"string_split(regexp_replace({out}, {quoted(licenses.SYMBOLS)}, ' ', 'g'), chr(10))"
+        begins, wrapped, certain = (f"regexp_matches(x, {quoted(r)})" for r in (licenses.STATEMENT, licenses.WRAPPED, licenses.CERTAIN))
+        return f"array_to_string(list_filter({split}, lambda x: NOT ({begins} AND (NOT {wrapped} OR {certain}))), chr(10))"
 
     def canonical(column: str) -> str:
         return f"trim(regexp_replace({column}, '[ ' || chr(10) || ']+', ' ', 'g'))"
 
-    notices = [(k, t) for k, ts in licenses.NOTICES.items() for t in ts]
-    rows = ", ".join(f"({quoted(k)}, {quoted(t)}, {i >= len(licenses.TEXTS)})" for i, (k, t) in enumerate([*licenses.TEXTS.items(), *notices]))
+    notices = {t for ts in licenses.NOTICES.values() for t in ts}
+    rows = ", ".join(f"({quoted(k)}, {quoted(t)}, {t in notices})" for k, t in licenses.whole_texts())
+    digests = ", ".join(f"({quoted(k)}, {quoted(d)})" for k, d in licenses.DIGESTS)
     return f"""
 WITH raw(license, text, notice) AS (VALUES {rows}),
 known AS (SELECT license, notice, {canonical(lines("text"))} AS body FROM raw),
+fixed(license, digest) AS (VALUES {digests}),
+digests AS (SELECT digest, min(license) AS license FROM (SELECT license, sha256(body) AS digest FROM known UNION ALL SELECT license, digest FROM fixed) GROUP BY digest),
 d AS (SELECT row_number() OVER () AS rid, doc_id, {lines("text")} AS lines FROM documents),
 hit AS (
   SELECT rid, string_agg(DISTINCT k.license, ',' ORDER BY k.license) AS line_licenses
   FROM (SELECT rid, trim(unnest(string_split(lines, chr(10)))) AS line FROM d) l JOIN known k ON k.notice AND k.body = l.line GROUP BY rid)
 SELECT doc_id, sha256({canonical("lines")}) AS digest, k.license, coalesce(line_licenses, '') AS line_licenses
-FROM d LEFT JOIN hit USING (rid) LEFT JOIN known k ON sha256(k.body) = sha256({canonical("lines")})
+FROM d LEFT JOIN hit USING (rid) LEFT JOIN digests k ON k.digest = sha256({canonical("lines")})
 """
 
 

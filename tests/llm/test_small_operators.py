@@ -101,12 +101,28 @@ def test_secrets_take_time_in_proportion():
     assert took[1] < 20 * took[0]
 
 
+def plain_canonical(text):
+    """The canonical form once more, word by word in plain Python."""
+    text = text.lower()
+    for old, new in licenses.SPELLINGS:
+        text = text.replace(old, new)
+    words = []
+    for line in text.split("\n"):
+        here = "".join(c if c.isalpha() or c.isnumeric() else " " for c in line).split()
+        certain = here[:1] == ["copyright"] and (len(here) == 1 or here[1] in ("c", "year") or here[1][0].isdigit() or re.fullmatch("y{2,4}", here[1]) is not None)
+        wrapped = here[:1] == ["copyright"] and len(here) > 1 and (here[1] in "notice notices holder holders owner owners law laws license licenses statement statements interest interests and or in to on by of is are".split() or here[1:3] == ["the", "software"])
+        if certain or here[:1] == ["copyright"] and not wrapped or here[:3] == ["all", "rights", "reserved"] or here[:1] == ["c"] and len(here) > 1 and here[1][0].isdigit():
+            continue
+        words += here
+    return " ".join(words)
+
+
 def test_wrapped_licenses(spark):
     import textwrap
 
     rows = []
     for name, text in licenses.TEXTS.items():
-        body = text[text.index("Permission") :]
+        body = text.removeprefix(licenses.TITLES[name][1]).replace("Copyright (c) <year> <holder>", "").strip("\n")
         for title in licenses.TITLES[name]:
             for holder in ("Copyright (c) 2020 Me", "Copyright 2020, Me", "Copyright The Authors", "(c) 2020 Me\nAll rights reserved."):
                 for width in (40, 60, 76, 80, 10_000):
@@ -114,8 +130,44 @@ def test_wrapped_licenses(spark):
                     rows.append((name, f"{title}\n\n{holder}\n\n{wrapped}\n"))
         for word in ("copyright notice", "COPYRIGHT HOLDERS"):
             rows.append((name, text.replace(word, "\n" + word)))
-    got = licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
-    assert len(got) == len(rows) and all(r["license"] == r["doc_id"] for r in got)
+    got = licenses.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id int, text string")).collect()
+    assert len(got) == len(rows) and len(set(licenses.TEXTS)) == 9
+    for r in got:
+        name, text = rows[r["doc_id"]]
+        assert r["license"] == name, text[:300]
+        assert r["digest"] == hashlib.sha256(plain_canonical(text).encode()).hexdigest(), text[:300]
+
+
+def test_long_licenses_and_ones_own_table(spark):
+    from pathlib import Path
+
+    folder = Path("/usr/share/common-licenses")
+    files = {"Apache-2.0": "Apache-2.0", "GPL-3.0": "GPL-3", "MPL-2.0": "MPL-2.0", "LGPL-2.1": "LGPL-2.1", "CC0-1.0": "CC0-1.0"}
+    if folder.exists():
+        rows = [(k, (folder / f).read_text().replace("\n", "  \n")) for k, f in files.items() if (folder / f).exists()]
+        got = licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+        assert all(r["license"] == r["doc_id"] for r in got)
+    own = spark.createDataFrame([("Ours-1", "Do what is right.\nCopyright 2020 Us"), ("Ours-0", "do what is RIGHT")], "license string, text string")
+    docs = spark.createDataFrame([(1, "DO what is -- right!"), (2, licenses.TEXTS["MIT"])], "doc_id int, text string")
+    assert {r["doc_id"]: r["license"] for r in licenses.scan(docs, texts=own).collect()} == {1: "Ours-0", 2: None}
+
+
+def test_licenses_sql(spark, odd, tmp_path):
+    """Spark and the SQL on a table that holds licences, wrapped and not, and odd rows."""
+    import duckdb
+
+    from paperloom.llm import entries
+
+    rows = [(i, t) for i, (_, t) in enumerate(licenses.whole_texts())] + [(1000 + i, t.replace("copyright notice", "\ncopyright notice")) for i, t in enumerate(licenses.TEXTS.values())]
+    rows += [(2000, "Some text\n  Released under the MIT licence!\nmore\ncopyright is a word\nCopyright yyyy You"), (2001, "copyright")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").union(odd.select("doc_id", "text"))
+    df.write.parquet(f"{tmp_path}/d")
+    df.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        want = c.execute(entries.ORACLE_SQL["op5_licenses"]).fetchall()
+    got = [tuple(r) for r in entries.op5_licenses(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and sum(r[2] is not None for r in got) > 50
 
 
 def test_licenses(spark, odd, none):
