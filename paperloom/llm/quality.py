@@ -5,11 +5,13 @@ norm; shares of symbols, capitals, digits, repeated words, short lines and the l
 overlapping steps; and its length. The machine adds a linear term and pairwise interactions of rank ``RANK``, scored in
 linear time by half the difference of the squared sum and the sum of squares.
 
-Learning runs on the driver over a bounded, deterministic sample of labelled rows (``max_rows``, the
-least by hash of the id); scoring is one narrow pass over whole texts.
+Executors turn whole texts into features, at most ``N_FEATURES`` for a text of any length. Learning runs on the driver over the features of a
+bounded, deterministic sample of labelled rows (``max_rows``, the least by hash of the id); scoring is one narrow pass over whole texts.
 
 Defined cases: a null or empty text is scored by its structure alone; rows without a label teach
-nothing; several labels of an id each count; with no labels every score is 0.5; with labels of one kind the scores follow it.
+nothing; several labels of an id each count, once however often its row is repeated, and of an id with several texts the one of the least
+hash teaches; very long texts are counted whole; equal texts have equal scores; with no labels, or none that meet a document, every score is 0.5;
+with labels of one kind the scores follow it; other columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -115,13 +117,12 @@ def _logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit(texts: list[bytes], labels: np.ndarray, rounds: int = 20, batch: int = 64, rate: float = 0.05, seed: int = 7) -> Machine:
-    """Adaptive-gradient descent on the logistic loss."""
+def fit(bounds: np.ndarray, at: np.ndarray, values: np.ndarray, labels: np.ndarray, rounds: int = 20, batch: int = 64, rate: float = 0.05, seed: int = 7) -> Machine:
+    """Adaptive-gradient descent on the logistic loss, from sparse rows as features() gives them."""
     rng = np.random.default_rng(seed)
     linear, factors, bias = np.zeros(N_FEATURES), rng.normal(0, 0.01, (N_FEATURES, RANK)), 0.0
     if not len(labels):
         return Machine(0.0, linear, np.zeros_like(factors))
-    bounds, at, values = features(texts)
     seen_linear, seen_factors, seen_bias = np.full(N_FEATURES, 1e-6), np.full((N_FEATURES, RANK), 1e-6), 1e-6
     rows = np.arange(len(labels))
     for _ in range(rounds):
@@ -149,16 +150,32 @@ def fit(texts: list[bytes], labels: np.ndarray, rounds: int = 20, batch: int = 6
 
 
 def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", max_rows: int = 6000) -> Machine:
-    """A machine from at most ``max_rows`` labels, the least by hash of their id, and their texts.
+    """A machine from at most ``max_rows`` labels, the least by hash of their id, and the features of their texts.
 
-    The sample is chosen among the labels alone, so its broadcast to the texts has that bound.
+    The sample is chosen among the labels alone, so its broadcast to the texts has that bound; what reaches the driver are max_rows sparse rows.
     """
     chosen = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_id"), F.col(label).cast("double").alias("_label"))
     chosen = chosen.withColumn("_h", F.xxhash64("_id")).orderBy("_h", "_id", "_label").limit(max_rows)
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("_text")).join(F.broadcast(chosen), "_id")
-    table = rows.orderBy("_h", "_id", "_label", "_text").select("_text", "_label").toArrow()
-    known = np.asarray(table.column("_label").to_pylist(), dtype=float)
-    return fit([(x or "").encode("utf-8", "replace") for x in table.column("_text").to_pylist()], (known > 0.5).astype(float))
+    known = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text")).join(F.broadcast(chosen.select("_id").distinct()), "_id", "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "_text"):
+                bounds, at, values = features(as_bytes(batch.column(1)))
+                offsets = pa.array(bounds, pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x, kind)) for x, kind in ((at, pa.int32()), (values, pa.float64()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *lists], names=["_id", "_mark", "_at", "_values"])
+
+    kind = known.schema["_id"].dataType.simpleString()
+    found = known.select("_id", "_text", F.xxhash64("_text").alias("_mark")).mapInArrow(run, f"_id {kind}, _mark long, _at array<int>, _values array<double>")
+    one = found.groupBy("_id").agg(F.min_by(F.struct("_at", "_values"), "_mark").alias("_row"))
+    table = one.join(F.broadcast(chosen), "_id").orderBy("_h", "_id", "_label").select("_row.*", "_label").toArrow().combine_chunks()
+    labels = (np.asarray(table.column("_label").to_pylist(), dtype=float) > 0.5).astype(float)
+    if not len(labels):
+        return fit(np.zeros(1, np.int64), np.empty(0, np.int64), np.empty(0), labels)
+    at, values = (table.column(c).combine_chunks() for c in ("_at", "_values"))
+    sizes = at.value_lengths().to_numpy()
+    return fit(np.concatenate([[0], np.cumsum(sizes)]), at.flatten().to_numpy().astype(np.int64), values.flatten().to_numpy(), labels)
 
 
 def score(docs: DataFrame, machine: Machine, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
