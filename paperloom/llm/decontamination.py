@@ -3,14 +3,15 @@
 Executors cut their documents into shards of about ``SHARD_WORDS`` words (a longer text becomes
 overlapping pieces), index each shard once, search the benchmark's windows backwards through the
 wavelet ranks, locate the matches by sampled suffix positions and merge them into spans. There
-is no shuffle. The benchmark reaches executors in blocks of at most ``BLOCK_WORDS`` words, each
-searched in turn, so its broadcast size is bounded whatever its length.
+is no shuffle. The benchmark, which does not grow with the corpus, reaches executors in blocks of about ``BLOCK_WORDS`` words, each
+searched in turn; there may be ``MOST_BLOCKS`` of them, and a larger benchmark is refused with a ValueError, to be searched in parts.
 
 A window is ``window`` consecutive words of an item; an item of fewer words, but not none, is one.
 
 Defined cases: a null or empty text has no words and is clean; items without words are no items; a
 null item id counts as an empty one; equal item ids are one item; an empty benchmark leaves every
-document clean; repeated rows get equal results.
+document clean; repeated rows get equal results; very long texts are indexed in overlapping pieces; ``contamination`` reads no other columns,
+``cut`` passes them through, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from paperloom.llm.words import as_bytes, slices, words
 
 SHARD_WORDS = 1 << 19
 BLOCK_WORDS = 1 << 20
+MOST_BLOCKS = 16
 _SLICE = 3 << 20
 
 
@@ -158,7 +160,12 @@ def _spans(hits: Hits, doc: int, base: int) -> list[tuple[int, int]]:
 
 def _share(benchmark: DataFrame, item_id: str, text: str, window: int) -> list[Broadcast]:
     context = benchmark.sparkSession.sparkContext
-    return [context.broadcast(block) for block in blocks(benchmark, item_id, text, window)]
+    shared = []
+    for block in blocks(benchmark, item_id, text, window):
+        if len(shared) == MOST_BLOCKS:
+            raise ValueError(f"the benchmark has more than {MOST_BLOCKS} blocks of {BLOCK_WORDS} words; search it in parts")
+        shared.append(context.broadcast(block))
+    return shared
 
 
 def contamination(
