@@ -6,7 +6,7 @@ distance of ``SPACING`` content words. The set of a text's signatures is its fin
 1/0.8, and two sets are compared by their Jaccard similarity, which their sizes alone can rule out.
 
 Fingerprints are one narrow pass over whole texts. ``edited`` gives each document the next one by
-descending id: documents are dealt to ranges of the id (one shuffle of the texts), and the first
+descending id: documents are dealt to ranges of the id (one shuffle of the texts, by range, so that a task has about one), and the first
 document of each range is sent to the range before as well, so no row needs a global order.
 
 Defined cases: null is the empty text; an empty text has an empty fingerprint, like only to
@@ -115,43 +115,33 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, n_signatures long, band int, fingerprint string")
 
 
-def matches(docs: DataFrame, queries: DataFrame, least: float = 0.8, block_rows: int = 2000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(query_id, doc_id, likeness) of each query text's matches among all documents.
+def matches(docs: DataFrame, queries: DataFrame, least: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(query_id, doc_id, likeness) of each query text's matches among all documents, likeness of ``least`` (above 0) or more.
 
-    Queries are broadcast in blocks of ``block_rows``; in a block they are indexed by size band and by
-    signature, and a pair is compared only if bands are near and a signature is shared.
+    A set's first signatures, in the order of their hashes, are as many as may be missing from a match and one more; two matching sets share one of
+    these, and their sizes lie within ``least`` of each other. So documents and queries meet by size band and first signatures in a hash join, and only
+    pairs whose sizes allow it are compared. Empty texts match none.
     """
-    context = docs.sparkSession.sparkContext
-    shared, pending = [], []
-    for row in queries.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text")).toLocalIterator():
-        pending.append((row["id"], signature_sets([(row["text"] or "").encode("utf-8", "replace")])[0]))
-        if len(pending) == block_rows:
-            shared.append(context.broadcast(pending))
-            pending = []
-    shared.append(context.broadcast(pending))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        indexes = []
-        for block in shared:
-            index: dict[tuple[int, int], list[int]] = {}
-            for i, (_, signatures) in enumerate(block.value):
-                for s in signatures.tolist():
-                    index.setdefault((band(len(signatures)), s), []).append(i)
-            indexes.append((block.value, index))
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                out: list[tuple] = []
-                for own, signatures in zip(batch.column(0).to_pylist(), signature_sets(as_bytes(batch.column(1))), strict=True):
-                    near = [band(len(signatures)) + d for d in (-1, 0, 1)]
-                    for block, index in indexes:
-                        found = {i for s in signatures.tolist() for b in near for i in index.get((b, s), ())}
-                        out += [(block[i][0], own, x) for i in found if (x := likeness(block[i][1], signatures, least)) >= least]
-                columns = list(zip(*out, strict=True)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.schema.field(0).type), pa.array(columns[1], batch.schema.field(0).type), pa.array(columns[2], pa.float64())], names=["query_id", "doc_id", "likeness"])
+    def sides(df: DataFrame, name: str, spread: int) -> DataFrame:
+        known = fingerprints(df, doc_id, text).where("n_signatures > 0").select(F.col("doc_id").alias(f"{name}_id"), F.col("n_signatures").alias(f"{name}_size"), F.col("fingerprint").alias(name), "band")
+        first = F.col(f"{name}_size") - F.ceil(F.col(f"{name}_size") * least - 1e-9) + 1
+        pieces = F.transform(F.sequence(F.lit(0), F.col(f"{name}_size") - 1), lambda i: F.substring(F.col(name), (i * 8 + 1).cast("int"), F.lit(8)))
+        chosen = F.slice(F.array_sort(F.transform(pieces, lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("s")))), F.lit(1), first.cast("int"))
+        bands = F.explode(F.sequence(F.col("band") - spread, F.col("band") + spread))
+        return known.withColumn("first", F.explode(chosen["h"])).withColumn("near", bands).drop("band")
 
-    narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    kind = narrow.schema["doc_id"].dataType.simpleString()
-    return narrow.mapInArrow(run, f"query_id {kind}, doc_id {kind}, likeness double")
+    spread = int(np.ceil(np.log(least) / np.log(BAND) - 1e-9))
+    met = sides(queries, "query", spread).join(sides(docs, "other", 0), ["first", "near"])
+    sizes = F.least("query_size", "other_size") >= least * F.greatest("query_size", "other_size") - 1e-9
+    pairs = met.where(sizes).select("query_id", "other_id", "query", "other").distinct()
+
+    @F.pandas_udf("double")
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([likeness(parsed(x), parsed(y)) for x, y in zip(a, b, strict=True)])
+
+    scored = pairs.select("query_id", F.col("other_id").alias("doc_id"), alike.asNondeterministic()("query", "other").alias("likeness"))
+    return scored.where(F.col("likeness") >= least)
 
 
 def _ranges(docs: DataFrame, ranges: int) -> np.ndarray:
@@ -191,7 +181,7 @@ def edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
         return pd.Series([[int(p), int(p - 1) % len(ascending)] if f else [int(p)] for p, f in zip(own, first, strict=True)])
 
     rows = narrow.withColumn("parts", parts("doc_id")).select("doc_id", "text", F.posexplode("parts").alias("tail", "part"))
-    dealt = rows.repartition(max(1, len(heads)), "part").sortWithinPartitions("part", "tail", F.desc_nulls_last("doc_id"), "text")
+    dealt = rows.repartitionByRange(max(1, len(heads)), "part").sortWithinPartitions("part", "tail", F.desc_nulls_last("doc_id"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: tuple[int | None, str] | None = None  # the last document, whose next is not known yet

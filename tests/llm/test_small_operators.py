@@ -248,6 +248,26 @@ def test_quality(spark, odd, none):
     assert quality.score(odd, machine).count() == odd.count() and quality.score(none, machine).count() == 0
 
 
+def test_quality_of_held_out_documents(spark):
+    """The query on the given tables: held-out labels are told apart."""
+    from paperloom.llm import entries
+
+    folder = "/root/testdata/sf0.01"
+    scores = {r["doc_id"]: (r["held_out"], r["score"], r["predicted"]) for r in entries.op8_quality(spark, folder).collect()}
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{folder}/labels.parquet").where("quality is not null").collect()}
+    good, bad = ([scores[i][1] for i, q in labels.items() if q == k and scores[i][0]] for k in (1, 0))
+    ranked = sum((g > b) + (g == b) / 2 for g in good for b in bad) / (len(good) * len(bad))
+    print(f"held-out area under the curve {ranked:.4f} on {len(good)} + {len(bad)} labels")
+    assert len(good) > 20 and len(bad) > 5 and ranked > 0.95
+
+
+def test_repeated_rows_and_texts_teach_once(spark):
+    docs = [(i, f"the {i} house of the river" if i % 2 else f"### {i} $$$") for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id int, quality int")
+    once, often = (quality.learn(spark.createDataFrame(rows, "doc_id int, text string"), labels) for rows in (docs, docs * 3))
+    assert once.bias == often.bias and (once.linear == often.linear).all()
+
+
 def test_factorisation_machine_equals_pairwise_sum():
     rng = np.random.default_rng(1)
     machine = quality.Machine(0.3, rng.normal(size=quality.N_FEATURES), rng.normal(size=(quality.N_FEATURES, quality.RANK)))

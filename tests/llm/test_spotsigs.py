@@ -44,4 +44,26 @@ def test_odd_rows(spark, odd, none):
     assert S.edited(odd).count() == S.fingerprints(odd).count() == odd.count()
     assert S.edited(none).count() == 0 and S.fingerprints(none).count() == 0
     same = S.matches(odd, odd.where("doc_id = 1").limit(1)).collect()
-    assert len(same) == 2 and all(r["likeness"] == 1.0 for r in same)
+    assert {r["doc_id"] for r in same} == {1} and all(r["likeness"] == 1.0 for r in same)
+
+
+@pytest.mark.parametrize("least", [0.8, 0.5])
+def test_matches_equal_brute_force(spark, least):
+    import random
+
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    rows = []
+    for _ in range(25):
+        base = [w for _ in range(rng.choice([2, 20, 60])) for w in ("the", word(), word())]
+        for k in range(6):
+            own = list(base)
+            for _ in range(rng.randrange(0, 1 + len(base) // 15)):
+                own[rng.randrange(len(own))] = word()
+            rows.append((len(rows), " ".join(own[: len(own) - 3 * (k // 3)])))
+    sets = S.signature_sets([t.encode() for _, t in rows])
+    want = {(i, j): S.likeness(a, b) for i, a in enumerate(sets[::5]) for j, b in enumerate(sets) if len(a) and len(b)}
+    want = {(5 * i, j): x for (i, j), x in want.items() if x >= least}
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    got = {(r["query_id"], r["doc_id"]): r["likeness"] for r in S.matches(df, df.where("doc_id % 5 = 0"), least).collect()}
+    assert got == want and len(want) > 35
