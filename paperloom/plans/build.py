@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as X
-from paperloom.operators import latex, link, notes
+from paperloom.operators import latex, link, notes, pdftext
 from paperloom.operators.match import resolve_citations
+from paperloom.operators.revisions import hunks
 from paperloom.operators.store import with_ids
 
 
@@ -61,16 +62,35 @@ def arxiv_tables(documents: DataFrame, metadata: DataFrame, authors: DataFrame,
     }
 
 
-def venue_tables(raw: DataFrame, profiles: DataFrame, revisions: DataFrame, papers: DataFrame | None = None) -> dict[str, DataFrame]:
+def _differences(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(modified, content): the hunks between the texts of each pair of revisions, as a JSON array in order."""
+    old = texts.select(F.col("revision_openreview_id").alias("original"), F.col("text").alias("old"))
+    new = texts.select(F.col("revision_openreview_id").alias("modified"), F.col("text").alias("new"))
+    both = pairs.select("original", "modified").join(old, "original").join(new, "modified").select(F.col("modified").alias("pair"), "old", "new")
+    names = ["context_before", "original_lines", "modified_lines", "context_after"]
+    each = F.array_sort(F.collect_list(F.struct("hunk", *names)))
+    content = F.to_json(F.transform(each, lambda h: F.struct(*[h[n].alias(n) for n in names])))
+    return hunks(both).groupBy("pair").agg(content.alias("content")).withColumnRenamed("pair", "modified")
+
+
+def venue_tables(
+    raw: DataFrame, profiles: DataFrame, revisions: DataFrame, papers: DataFrame | None = None, texts: DataFrame | None = None, revision_texts: DataFrame | None = None, boilerplate: list[str] | None = None
+) -> dict[str, DataFrame]:
     """Tables of one or many venues out of raw notes, author profiles and revisions.
 
-    revisions: venue, paper_openreview_id, revision_openreview_id, title, time; papers: arXiv rows for the links.
+    revisions: venue, paper_openreview_id, revision_openreview_id, title, time; papers: arXiv rows for the links;
+    texts: venue, paper_openreview_id, text, extracted from PDFs, for the paragraphs; revision_texts: revision_openreview_id, text, for
+    the contents of openreview_revisions, which are null without.
     """
     submissions = notes.papers(raw)
     edges = notes.paper_reviews(raw)
     pairs = link.consecutive(revisions, "paper_openreview_id", "revision_openreview_id", "time")
     linked = link.as_of(edges, revisions)
     venue = revisions.select("revision_openreview_id", "venue").distinct()
+    if revision_texts is None:
+        changed = pairs.withColumn("content", F.lit(None).cast("string"))
+    else:
+        changed = pairs.join(_differences(pairs, revision_texts), "modified", "left")
     out = {
         "openreview_papers": submissions,
         "openreview_authors": notes.profiles(profiles),
@@ -78,11 +98,15 @@ def venue_tables(raw: DataFrame, profiles: DataFrame, revisions: DataFrame, pape
         "openreview_papers_authors": notes.paper_authors(raw),
         "openreview_papers_reviews": edges,
         "openreview_papers_revisions": revisions,
-        "openreview_revisions": pairs.join(venue.withColumnRenamed("revision_openreview_id", "modified"), "modified").select(
-            "venue", F.col("original").alias("original_openreview_id"), F.col("modified").alias("revision_openreview_id"), "time"
+        "openreview_revisions": changed.join(venue.withColumnRenamed("revision_openreview_id", "modified"), "modified").select(
+            "venue", F.col("original").alias("original_openreview_id"), F.col("modified").alias("revision_openreview_id"), "content", "time"
         ),
         "openreview_revisions_reviews": linked.join(venue, "revision_openreview_id").select("venue", "revision_openreview_id", "review_openreview_id"),
     }
     if papers is not None:
         out["openreview_arxiv"] = link.exact_titles(submissions, papers)
+    if texts is not None:
+        venues = texts.select("paper_openreview_id", "venue").distinct()
+        found = pdftext.paragraphs(texts.select("paper_openreview_id", "text"), boilerplate).join(venues, "paper_openreview_id")
+        out["openreview_paragraphs"] = found.select("venue", "paper_openreview_id", "paragraph_idx", "section", "content")
     return out

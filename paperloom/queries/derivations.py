@@ -115,7 +115,11 @@ def f28(b: Bindings) -> DataFrame:
     )
 
 
-@query("f31_title_similarity")
+@query(
+    "f31_title_similarity",
+    rf"WITH t AS (SELECT doc_id, trim(regexp_replace(lower(coalesce(title, '')), '\s+', ' ', 'g')) AS a FROM ({_TITLE})) "
+    "SELECT doc_id AS id, CASE WHEN length(a) < 4 THEN 100e0 ELSE 200e0 * (length(a) - 1) / (2 * length(a) - 1) END AS score FROM t",
+)
 def f31(b: Bindings) -> DataFrame:
     """exact scores of titles and themselves with one letter less."""
     rows = b.papers().select("id", X.normalize_title("title").alias("a")).withColumn("b", F.concat(F.substring("a", 1, 3), F.expr("substring(a, 5)")))
@@ -300,7 +304,9 @@ def g2(b: Bindings) -> DataFrame:
     "SELECT 'arxiv_papers' AS name, (SELECT n FROM d) AS n UNION ALL SELECT 'arxiv_categories', (SELECT count(DISTINCT lang) FROM documents) UNION ALL SELECT 'arxiv_sections', (SELECT n FROM g) UNION ALL SELECT 'arxiv_figures', 2 * (SELECT n FROM g) "
     "UNION ALL SELECT 'arxiv_tables', (SELECT n FROM g) UNION ALL SELECT 'arxiv_citations', 4 * (SELECT n FROM d) UNION ALL SELECT 'arxiv_paper_authors', (SELECT n FROM d) UNION ALL SELECT 'arxiv_paper_category', (SELECT n FROM d) "
     "UNION ALL SELECT 'arxiv_paper_figures', 2 * (SELECT n FROM g) UNION ALL SELECT 'arxiv_paper_tables', (SELECT n FROM g) UNION ALL SELECT 'arxiv_paragraph_figures', (SELECT n FROM g) UNION ALL SELECT 'arxiv_paragraph_tables', (SELECT n FROM g) "
-    "UNION ALL SELECT 'arxiv_paragraph_references', 2 * (SELECT n FROM g)",
+    "UNION ALL SELECT 'arxiv_paragraph_references', 2 * (SELECT n FROM g) "
+    f"UNION ALL SELECT 'arxiv_paragraphs', (SELECT n FROM g) + (SELECT count(*) FROM ({_LINES}) a WHERE i % 2 = 0 AND line <> '' AND EXISTS (SELECT 1 FROM ({_LINES}) b WHERE b.doc_id = a.doc_id AND b.i = a.i + 1)) "
+    f"UNION ALL SELECT 'arxiv_paragraph_citations', (SELECT sum(CASE WHEN g % 4 = 0 THEN 1 ELSE 2 END) FROM ({_GROUPS}))",
 )
 def g4(b: Bindings) -> DataFrame:
     """G4, S5 (the document's shape): every table out of paper graphs and metadata, counted."""
@@ -309,18 +315,35 @@ def g4(b: Bindings) -> DataFrame:
         F.array("lang").alias("categories"), F.lit("u").alias("url"),
     )
     authors = b.table("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_suppkey").cast("string").alias("semantic_scholar_id"), F.col("s_name").alias("name"))
-    tables = build.arxiv_tables(b.paper_graphs(), metadata, authors)
-    skipped = {"arxiv_paragraphs", "arxiv_paragraph_citations"}
-    counts = [df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n")) for name, df in tables.items() if name not in skipped]
+    references = b.table("documents").select(  # each names the title of the key without a cited id
+        F.col("doc_id").cast("string").alias("citing_arxiv_id"), F.lit("2301.00009").alias("cited_arxiv_id"), F.lit("Title k3").alias("cited_paper_name"), F.lit(1).alias("at")
+    )
+    return _counted(build.arxiv_tables(b.paper_graphs(), metadata, authors, references))
+
+
+def _counted(tables: dict[str, DataFrame]) -> DataFrame:
+    counts = [df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n")) for name, df in tables.items()]
     out = counts[0]
     for more in counts[1:]:
         out = out.unionByName(more)
     return out
 
 
-@query("g5_venue_build", "SELECT 'openreview_papers' AS name, count(DISTINCT conv_id) AS n FROM conversations UNION ALL SELECT 'openreview_reviews', count(*) FROM conversations WHERE turn > 0 UNION ALL SELECT 'openreview_papers_reviews', count(*) FROM conversations WHERE turn > 0 UNION ALL SELECT 'openreview_papers_authors', count(DISTINCT conv_id) FROM conversations UNION ALL SELECT 'openreview_authors', count(*) FROM customer")
+_PURCHASES = "SELECT user_id, event_id, ts FROM events WHERE event_type = 'purchase'"
+
+
+@query(
+    "g5_venue_build",
+    "WITH c AS (SELECT count(DISTINCT conv_id) AS n FROM conversations), r AS (SELECT count(*) AS n FROM conversations WHERE turn > 0), "
+    f"w AS (SELECT count(*) - count(DISTINCT user_id) AS n, count(*) AS events FROM ({_PURCHASES})) "
+    "SELECT 'openreview_papers' AS name, (SELECT n FROM c) AS n UNION ALL SELECT 'openreview_reviews', (SELECT n FROM r) UNION ALL SELECT 'openreview_papers_reviews', (SELECT n FROM r) "
+    "UNION ALL SELECT 'openreview_papers_authors', (SELECT n FROM c) UNION ALL SELECT 'openreview_authors', (SELECT count(*) FROM customer) UNION ALL SELECT 'openreview_papers_revisions', (SELECT events FROM w) "
+    "UNION ALL SELECT 'openreview_revisions', (SELECT n FROM w) UNION ALL SELECT 'openreview_revisions_reviews', (SELECT count(*) FROM conversations WHERE turn > 0 AND "
+    f"conv_id IN (SELECT user_id FROM ({_PURCHASES}))) UNION ALL SELECT 'openreview_arxiv', (SELECT n FROM c) UNION ALL SELECT 'openreview_paragraphs', (SELECT n FROM c) "
+    "UNION ALL SELECT 'with content', (SELECT n FROM w)",
+)
 def g5(b: Bindings) -> DataFrame:
-    """All tables of a venue, counted."""
+    """All tables of a venue, counted, and the revisions with the hunk that their generated texts hold. Users with the id of a conversation revise its paper."""
     raw = b.notes().select(
         "venue", "id", "replies", F.lit("t").alias("title"), F.lit("a").alias("abstract"), F.lit("p").alias("pdf"), F.lit("Conf.cc/2024/Conference").alias("venueid"), F.lit("Conf 2024 poster").alias("venue_text"), F.array(F.lit("a"), F.lit("a")).alias("authorids")
     )
@@ -331,13 +354,12 @@ def g5(b: Bindings) -> DataFrame:
     )
     profiles = b.table("customer").select(F.lit("Conf.cc/2024/Conference").alias("venue"), F.col("c_custkey").cast("string").alias("id"), content.alias("content"))
     changed = b.revisions().withColumn("venue", F.lit("v")).withColumn("title", F.lit("t"))
-    tables = build.venue_tables(raw, profiles, changed)
-    names = ["openreview_papers", "openreview_reviews", "openreview_papers_reviews", "openreview_papers_authors", "openreview_authors"]
-    counts = [tables[n].agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("n")) for n in names]
-    out = counts[0]
-    for more in counts[1:]:
-        out = out.unionByName(more)
-    return out
+    papers = b.table("supplier").select(F.col("s_suppkey").cast("string").alias("arxiv_id"), F.lit("T!").alias("title"))
+    layout = F.concat(F.lit("Title\n\nAbstract\n\nAn abstract of paper number "), F.col("id"), F.lit(".\n\nReferences\n\n[1] x"))
+    versions = changed.select("revision_openreview_id", F.concat(F.lit("same\nlines of "), F.col("revision_openreview_id"), F.lit("\nend")).alias("text"))
+    tables = build.venue_tables(raw, profiles, changed, papers, raw.select("venue", F.col("id").alias("paper_openreview_id"), layout.alias("text")), versions)
+    own = F.get_json_object("content", "$[0].modified_lines") == F.concat(F.lit("lines of "), F.col("revision_openreview_id"))
+    return _counted(tables | {"with content": tables["openreview_revisions"].where(own)})
 
 
 # Texts of PDFs and their revisions

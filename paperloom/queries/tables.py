@@ -67,6 +67,24 @@ def s4(b: Bindings) -> DataFrame:
     return imports.read_dois(b.spark, path)
 
 
+@query(
+    "s5_paper_graphs",
+    "WITH g AS (SELECT doc_id, greatest(1, (len(string_split(text, chr(10))) + 1) // 2) AS n FROM documents) "
+    "SELECT CAST(doc_id AS VARCHAR) AS paper_arxiv_id, CAST(n AS INTEGER) AS sections, CAST(n AS INTEGER) AS figures, CAST(n AS INTEGER) AS parts, CAST(n AS INTEGER) AS tables, 4 AS citations, greatest(0, n - 2) AS appendix FROM g",
+)
+def s5(b: Bindings) -> DataFrame:
+    """Nested documents written as JSON lines, with others of the history among them, and read again."""
+    path = _fresh(b, "graphs")
+    graphs = b.paper_graphs()
+    graphs.unionByName(graphs.withColumn("paper_arxiv_id", F.concat("paper_arxiv_id", F.lit("_history")))).write.json(path)
+    rows = imports.read_paper_graphs(b.spark, path, lines=True)
+    parts = F.aggregate("figure", F.lit(0), lambda n, f: n + F.size(f["subfigures"]))
+    appendix = F.size(F.filter(F.map_values("sections"), lambda s: s["appendix"] == "true")).cast("long")
+    return rows.select(
+        "paper_arxiv_id", F.size("sections").alias("sections"), F.size("figure").alias("figures"), parts.alias("parts"), F.size("table").alias("tables"), F.size("citations").alias("citations"), appendix.alias("appendix")
+    )
+
+
 @query("s6_metadata_required", "SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderpriority AS title FROM orders WHERE o_orderstatus <> 'P'")
 def s6(b: Bindings) -> DataFrame:
     """Side-car rows without a required field are set apart."""

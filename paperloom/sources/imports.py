@@ -60,8 +60,14 @@ def read_dois(spark: SparkSession, path: str) -> DataFrame:
     return found.where("arxiv_id is not null").distinct()
 
 
-def read_paper_graphs(spark: SparkSession, path: str) -> DataFrame:
-    """Paper-graph documents with paper_arxiv_id from the file name; files of the history are skipped."""
+def read_paper_graphs(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Paper-graph documents with paper_arxiv_id: one a file, named by it, or with ``lines`` one a line that holds it.
+
+    Documents of the history are skipped. Of many papers the second form spares as many small files.
+    """
+    if lines:
+        named = spark.read.schema(f"paper_arxiv_id string, {PAPER_GRAPH}").json(path)
+        return named.where(~F.col("paper_arxiv_id").contains("history"))
     rows = spark.read.schema(PAPER_GRAPH).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(path)
     named = rows.withColumn("paper_arxiv_id", F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", ""))
     return named.where(~F.col("paper_arxiv_id").contains("history"))
