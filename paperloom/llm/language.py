@@ -59,11 +59,11 @@ def _plain(text: str) -> bytes:
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", passages: int = 64, min_margin: float = 0.01) -> LanguageModel:
     """Dictionaries of so many passages from the labelled rows; at most MAX_LANGUAGES languages, else ValueError."""
     rows = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).where("lang is not null")
-    cuts = F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1)), F.lit(PASSAGE))
-    found = F.filter(F.transform(cuts, lambda i: F.substring(F.col("text"), i, F.lit(PASSAGE))), lambda x: x.rlike(USABLE))
-    pieces = rows.select("lang", F.explode(found).alias("text")).withColumn("key", F.xxhash64("text"))
+    cut = F.regexp_extract_all("text", F.lit(rf"(?s).{{1,{PASSAGE}}}"), F.lit(0))  # in time that grows with the text, unlike substrings by place
+    pieces = rows.select("lang", F.explode(cut).alias("text")).withColumn("key", F.xxhash64("text"))
     texts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    different = pieces.groupBy("lang").agg(F.approx_count_distinct("key").alias("pieces"))
+    usable = F.col("text").rlike(USABLE)
+    different = pieces.where(usable).groupBy("lang").agg(F.approx_count_distinct("key").alias("pieces"))
     counted = texts.join(different, "lang", "left").select("lang", "n", F.coalesce("pieces", F.lit(0)).alias("pieces")).limit(MAX_LANGUAGES + 1).collect()
     counts = {r["lang"]: r["n"] for r in counted}
     if len(counts) > MAX_LANGUAGES:
@@ -75,7 +75,7 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", passages:
     most = F.create_map(*[F.lit(x) for r in counted for x in (r["lang"], min(scale, scale * 8 * passages // max(1, r["pieces"])))])
     place = F.pmod("key", F.lit(scale))
     sample = (
-        pieces.where(place < F.element_at(most, F.col("lang")))
+        pieces.where((place < F.element_at(most, F.col("lang"))) & usable)
         .groupBy("lang", place.alias("place"), "key")
         .agg(F.min("text").alias("text"))
         .withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("place", "key")))
