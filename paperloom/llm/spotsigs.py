@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm.words import as_bytes, mix, slices, word_hashes_of, words
+from paperloom.session import written as stored
 
 CHAIN = 2
 SPACING = 1
@@ -118,30 +119,35 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 def matches(docs: DataFrame, queries: DataFrame, least: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(query_id, doc_id, likeness) of each query text's matches among all documents, likeness of ``least`` (above 0) or more.
 
-    A set's first signatures, in the order of their hashes, are as many as may be missing from a match and one more; two matching sets share one of
-    these, and their sizes lie within ``least`` of each other. So documents and queries meet by size band and first signatures in a hash join, and only
-    pairs whose sizes allow it are compared. Empty texts match none.
+    Rows of equal fingerprints are one set until the end. A set's first signatures, in the order of their hashes, are as many as may be missing from a
+    match and one more; two matching sets share one of these, and their sizes lie within ``least`` of each other. So sets meet by size band and
+    first signatures in a hash join of short rows, and only pairs whose sizes allow it are compared. Empty texts match none.
     """
-
-    def sides(df: DataFrame, name: str, spread: int) -> DataFrame:
-        known = fingerprints(df, doc_id, text).where("n_signatures > 0").select(F.col("doc_id").alias(f"{name}_id"), F.col("n_signatures").alias(f"{name}_size"), F.col("fingerprint").alias(name), "band")
-        first = F.col(f"{name}_size") - F.ceil(F.col(f"{name}_size") * least - 1e-9) + 1
-        pieces = F.transform(F.sequence(F.lit(0), F.col(f"{name}_size") - 1), lambda i: F.substring(F.col(name), (i * 8 + 1).cast("int"), F.lit(8)))
-        chosen = F.slice(F.array_sort(F.transform(pieces, lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("s")))), F.lit(1), first.cast("int"))
-        bands = F.explode(F.sequence(F.col("band") - spread, F.col("band") + spread))
-        return known.withColumn("first", F.explode(chosen["h"])).withColumn("near", bands).drop("band")
-
     spread = int(np.ceil(np.log(least) / np.log(BAND) - 1e-9))
-    met = sides(queries, "query", spread).join(sides(docs, "other", 0), ["first", "near"])
-    sizes = F.least("query_size", "other_size") >= least * F.greatest("query_size", "other_size") - 1e-9
-    pairs = met.where(sizes).select("query_id", "other_id", "query", "other").distinct()
+    known = [stored(fingerprints(df, doc_id, text).where("n_signatures > 0").withColumn("set", F.xxhash64("fingerprint"))) for df in (queries, docs)]
+    sets = [df.groupBy("set").agg(F.first("n_signatures").alias("size"), F.first("band").alias("band"), F.first("fingerprint").alias("fingerprint")) for df in known]
+
+    def firsts(rows: DataFrame, name: str, bands: range) -> DataFrame:
+        pieces = F.regexp_extract_all("fingerprint", F.lit("(.{8})"))
+        hashed = F.array_sort(F.transform(pieces, lambda x: F.xxhash64(x)))
+        chosen = F.slice(hashed, F.lit(1), (F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1).cast("int"))
+        near = F.explode(F.array(*[F.col("band") + d for d in bands])).alias("near")
+        return rows.select(F.col("set").alias(f"{name}_set"), F.col("size").alias(f"{name}_size"), F.explode(chosen).alias("first"), "band").select("*", near).drop("band")
+
+    met = firsts(sets[0], "query", range(-spread, spread + 1)).join(firsts(sets[1], "other", range(1)), ["first", "near"])
+    allowed = F.least("query_size", "other_size") >= least * F.greatest("query_size", "other_size") - 1e-9
+    pairs = met.where(allowed).select("query_set", "other_set").distinct()
+    for rows, name in zip(sets, ("query", "other"), strict=True):
+        pairs = pairs.join(rows.select(F.col("set").alias(f"{name}_set"), F.col("fingerprint").alias(name)), f"{name}_set")
 
     @F.pandas_udf("double")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([likeness(parsed(x), parsed(y)) for x, y in zip(a, b, strict=True)])
+        return pd.Series([likeness(parsed(x), parsed(y), least) for x, y in zip(a, b, strict=True)])
 
-    scored = pairs.select("query_id", F.col("other_id").alias("doc_id"), alike.asNondeterministic()("query", "other").alias("likeness"))
-    return scored.where(F.col("likeness") >= least)
+    scored = pairs.select("query_set", "other_set", alike.asNondeterministic()("query", "other").alias("likeness")).where(F.col("likeness") >= least)
+    asked = known[0].select(F.col("set").alias("query_set"), F.col("doc_id").alias("query_id"))
+    found = known[1].select(F.col("set").alias("other_set"), "doc_id")
+    return scored.join(asked, "query_set").join(found, "other_set").select("query_id", "doc_id", "likeness")
 
 
 def _ranges(docs: DataFrame, ranges: int) -> np.ndarray:
