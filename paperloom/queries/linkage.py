@@ -187,7 +187,7 @@ def j11(b: Bindings) -> DataFrame:
 
 def _titles(b: Bindings) -> DataFrame:
     part = b.table("part").select(F.col("p_partkey"), F.concat(F.lit("A study of the "), "p_name", F.lit(" in "), F.lower("p_type"), F.lit(" markets and "), "p_brand").alias("name"))
-    line = b.table("lineitem").select(F.col("l_orderkey").cast("string").alias("citing_arxiv_id"), F.col("l_partkey"), F.col("l_linenumber")).dropDuplicates(["citing_arxiv_id", "l_partkey"])
+    line = b.table("lineitem").groupBy(F.col("l_orderkey").cast("string").alias("citing_arxiv_id"), "l_partkey").agg(F.min("l_linenumber").alias("l_linenumber"))
     return line.join(part, F.col("l_partkey") == F.col("p_partkey"))
 
 
@@ -197,7 +197,25 @@ def _edited(name: str) -> F.Column:
     return F.when(kind == 0, F.upper(name)).when(kind == 1, F.concat(F.substring(name, 1, 4), F.substring(name, 6, 1000))).otherwise(F.concat(F.lit("Nothing like this: "), F.reverse(name)))
 
 
-@query("j12_fuzzy_references")
+#: Titles a and edited titles b of each paper o, normalised; the Indel score by a bit for each character of a, as long as these are few.
+_EDITED_SQL = (
+    "WITH t AS (SELECT l_orderkey AS o, l_partkey AS p, min(l_linenumber) AS n, any_value('A study of the ' || p_name || ' in ' || lower(p_type) || ' markets and ' || p_brand) AS name FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2), "
+    "e AS (SELECT o, p, lower(name) AS a, lower(CASE n % 3 WHEN 0 THEN name WHEN 1 THEN substr(name, 1, 4) || substr(name, 6) ELSE 'Nothing like this: ' || reverse(name) END) AS b FROM t), "
+)
+_SCORED_SQL = (
+    "near AS (SELECT *, (1::HUGEINT << length(a)) - 1 AS ones FROM pairs WHERE levenshtein(a, b) <= floor(5 * (length(a) + length(b)) / 100)), "
+    "masks AS (SELECT *, list_transform(string_split(b, ''), lambda c: list_sum(list_transform(range(length(a)), lambda i: CASE WHEN substr(a, i + 1, 1) = c THEN 1::HUGEINT << i ELSE 0::HUGEINT END))) AS masks FROM near), "
+    "bits AS (SELECT *, list_reduce(list_concat([ones], list_transform(masks, lambda m: m::HUGEINT)), lambda r, m: ((r + (r & m)) | (r - (r & m))) & ones) AS bits FROM masks), "
+    "scored AS (SELECT *, 200e0 * (length(a) - bit_count(bits)) / (length(a) + length(b)) AS score FROM bits WHERE 200 * (length(a) - bit_count(bits)) >= 95 * (length(a) + length(b))) "
+)
+
+
+@query(
+    "j12_fuzzy_references",
+    _EDITED_SQL + "bib AS (SELECT o, b, max(o * 100000 + p) AS id FROM e GROUP BY 1, 2), pairs AS (SELECT e.o, e.p, e.a, bib.id, bib.b FROM e JOIN bib ON bib.o = e.o), "
+    + _SCORED_SQL
+    + "SELECT id, arg_max(CAST(p AS VARCHAR), p) AS cited_arxiv_id, arg_max(score, p) AS score FROM (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY o, p ORDER BY score DESC, id) = 1) GROUP BY id",
+)
 def j12(b: Bindings) -> DataFrame:
     """Unresolved bib rows and known references of the same paper, at 95 or more."""
     rows = _titles(b)
@@ -206,7 +224,11 @@ def j12(b: Bindings) -> DataFrame:
     return match.match_references(references, bib)
 
 
-@query("j13_fuzzy_bib_titles")
+@query(
+    "j13_fuzzy_bib_titles",
+    _EDITED_SQL + "titles AS (SELECT DISTINCT o, b AS a FROM e), pairs AS (SELECT titles.o, titles.a, e.p, e.a AS b FROM titles JOIN e ON e.o = titles.o), " + _SCORED_SQL
+    + "SELECT CAST(o AS VARCHAR) AS citing_arxiv_id, a AS title, CAST(p AS VARCHAR) AS cited_arxiv_id, score FROM scored QUALIFY row_number() OVER (PARTITION BY o, a ORDER BY score DESC, p) = 1",
+)
 def j13(b: Bindings) -> DataFrame:
     """The other way round."""
     rows = _titles(b)
