@@ -2,60 +2,47 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 CONTEXT = 3
+_FIELDS = ("context_before", "context_after", "original_lines", "modified_lines")
 
 
-def hunks(pairs: DataFrame) -> DataFrame:
-    """(pair, hunk, context_before, context_after, original_lines, modified_lines) from (pair, old, new) texts.
+def _of_pair(old: str | None, new: str | None) -> list[dict[str, str]]:
+    """The hunks between two texts, by longest matching blocks of lines."""
+    a, b = (old or "").splitlines(), (new or "").splitlines()
+    out = []
+    for group in SequenceMatcher(None, a, b).get_grouped_opcodes(CONTEXT):
+        parts: dict[str, list[str]] = {name: [] for name in _FIELDS}
+        for kind, a_low, a_high, b_low, b_high in group:
+            if kind == "equal":
+                changed = parts["original_lines"] or parts["modified_lines"]
+                parts["context_after" if changed else "context_before"] += a[a_low:a_high]
+            else:
+                parts["original_lines"] += a[a_low:a_high]
+                parts["modified_lines"] += b[b_low:b_high]
+        out.append({name: " ".join(filter(None, map(str.strip, lines))) for name, lines in parts.items()})
+    return out
 
-    Lines are aligned by (pair, line, occurrence); aligned lines whose order differs, and all others, are
-    changed. Unlike a longest common subsequence, a moved block is one removal and one addition. Changed lines fewer
-    than twice ``CONTEXT`` unchanged lines apart make one hunk, with up to ``CONTEXT`` lines around it.
-    """
 
-    def lines(side: str) -> DataFrame:
-        rows = pairs.select("pair", F.posexplode(F.split(side, "\n")).alias(f"{side}_at", "line"))
-        occurrence = F.row_number().over(Window.partitionBy("pair", "line").orderBy(f"{side}_at"))
-        return rows.withColumn("occurrence", occurrence)
+@F.pandas_udf(ArrayType(StructType([StructField(name, StringType()) for name in _FIELDS])))
+def _hunks(old: pd.Series, new: pd.Series) -> pd.Series:
+    return pd.Series([_of_pair(x, y) for x, y in zip(old, new, strict=True)])
 
-    both = lines("old").join(lines("new"), ["pair", "line", "occurrence"], "full_outer")
-    # an aligned line keeps its place if no earlier new place follows it in the old text
-    matched = both.where("old_at is not null and new_at is not null")
-    ahead = F.max("new_at").over(Window.partitionBy("pair").orderBy("old_at").rowsBetween(Window.unboundedPreceding, -1))
-    kept = matched.withColumn("ahead", ahead).where("ahead is null or ahead < new_at").select("pair", "line", F.col("old_at"), F.col("new_at"), F.lit(" ").alias("kind"))
-    removed = both.where("old_at is not null").join(kept.select("pair", "old_at"), ["pair", "old_at"], "left_anti")
-    added = both.where("new_at is not null").join(kept.select("pair", "new_at"), ["pair", "new_at"], "left_anti")
-    rows = kept.unionByName(removed.select("pair", "line", "old_at", F.lit(None).cast("int").alias("new_at"), F.lit("-").alias("kind")))
-    rows = rows.unionByName(added.select("pair", "line", F.lit(None).cast("int").alias("old_at"), "new_at", F.lit("+").alias("kind")))
-    # an order of both sides: a removed line stands before the next kept one of its side, an added one likewise
-    by_old, by_new = Window.partitionBy("pair", "has_old").orderBy("old_at"), Window.partitionBy("pair", "has_new").orderBy("new_at")
-    rows = rows.withColumn("has_old", F.col("old_at").isNotNull()).withColumn("has_new", F.col("new_at").isNotNull())
-    keep = F.when(F.col("kind") == " ", 1).otherwise(0)
-    rows = rows.withColumn("base", F.when(F.col("has_old"), F.sum(keep).over(by_old)).otherwise(F.sum(keep).over(by_new)))
-    rank = F.when(F.col("kind") == " ", 0).when(F.col("kind") == "-", 1).otherwise(2)
-    order = Window.partitionBy("pair").orderBy("base", "rank", F.coalesce("old_at", "new_at"))
-    rows = rows.withColumn("rank", rank).withColumn("at", F.row_number().over(order))
-    changed = F.when(F.col("kind") != " ", F.col("at"))
-    rows = rows.withColumn("last_change", F.max(changed).over(order)).withColumn("next_change", F.min(changed).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
-    near = (F.col("at") - F.col("last_change") <= CONTEXT) | (F.col("next_change") - F.col("at") <= CONTEXT)
-    rows = rows.where(near)
-    gap = F.coalesce(F.col("at") - F.lag("at").over(Window.partitionBy("pair").orderBy("at")), F.lit(2)) > 1
-    rows = rows.withColumn("hunk", F.sum(gap.cast("int")).over(Window.partitionBy("pair").orderBy("at")))
-    inside = Window.partitionBy("pair", "hunk")
-    rows = rows.withColumn("first_change", F.min(changed).over(inside))
 
-    def joined(condition) -> F.Column:
-        picked = F.collect_list(F.when(condition & (F.trim("line") != ""), F.struct("at", F.trim("line").alias("line"))))
-        return F.array_join(F.transform(F.array_sort(picked), lambda x: x["line"]), " ")
+def hunks(pairs: DataFrame) -> DataFrame:
+    """(pair, hunk, context_before, context_after, original_lines, modified_lines) from (pair, old, new) texts.
 
-    return rows.groupBy("pair", "hunk").agg(
-        joined((F.col("kind") == " ") & (F.col("at") < F.col("first_change"))).alias("context_before"),
-        joined((F.col("kind") == " ") & (F.col("at") > F.col("first_change"))).alias("context_after"),
-        joined(F.col("kind") == "-").alias("original_lines"), joined(F.col("kind") == "+").alias("modified_lines"),
-    )
+    One narrow pass: each pair's lines are aligned by longest matching blocks, as in a unified diff with ``CONTEXT`` lines around each change.
+    Lines are trimmed and joined by a blank, blank ones left out; a null text has no lines; equal texts have no hunk.
+    """
+    found = pairs.select("pair", F.posexplode(_hunks("old", "new")).alias("at", "h"))
+    return found.select("pair", (F.col("at") + 1).alias("hunk"), *[F.col(f"h.{name}") for name in _FIELDS])
 
 
 def located(diffs: DataFrame, paragraphs: DataFrame) -> DataFrame:

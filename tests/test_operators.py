@@ -187,6 +187,32 @@ def test_hunks(spark):
     assert where == {1: 5, 2: None}
 
 
+def test_hunks_are_those_of_a_unified_diff(spark):
+    """Moved blocks, repeated and blank lines; the expected hunks are read from the diff's own text."""
+    import difflib
+
+    rng = random.Random(4)
+    pairs = [(0, None, "a"), (1, "", ""), (2, "a\nb", None)]
+    for i in range(3, 60):
+        old = [rng.choice(["x", "", " y ", "-z", "+w", "@"]) + (str(rng.randrange(30)) if rng.random() < 0.8 else "") for _ in range(rng.randrange(40))]
+        cut = rng.randrange(len(old) + 1)
+        new = [line for line in old[cut:] + old[:cut] if rng.random() < 0.9] if rng.random() < 0.3 else [rng.choice([line, line, line, line, "new"]) for line in old if rng.random() < 0.95]
+        pairs.append((i, "\n".join(old), "\n".join(new)))
+    want = []
+    for i, old, new in pairs:
+        n = 0
+        for line in list(difflib.unified_diff((old or "").splitlines(), (new or "").splitlines(), lineterm=""))[2:]:
+            if line.startswith("@@"):
+                n += 1
+                want.append([i, n, [], [], [], []])
+                continue
+            row, text = want[-1], line[1:].strip()
+            place = 4 if line[0] == "-" else 5 if line[0] == "+" else 3 if row[4] or row[5] else 2
+            row[place].append(text)
+    want = [(i, n, *(" ".join(filter(None, part)) for part in parts)) for i, n, *parts in want]
+    assert rows(revisions.hunks(spark.createDataFrame(pairs, "pair int, old string, new string"))) == sorted(want, key=str)
+
+
 def test_pdf_text(spark):
     text = "Title here\n\nHeader\n\nAbstract\n\nWe study.\n\n1 Introduction\n\nA sentence that is\nlong\n\nand goes on.\n\n• a list\n\n3 4 + 5 = 9\n\nFigure 1: x\n\nNext one.\n\nReferences\n\n[1] Y"
     got = [(r["section"], r["content"]) for r in pdftext.paragraphs(spark.createDataFrame([("p", text)], "paper_openreview_id string, text string")).orderBy("paragraph_idx").collect()]
