@@ -365,7 +365,15 @@ def g5(b: Bindings) -> DataFrame:
 # Texts of PDFs and their revisions
 
 
-@query("t10_pdf_paragraphs")
+@query(
+    "t10_pdf_paragraphs",
+    f"WITH l AS (SELECT doc_id, i, i // 2 AS g, line || '.' AS content FROM ({_LINES})), "
+    "k AS (SELECT *, regexp_matches(content, '^(Figure|Table)') AS caption FROM l WHERE NOT (length(regexp_replace(content, '[^0-9+*/=-]', '', 'g')) >= 3 AND length(regexp_replace(content, '[^A-Za-z]', '', 'g')) < 10)), "
+    "f AS (SELECT *, CASE WHEN caption OR lag(content) OVER w IS NULL OR NOT regexp_matches(content, '^[0-9][.)]') THEN 1 ELSE 0 END AS fresh FROM k WINDOW w AS (PARTITION BY doc_id, g ORDER BY caption, i)), "
+    "n AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, g ORDER BY caption, i) AS part FROM f), "
+    "p AS (SELECT doc_id, g, part, string_agg(content, ' ' ORDER BY i) AS content FROM n GROUP BY 1, 2, 3 UNION ALL SELECT doc_id, -1, 1, 'An abstract.' FROM documents) "
+    "SELECT CAST(doc_id AS VARCHAR) AS paper_openreview_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY g, part) - 1 AS INTEGER) AS paragraph_idx, CASE WHEN g < 0 THEN 'Abstract' ELSE (g + 1) || ' Section' END AS section, content FROM p",
+)
 def t10(b: Bindings) -> DataFrame:
     """Documents laid out as the text of a PDF, two lines a numbered section, each line a block."""
     rows = b.clean_lines()
