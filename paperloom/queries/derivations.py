@@ -383,18 +383,29 @@ def t10(b: Bindings) -> DataFrame:
 
 
 def _pairs(b: Bindings) -> DataFrame:
-    """Documents against themselves with the second line changed and the fifth removed."""
-    docs = b.table("documents").select(F.col("doc_id").alias("pair"), F.col("text").alias("old"), F.split("text", "\n").alias("lines"))
+    """Documents with numbered lines, against themselves with the second line changed and the fifth removed."""
+    numbered = F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.lit("L"), i.cast("string"), F.lit(" "), F.trim(x)))
+    docs = b.table("documents").select(F.col("doc_id").alias("pair"), numbered.alias("lines"))
     new = F.filter(F.transform("lines", lambda x, i: F.when(i == 1, F.concat(F.lit("Changed line number two: "), x)).when(i == 4, F.lit(None)).otherwise(x)), lambda x: x.isNotNull())
-    return docs.select("pair", "old", F.array_join(new, "\n").alias("new"))
+    return docs.select("pair", F.array_join("lines", "\n").alias("old"), F.array_join(new, "\n").alias("new"))
 
 
-@query("t11_revision_hunks")
+#: The second line changed and the fifth removed make one hunk, with the line before and up to three lines after.
+_HUNKS = (
+    f"WITH r AS (SELECT doc_id, i, trim('L' || i || ' ' || trim(raw)) AS line FROM ({_RAW})), n AS (SELECT doc_id, count(*) AS n FROM r GROUP BY 1) "
+    "SELECT doc_id AS pair, 1 AS hunk, coalesce(string_agg(line, ' ' ORDER BY i) FILTER (i = 0 AND line <> ''), '') AS context_before, "
+    "coalesce(string_agg(line, ' ' ORDER BY i) FILTER (line <> '' AND (i IN (2, 3) OR i BETWEEN 4 AND CASE WHEN n > 4 THEN 7 ELSE 4 END AND i <> 4)), '') AS context_after, "
+    "coalesce(string_agg(line, ' ' ORDER BY i) FILTER (line <> '' AND i IN (1, 4)), '') AS original_lines, any_value('Changed line number two: ' || line) FILTER (i = 1) AS modified_lines "
+    "FROM r JOIN n USING (doc_id) WHERE n > 1 GROUP BY 1"
+)
+
+
+@query("t11_revision_hunks", _HUNKS)
 def t11(b: Bindings) -> DataFrame:
     return revisions.hunks(_pairs(b))
 
 
-@query("t12_located_hunks")
+@query("t12_located_hunks", f"SELECT pair, hunk, modified_lines, 's' AS section, 1 AS paragraph_idx FROM ({_HUNKS})")
 def t12(b: Bindings) -> DataFrame:
     """T12, W7."""
     pairs = _pairs(b)
