@@ -129,8 +129,9 @@ def lines_of(text: Column) -> Column:
     out = F.lower(F.coalesce(text, F.lit("")))
     for old, new in SPELLINGS:
         out = F.replace(out, F.lit(old), F.lit(new))
-    lines = F.split(F.regexp_replace(out, SYMBOLS, " "), "\n")
-    return F.array_join(F.filter(lines, lambda x: ~(x.rlike(STATEMENT) & (~x.rlike(WRAPPED) | x.rlike(CERTAIN)))), "\n")
+    out = F.regexp_replace(out, SYMBOLS, " ")
+    kept = F.filter(F.split(out, "\n"), lambda x: ~(x.rlike(STATEMENT) & (~x.rlike(WRAPPED) | x.rlike(CERTAIN))))
+    return F.when(out.rlike(f"(?m){STATEMENT}"), F.array_join(kept, "\n")).otherwise(out)  # most texts have no such line
 
 
 def canonical(lines: Column) -> Column:
