@@ -94,40 +94,46 @@ def match_bib_titles(paragraph_citations: DataFrame, candidates: DataFrame, thre
 
 
 def _rare_grams(titles: DataFrame, threshold: int) -> DataFrame:
-    """Rows (side, id, title, gram): the first grams of each title, in an order of rising frequency.
+    """Rows (side, key, length, gram): the first grams of each title (side, key, title), in an order of rising frequency.
 
     An insertion or deletion changes at most ``GRAM`` of a title's grams. If at most k of them lead from one title to another, the k * GRAM + 1 first
     grams of both, in one order of all grams, have one in common; k follows from the longest partner that the threshold allows.
     """
     length = F.length("title")
-    characters = F.split("title", "")
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), length - GRAM + 1)), lambda i: F.xxhash64(F.concat_ws("", F.slice(characters, i, GRAM))))
-    each = titles.select("side", "id", "title", F.explode(F.array_distinct(grams)).alias("gram")).withColumn("bucket", F.pmod("gram", F.lit(1 << 16)))
-    often = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("often"))  # at most 65,536 rows
+    every = F.regexp_extract_all("title", F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1))  # overlapping; in one pass
+    grams = F.transform(F.when(length < GRAM, F.array("title")).otherwise(every), lambda x: F.xxhash64(x))
     longest = length * (200 - threshold) / threshold  # where a title's partner contains it
-    most = F.floor((100 - threshold) * (length + longest) / 100).cast("int")
-    ordered = each.join(F.broadcast(often), "bucket").groupBy("side", "id", "title").agg(F.array_sort(F.collect_list(F.struct("often", "gram"))).alias("grams"))
-    return ordered.select("side", "id", "title", F.explode(F.slice("grams", F.lit(1), most * GRAM + 1)).alias("g")).select("side", "id", "title", F.col("g.gram").alias("gram"))
+    most = (F.floor((100 - threshold) * (length + longest) / 100) * GRAM + 1).cast("int")
+    each = titles.select("side", "key", length.alias("length"), most.alias("most"), F.explode(F.array_distinct(grams)).alias("gram"))
+    each = checkpoint(each.withColumn("bucket", F.pmod("gram", F.lit(1 << 16))))
+    often = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("often"))  # at most 65,536 rows
+    ordered = each.join(F.broadcast(often), "bucket").groupBy("side", "key", "length", "most").agg(F.array_sort(F.collect_list(F.struct("often", "gram"))).alias("grams"))
+    return ordered.select("side", "key", "length", F.explode(F.slice("grams", F.lit(1), F.col("most"))).alias("g")).select("side", "key", "length", F.col("g.gram").alias("gram"))
 
 
 def near_titles(left: DataFrame, right: DataFrame, threshold: int = 97) -> DataFrame:
-    """Best right title of each left one across sources: (left_id, right_id, score).
+    """Best right title of each left one across sources: (left_id, right_id, score); of rights with one title the least id.
 
-    No pair of the threshold is lost: titles meet in one of their rarest grams, as many as the edits that the threshold allows
-    can change and one more, and in a band of lengths.
+    No pair of the threshold is lost: different titles meet in one of their rarest grams, as many as the edits that the threshold allows
+    can change and one more, and in a band of lengths. Titles themselves are fetched for the pairs that are left.
     """
-    band = F.floor(F.log(F.length("title") + 1.0) / F.log(F.lit(1.2)))
-    sides = [df.select(F.lit(side).alias("side"), F.col("id"), X.normalize_title("title").alias("title")).where("title <> ''") for side, df in (("l", left), ("r", right))]
-    grams = checkpoint(_rare_grams(sides[0].unionByName(sides[1]), threshold))
+    lefts, rights = (df.select("id", X.normalize_title("title").alias("title")).where("title <> ''").withColumn("key", F.xxhash64("title")) for df in (left, right))
+    lefts, rights = checkpoint(lefts), checkpoint(rights.groupBy("key").agg(F.min("id").alias("id"), F.min("title").alias("title")))
+    once = lefts.groupBy("key").agg(F.min("title").alias("title"))
+    grams = checkpoint(_rare_grams(once.select(F.lit("l").alias("side"), "key", "title").unionByName(rights.select(F.lit("r").alias("side"), "key", "title")), threshold))
+    band = F.floor(F.log(F.col("length") + 1.0) / F.log(F.lit(1.2)))
 
     def side(which: str, name: str, bands: list[int]) -> DataFrame:
         rows = grams.where(F.col("side") == which).withColumn("band", F.explode(F.array(*[band + d for d in bands])))
-        return rows.select(F.col("id").alias(f"{name}_id"), F.col("title").alias(f"{name}_title"), "gram", "band")
+        return rows.select(F.col("key").alias(f"{name}_key"), F.col("length").alias(f"{name}_length"), "gram", "band")
 
     met = side("l", "left", [0]).join(side("r", "right", [-1, 0, 1]), ["gram", "band"])
-    near = F.abs(F.length("left_title") - F.length("right_title")) <= F.floor((100 - threshold) * (F.length("left_title") + F.length("right_title")) / 100)
-    pairs = met.where(near).select("left_id", "left_title", "right_id", "right_title").distinct()
-    return best(scored(pairs, "left_title", "right_title", threshold), ["left_id"], ["right_id"]).select("left_id", "right_id", "score")
+    near = F.abs(F.col("left_length") - F.col("right_length")) <= F.floor((100 - threshold) * (F.col("left_length") + F.col("right_length")) / 100)
+    pairs = met.where(near).select("left_key", "right_key").distinct()
+    pairs = pairs.join(once.select(F.col("key").alias("left_key"), F.col("title").alias("left_title")), "left_key")
+    pairs = pairs.join(rights.select(F.col("key").alias("right_key"), F.col("id").alias("right_id"), F.col("title").alias("right_title")), "right_key")
+    top = best(scored(pairs, "left_title", "right_title", threshold), ["left_key"], ["right_id"]).select(F.col("left_key").alias("key"), "right_id", "score")
+    return lefts.join(top, "key").select(F.col("id").alias("left_id"), "right_id", "score")
 
 
 def match_statistics(df: DataFrame, matched: Column) -> DataFrame:
