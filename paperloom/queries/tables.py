@@ -405,10 +405,10 @@ def a7(b: Bindings) -> DataFrame:
     return report.fingerprint(b.table("orders").withColumnRenamed("o_orderpriority", "venue"), "o_custkey", ["venue"])
 
 
-@query("a10_review_ratings", "SELECT c_custkey, count(o_orderkey) AS n_reviews, round(avg(o_totalprice), 4) AS mean_rating FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+@query("a10_review_ratings", "SELECT c_custkey, count(o_orderkey) AS n_reviews, round(avg(o_totalprice), 7) AS mean_rating FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
 def a10(b: Bindings) -> DataFrame:
     found = report.ratings(b.table("customer"), b.table("orders").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", "o_totalprice")
-    return found.withColumn("mean_rating", F.round("mean_rating", 4))
+    return found.withColumn("mean_rating", F.round("mean_rating", 7))
 
 
 @query(
