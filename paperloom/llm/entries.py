@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import decontamination, folds, html_tree, language, licenses, mixing, ngram_join, quality, secrets, spotsigs, token_counts
+from paperloom.llm import decontamination, folds, html_tree, language, licenses, mixing, ngram_join, quality, secrets, spelling, spotsigs, token_counts
 from paperloom.session import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -148,5 +148,51 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "shards")
 
 
-QUERIES: dict[str, Query] = {"op1_decontamination": op1_decontamination, "op2_spotsigs": op2_spotsigs, "op3_token_counts": op3_token_counts, "op4_secrets": op4_secrets, "op5_licenses": op5_licenses, "op6_ngram_join": op6_ngram_join, "op7_html": op7_html, "op8_quality": op8_quality, "op9_language": op9_language, "op10_mixing": op10_mixing}
-ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op5_licenses": _licenses_sql(), "op6_ngram_join": OP6_SQL}
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE crc(i, v, k) AS (
+  SELECT i, i, 0 FROM range(256) t(i)
+  UNION ALL SELECT i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM crc WHERE k < 8),
+t AS MATERIALIZED (SELECT list(v ORDER BY i) AS t FROM crc WHERE k = 8),
+runs AS MATERIALIZED (
+  SELECT id, run, count(*) AS times FROM (
+    SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+           unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run
+    FROM documents)
+  WHERE length(run) >= 7 GROUP BY 1, 2),
+marked AS MATERIALIZED (
+  SELECT run, times, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(id || ':' || run, ''),
+    lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [(192 + (unicode(c) >> 6))::BIGINT, (128 + (unicode(c) & 63))::BIGINT] END))),
+    lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]))) AS h
+  FROM runs, t),
+w AS MATERIALIZED (
+  SELECT word, CAST(sum(times) AS BIGINT) AS n FROM (
+    SELECT CASE WHEN h % 31 = 0 THEN run[1:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, times FROM marked)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2),
+less AS MATERIALIZED (SELECT word, n, i, word[1:i - 1] || word[i + 1:] AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+pairs AS (
+  SELECT a.word AS a, b.word AS b, b.n FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT w.word, l.word, l.n FROM w JOIN less l ON w.word = l.rest
+  UNION SELECT l.word, w.word, w.n FROM w JOIN less l ON w.word = l.rest),
+best AS (SELECT a, count(*) AS n_near, max(n) AS best_n, arg_min(b, (-n, b)) AS best FROM pairs GROUP BY a),
+f AS MATERIALIZED (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 10 * n THEN best END AS form, CASE WHEN best_n >= 10 * n THEN best_n END AS form_n
+  FROM w LEFT JOIN best ON a = word),
+chain(word, point, step) AS (
+  SELECT word, form, 1 FROM f WHERE form IS NOT NULL
+  UNION ALL SELECT c.word, f.form, step + 1 FROM chain c JOIN f ON f.word = c.point WHERE f.form IS NOT NULL)
+SELECT f.word, form, coalesce(root, f.word) AS root, n, n_near, form_n
+FROM f LEFT JOIN (SELECT word, arg_max(point, step) AS root FROM chain GROUP BY word) r ON r.word = f.word
+"""
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_decontamination, op2_spotsigs, op3_token_counts, op4_secrets, op5_licenses, op6_ngram_join, op7_html, op8_quality, op9_language, op10_mixing, op11_spelling,
+    )
+}
+ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op5_licenses": _licenses_sql(), "op6_ngram_join": OP6_SQL, "op11_spelling": OP11_SQL}
