@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import decontamination, folds, html_tree, language, licenses, mixing, ngram_join, quality, secrets, spelling, spotsigs, token_counts
+from paperloom.llm import decontamination, folds, html_tree, language, licenses, mixing, ngram_join, quality, secrets, spelling, spotsigs, token_counts, vector_codes
 from paperloom.session import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -189,10 +189,49 @@ FROM f LEFT JOIN (SELECT word, arg_max(point, step) AS root FROM chain GROUP BY
 """
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.codes(read(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """The rounds of op13 one after another, as DuckDB SQL."""
+    distance = "coalesce(list_sum(list_transform(list_zip(p.part, c.entry), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 0)"
+    out = f"""
+WITH fine AS (
+  SELECT row_number() OVER () AS rid, vec_id, label, embedding AS raw FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+kept AS MATERIALIZED (
+  SELECT rid, vec_id, label, raw, list_transform(raw, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM fine WHERE len(raw) = (SELECT len(raw) FROM fine ORDER BY vec_id NULLS LAST, raw LIMIT 1)),
+p AS MATERIALIZED (SELECT rid, j, v[len(v) * j // {parts} + 1:len(v) * (j + 1) // {parts}] AS part FROM kept, range({parts}) t(j)),
+c0 AS MATERIALIZED (
+  SELECT j, e, v[len(v) * j // {parts} + 1:len(v) * (j + 1) // {parts}] AS entry
+  FROM (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) - 1 AS e, v FROM (SELECT vec_id, arg_min(v, raw) AS v FROM kept GROUP BY vec_id)), range({parts}) t(j)
+  WHERE e < {entries})"""
+    assign = """,
+a{r} AS MATERIALIZED (
+  SELECT rid, j, min(d)[2] AS e, min(d)[1] AS far, any_value(part) AS part
+  FROM (SELECT p.rid, p.j, p.part, [CAST({distance} AS BIGINT), c.e] AS d FROM p JOIN c{r} c ON c.j = p.j) GROUP BY rid, j)"""
+    update = """,
+m{r} AS (
+  SELECT j, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS entry
+  FROM (SELECT j, e, i, sum(part[i])::BIGINT AS s, count(*) AS n FROM (SELECT j, e, part, unnest(range(1, len(part) + 1)) AS i FROM a{b}) GROUP BY j, e, i) GROUP BY j, e),
+c{r} AS MATERIALIZED (SELECT c.j, c.e, coalesce(m.entry, c.entry) AS entry FROM c{b} c LEFT JOIN m{r} m ON m.j = c.j AND m.e = c.e)"""
+    for r in range(rounds + 1):
+        out += (update.format(r=r, b=r - 1) if r else "") + assign.format(r=r, distance=distance)
+    return out + f""",
+coded AS MATERIALIZED (SELECT rid, string_agg(printf('%02x', e), '' ORDER BY j) AS code, CAST(sum(far) AS BIGINT) AS error FROM a{rounds} GROUP BY rid)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(entry, ','), ',' ORDER BY j, e)) FROM c{rounds}) AS codebooks_sha256
+FROM kept JOIN coded USING (rid)
+"""
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_decontamination, op2_spotsigs, op3_token_counts, op4_secrets, op5_licenses, op6_ngram_join, op7_html, op8_quality, op9_language, op10_mixing, op11_spelling,
+        op13_vector_codes,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op5_licenses": _licenses_sql(), "op6_ngram_join": OP6_SQL, "op11_spelling": OP11_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op5_licenses": _licenses_sql(), "op6_ngram_join": OP6_SQL, "op11_spelling": OP11_SQL, "op13_vector_codes": _codes_sql()}
