@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import decontamination, folds, html_tree, language, licenses, mixing, ngram_join, quality, secrets, spelling, spotsigs, token_counts, vector_codes
+from paperloom.llm import decontamination, folds, html_tree, language, licenses, mixing, ngram_join, quality, secrets, spelling, spotsigs, token_counts, toxicity, vector_codes
 from paperloom.session import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -189,6 +189,13 @@ FROM f LEFT JOIN (SELECT word, arg_max(point, step) AS root FROM chain GROUP BY
 """
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    network = toxicity.learn(docs, read(spark, sf_dir, "labels").where(~folds.held_out()))
+    scored = toxicity.score(docs, network)
+    return scored.select("doc_id", folds.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.codes(read(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
 
@@ -231,7 +238,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_decontamination, op2_spotsigs, op3_token_counts, op4_secrets, op5_licenses, op6_ngram_join, op7_html, op8_quality, op9_language, op10_mixing, op11_spelling,
-        op13_vector_codes,
+        op12_toxicity, op13_vector_codes,
     )
 }
 ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op5_licenses": _licenses_sql(), "op6_ngram_join": OP6_SQL, "op11_spelling": OP11_SQL, "op13_vector_codes": _codes_sql()}
