@@ -5,32 +5,28 @@
    its presentation (the order of its children) and its content (the text below it) are hashed.
 2. Different pages of one host merge (copies of a page count once): counts by (host, node, hash) give the entropy of presentation and content
    of each node, as a share of the entropy that as many different pages would have. Importance is
-   their mean, weighted by ``CONTENT_WEIGHT``. Nodes of at least ``least_pages`` pages below
-   ``least_importance`` are the low branches of the host.
+   their mean, weighted by ``CONTENT_WEIGHT``. ``PRIOR`` pages unlike all others are counted besides, so that few pages say little and no size of
+   host is treated apart: a branch that is the same on all pages is low from six pages on. Nodes below ``least_importance`` are the low branches of the host.
 3. Pages are parsed again and lose the low branches of their host, besides the branches whose
-   element or name says what they are (menus, footers, forms, adverts, comments and so on). In an article
-   a single word that also labels article content (``GENERIC``) says nothing; importance decides.
+   element, role or name says what they are (menus, footers, forms, adverts, comments and so on) and that do not hold the article (``html_page``).
 
 At scale: only hashes are shuffled for 2, dealt by (host, node, hash, page) and then pre-aggregated by
 (host, node, hash), so one host with a third of all pages spreads over its pages. Low branches are one row for each host; they are broadcast
 when their measured size allows, else joined with the pages salted by ``SALTS``.
 
 Blocks are the runs of text between block elements; inside a block character references are
-decoded and white space becomes one space. If a page has article or main elements with text,
-text outside them does not count, unless there is ``TEASER`` times as much of it: then they are teasers.
+decoded and white space becomes one space. If article elements have more text than is outside them that does not count; else the same
+holds for main elements; else all text counts but lists of links.
 
-Defined cases: null or empty html has an empty text; a null url has no host and no tree, and a host of fewer than ``least_pages`` different pages
-has no low branches, so only the names count there; unclosed elements end with their parents, unclosed scripts, styles and other raw text with the
-page; if the low branches hold all of a page's text they are kept; ties of importance with the threshold stay; very long and deeply nested
-pages take time in proportion to their length; repeated pages have a row each; other columns are not read; an empty table gives no rows.
+Defined cases: null or empty html has an empty text; a null url has no host and no tree, so only elements and names count there; unclosed elements end with their
+parents, unclosed scripts, styles, comments and other raw text with the page, and a tag that never ends is dropped; if the low branches hold all of a page's text they are kept;
+equal importance and threshold keep a node; among article elements of equal length the first decides; very long and deeply nested or broken pages take
+time in proportion to their length; repeated pages have a row each; other columns, of whatever name, are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import html as entities
-import re
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,202 +34,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.llm.html_page import Page, main_text, style_rows
 from paperloom.llm.words import slices
 from paperloom.session import checkpoint
 
 CONTENT_WEIGHT = 0.9
+PRIOR = 1
 BROADCAST_BYTES = 32 << 20
 SALTS = 32
-TEASER = 20
-
-#: Element names of HTML by their role.
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BLOCK = frozenset(
-    "html body article main section div p h1 h2 h3 h4 h5 h6 header footer nav aside ul ol li dl dt dd table thead tbody tfoot tr td th caption form fieldset legend"
-    " blockquote pre figure figcaption address details summary hr center dialog menu template noscript title head".split()
-)
-RAW = frozenset("script style textarea title iframe noembed noframes xmp svg math template noscript".split())
-DROPPED = frozenset(
-    "head script style noscript template title nav footer aside form button select option input textarea label iframe object embed applet canvas svg math audio video map menu dialog datalist"
-    " fieldset legend noembed noframes xmp".split()
-)
-CLOSES_P = BLOCK - {"html", "body", "head", "title", "template", "noscript"}
-SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-SCOPES = ("ul", "ol", "dl", "table", "select")
-P_SCOPES = ("table", "button", "td", "th", "div", "section", "article")
-#: Raw elements that end with their parents if they have no end of their own; the others then run to the end of the page.
-NESTED = frozenset("svg math template noscript".split())
-#: Words in a class or id that name what is not the article.
-NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner banners sponsor sponsored promo promos promotion nav navbar navigation menu menus breadcrumb breadcrumbs"
-    " sidebar sidebars aside rail footer foot bottombar header masthead topbar toolbar cookie cookies consent gdpr notice notices alert alerts warning disclaimer newsletter subscribe subscription"
-    " signup login signin register search searchbox form comment comments commentlist reply replies respond disqus discussion feedback reader readers review reviews share sharing social follow"
-    " related recommended recommendations trending popular widget widgets popup modal overlay pagination pager paging skip hidden copyright legal tagcloud teaser teasers outbrain taboola paywall"
-    " toc byline-share print-only".split()
-)
-ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
-
-#: Words of NAMES that also label parts of an article itself.
-GENERIC = frozenset(
-    "alert alerts copyright disclaimer discussion feedback follow head header legal notice notices popular reader readers review reviews toc trending warning".split()
-)
-TOP = frozenset("html body article main".split())
-#: What a class or id of a whole article or main element must say for it to be dropped.
-NOT_ARTICLES = frozenset("ad ads advert advertisement comment comments reply replies sponsored promo promoted teaser teasers related".split())
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>", re.S)
-_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_READ = frozenset(("class", "id", "role", "hidden", "aria-hidden"))
-_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-#: Numbers in ids, and long ones in classes, tell pages apart and not kinds of elements.
-_DIGITS = {"id": re.compile(r"\d+"), "class": re.compile(r"\d{3,}")}
-
-
-@cache
-def _end_of(tag: str) -> re.Pattern[str]:
-    return re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I)
-
-
-class _Page:
-    """One parsed page: its blocks, and hashes by node where asked for."""
-
-    def __init__(self, source: str, low: frozenset[int], hashing: bool = False):
-        self.low = low
-        self.hashing = hashing
-        self.blocks: list[tuple[str, bool, bool]] = []  # text, in an article, in a low branch
-        self.contents: dict[int, int] = {}
-        self.shapes: dict[int, list[str]] = {}
-        self.parts: list[str] = []
-        # open elements: (tag, node, dropped, in article, low), the places of each tag in them, and the hash of each one's text so far
-        self.stack: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]
-        self.places: dict[str, list[int]] = {}
-        self.values: list[int] = [0]
-        self._parse(source)
-
-    def _text(self, text: str) -> None:
-        if self.hashing:
-            if text := text.strip():
-                self.values[-1] = (self.values[-1] * 31 + xxhash.xxh64_intdigest(text)) & 0xFFFFFFFFFFFFFFFF
-        elif not self.stack[-1][2]:
-            self.parts.append(text)
-
-    def _pop(self) -> None:
-        """Ends the last open element; its text belongs to its node and to its parent."""
-        tag, node, *_ = self.stack.pop()
-        self.places[tag].pop()
-        value = self.values.pop()
-        if self.hashing and value:
-            self.contents[node] = (self.contents[node] * 31 + value) & 0xFFFFFFFFFFFFFFFF
-            self.values[-1] = (self.values[-1] * 31 + value) & 0xFFFFFFFFFFFFFFFF
-
-    def _end_block(self) -> None:
-        if self.parts:
-            text = " ".join(entities.unescape("".join(self.parts)).split())
-            if text:
-                self.blocks.append((text, self.stack[-1][3], self.stack[-1][4]))
-            self.parts = []
-
-    def _open(self, tag: str, attributes: str) -> None:
-        label, named = tag, tag in DROPPED
-        inside = self.stack[-1][3]
-        if tag == "header" and not inside:
-            named = True
-        if attributes:
-            for m in _ATTRIBUTE.finditer(attributes):
-                name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-                if name not in _READ:
-                    continue
-                if name in ("class", "id"):
-                    value = _DIGITS[name].sub("", value)
-                    label += ("." if name == "class" else "#") + ".".join(sorted(value.split()))
-                    if tag not in ("html", "body"):
-                        names = NOT_ARTICLES if tag in TOP else NAMES
-                        found = {w.lower() for w in _WORDS.findall(value)} & names
-                        named = named or bool(found) and not (inside and len(found) == 1 and found <= GENERIC)
-                elif name == "role":
-                    named = named or value.lower() in ROLES
-                elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-                    named = True
-        _, parent, dropped, _, low = self.stack[-1]
-        node = xxhash.xxh64_intdigest(label, parent & 0xFFFFFFFFFFFFFFFF) >> 1
-        if self.hashing:
-            shape = self.shapes.setdefault(parent, [])
-            if not shape or shape[-1] != label:
-                shape.append(label)
-            self.contents.setdefault(node, 0)
-        dropped = dropped or named
-        if node in self.low and tag not in TOP:
-            low = True
-        self.places.setdefault(tag, []).append(len(self.stack))
-        self.values.append(0)
-        self.stack.append((tag, node, dropped, inside or (tag in ("article", "main") and not dropped), low))
-
-    def _close(self, tags: tuple[str, ...], scopes: tuple[str, ...] = ()) -> None:
-        """Ends the innermost open element of the tags and what is open in it, unless a scope is open further in."""
-        at = max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
-        if not at or any(self.places[t][-1] > at for t in scopes if self.places.get(t)):
-            return
-        if any(open_tag[0] in BLOCK for open_tag in self.stack[at:]):
-            self._end_block()
-        while len(self.stack) > at:
-            self._pop()
-
-    def _parse(self, source: str) -> None:
-        at, n = 0, len(source)
-        self.endless: set[str] = set()
-        while at < n:
-            m = _TOKEN.search(source, at)
-            if m is None:
-                self._text(source[at:])
-                break
-            if m.start() > at:
-                self._text(source[at : m.start()])
-            at = m.end()
-            if not m[2]:
-                continue
-            tag = m[2].lower()
-            if m[1]:
-                if tag in BLOCK:
-                    self._end_block()
-                self._close((tag,))
-                continue
-            if tag == "br":
-                self._text(" ")
-                continue
-            if tag in BLOCK:
-                self._end_block()
-                if tag in CLOSES_P:
-                    self._close(("p",), P_SCOPES)
-                if tag in SAME:
-                    self._close(SAME[tag], SCOPES)
-            if tag in RAW:
-                if tag in NESTED and m[3].rstrip().endswith("/"):
-                    continue
-                end = None if tag in self.endless else _end_of(tag).search(source, at)
-                if end or tag not in NESTED:
-                    at = end.end() if end else n
-                    continue
-                self.endless.add(tag)  # none further on either
-            if tag in VOID or m[3].rstrip().endswith("/"):
-                continue
-            self._open(tag, m[3])
-        self._end_block()
-        while len(self.stack) > 1:
-            self._pop()
-
-    def text(self) -> str:
-        inside, outside = ([b for b in self.blocks if b[1] == place] for place in (True, False))
-        length = [sum(len(b[0]) for b in blocks if not b[2]) for blocks in (inside, outside)]
-        pick = self.blocks if not inside or length[1] > TEASER * max(1, length[0]) else inside
-        return "\n".join([b[0] for b in pick if not b[2]] or [b[0] for b in pick])
 
 
 def _style_rows(source: str | None) -> list[tuple[int, int, int, int]]:
     """(node, presentation, content, page) for the nodes of a page."""
     if not source:
         return []
-    page, whole = _Page(source, frozenset(), hashing=True), xxhash.xxh64_intdigest(source.encode("utf-8", "replace")) >> 1
-    return [(node, xxhash.xxh64_intdigest(" ".join(page.shapes.get(node, []))) >> 1, value >> 1, whole) for node, value in page.contents.items()]
+    whole = xxhash.xxh64_intdigest(source.encode("utf-8", "replace")) >> 1
+    return [(node, *row, whole) for node, row in style_rows(Page(source)).items()]
 
 
 def _host(url: str) -> F.Column:
@@ -263,16 +79,16 @@ def importance(pages: DataFrame, url: str = "url", source: str = "html") -> Data
     content, shape = entropy("content"), entropy("shape").select("host", "node", F.col("weighted").alias("shape_weighted"))
 
     def share(weighted: str) -> F.Column:
-        full = F.log("pages")
-        return F.when(F.col("pages") > 1, (full - F.col(weighted) / F.col("pages")) / full).otherwise(1.0)
+        all_pages = F.col("pages") + PRIOR
+        return 1 - F.col(weighted) / (all_pages * F.log(all_pages))
 
     both = content.join(shape, ["host", "node"])
     return both.select("host", "node", "pages", (CONTENT_WEIGHT * share("weighted") + (1 - CONTENT_WEIGHT) * share("shape_weighted")).alias("importance"))
 
 
-def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", source: str = "html", least_pages: int = 8, least_importance: float = 0.25) -> DataFrame:
+def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", source: str = "html", least_importance: float = 0.25) -> DataFrame:
     """page_id, url, text, n_chars (code points) for every page."""
-    low = importance(pages, url, source).where((F.col("pages") >= least_pages) & (F.col("importance") < least_importance))
+    low = importance(pages, url, source).where(F.col("importance") < least_importance)
     low = checkpoint(low.groupBy("host").agg(F.collect_list("node").alias("low")))
     size = low.agg(F.coalesce(F.sum(F.length("host") + 8 * F.size("low") + 64), F.lit(0)).alias("size")).first()["size"]
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(source).cast("string").alias("html"), _host(url).alias("host"))
@@ -290,7 +106,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", source
                 texts = []
                 for html, nodes in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                     key = tuple(nodes or ())
-                    texts.append(_Page(html, lows.setdefault(key, frozenset(key))).text() if html else "")
+                    texts.append(main_text(Page(html), lows.setdefault(key, frozenset(key))) if html else "")
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(np.array([len(t) for t in texts], dtype=np.int64))], names=["page_id", "url", "text", "n_chars"]
                 )

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from paperloom.llm import folds, html_tree, language, licenses, mixing, quality, secrets, token_counts, tokenizer
+from paperloom.llm import folds, language, licenses, mixing, quality, secrets, token_counts, tokenizer
 
 
 def test_token_counts(spark, odd, none):
@@ -367,99 +367,3 @@ def test_split_tree_has_the_law_of_a_shuffled_deal(spark):
     for k, n in quotas.items():
         variance = n * 20 / 80 * (60 / 80) * ((80 - n) / 79)
         assert abs(got[k].mean(axis=0) - n / 4).max() < 5 * (variance / 20) ** 0.5 and 0.4 < got[k].var(axis=0).mean() / variance < 1.9
-
-
-PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var x = "</p>";</script></head><body class="page"><header><h1>Site</h1></header>
-<nav><a href="/x">Menu</a></nav><div class="cookie-notice">We use cookies</div><div id="wrap7"><article class="post review"><h1>Title &amp; more</h1><p>First <b>bold</b>
- text&nbsp;here.<p>Second<br>line<div class="ad-slot">Buy</div><ul><li>one<li>two</ul><form><input value="v">Search</form><aside>Side</aside>
-<div class="comments"><p>Nice!</p></div></article></div><div class="x9">Same on all pages</div><footer>&copy; x</footer></body></html>"""
-
-
-def test_pages(spark, none):
-    want = "Title & more\nFirst bold text here.\nSecond line\none\ntwo"
-    df = spark.createDataFrame([(1, "http://a.b/c", PAGE), (2, None, None), (3, "bad url", ""), (4, "http://a.b/d", "plain text &lt;b&gt;"), (1, "http://a.b/c", PAGE)], "page_id int, url string, html string")
-    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html_tree.extract(df).collect()}
-    assert got == {1: (want, len(want)), 2: ("", 0), 3: ("", 0), 4: ("plain text <b>", 14)}
-    assert html_tree.extract(df).count() == 5 and html_tree.extract(df.limit(0)).count() == 0
-
-
-def test_style_tree_drops_what_repeats_on_a_host(spark):
-    page = lambda i: f"<body><div class='q1'>Repeated words of host</div><div class='q2'>Story number {i} is unlike others {i * 7}</div></body>"
-    rows = [(i, f"http://one.example/{i}", page(i)) for i in range(20)] + [(100 + i, f"http://h{i}.example/", page(i)) for i in range(3)]
-    df = spark.createDataFrame(rows, "page_id int, url string, html string")
-    for limit in (html_tree.BROADCAST_BYTES, -1):  # broadcast and salted join
-        html_tree.BROADCAST_BYTES, old = limit, html_tree.BROADCAST_BYTES
-        got = {r["page_id"]: r["text"] for r in html_tree.extract(df).collect()}
-        html_tree.BROADCAST_BYTES = old
-        assert got[3] == "Story number 3 is unlike others 21" and got[101].startswith("Repeated words of host\n")
-
-
-def test_copies_of_a_page_count_once(spark):
-    page = lambda i: f"<body><article><h1>Title {i}</h1><div class='post-body'>Story {i} is unlike {i * 7}</div></article></body>"
-    rows = [(i, f"http://one.example/{i}", page(max(0, i - 180))) for i in range(200)]
-    got = {r["page_id"]: r["text"] for r in html_tree.extract(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
-    assert got[3] == "Title 0\nStory 0 is unlike 0" and got[185] == "Title 5\nStory 5 is unlike 35"
-
-
-def test_importance_decides_inside_articles(spark):
-    """Unlabelled elements as well as labelled ones, and elements whose class is a generic word."""
-    page = lambda i: f"<body><article><p>Story {i}</p><div class='warning'>Note {i}</div><blockquote>On all pages</blockquote><div class='notice'>On all</div></article></body>"
-    rows = [(i, f"http://one.example/{i}", page(i)) for i in range(20)] + [(100, "http://other.example/", page(100))]
-    got = {r["page_id"]: r["text"] for r in html_tree.extract(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
-    assert got[3] == "Story 3\nNote 3" and got[100] == "Story 100\nNote 100\nOn all pages\nOn all"
-
-
-def only(text):
-    return html_tree._Page(text, frozenset()).text()
-
-
-def test_attributes_are_whole_names():
-    for attribute in ("style='overflow:hidden'", 'title="hidden gems"', "data-role=search", "data-class=ad", "width=ad", "data-id='menu'"):
-        assert only(f"<article><p {attribute}>Kept</p></article>") == "Kept", attribute
-    for attribute in ("hidden", "HIDDEN=''", "aria-hidden = true", "role=search", "class=ad", "id='menu'", "x=1 class='cookie'"):
-        assert only(f"<article><p>Kept</p><div {attribute}>Not</div></article>") == "Kept", attribute
-
-
-def test_raw_elements_without_an_end():
-    assert only("<p>Text</p><script>var a=1; function x(){return 2}") == "Text"
-    assert only("<p>Text</p><script src='x'/>var a=1</script><p>More</p><style>p{}") == "Text\nMore"
-    assert only("<div><svg/><p>Text</p></div><div><svg><path></div><p>More</p>") == "Text\nMore"
-    assert only("<article><noscript><img><p>Text</article>") == ""
-    assert only("<p>Text</p><title>never ended <p>x") == "Text"
-    assert only("<p>a</p><script>'</scripted>'</script ><p>b") == "a\nb"
-
-
-def test_teasers_do_not_hide_the_page():
-    assert only("<div>" + "words of the text " * 40 + "</div><article>Teaser</article>").endswith("Teaser")
-    assert only("<div>words of the page</div><article>The article</article>") == "The article"
-
-
-def test_deep_and_long_pages_take_time_in_proportion():
-    import time
-
-    took = []
-    for n in (4000, 16000):
-        page = "<div><span>a</b></i>" * n + "<li>x" * n + "<table>" + "<div>y" * n + "<li>z" * n
-        began = time.process_time()
-        html_tree._Page(page, frozenset())
-        html_tree._Page(page, frozenset(), hashing=True)
-        took.append(time.process_time() - began)
-    assert took[1] < 10 * took[0]
-
-
-@pytest.mark.parametrize("n", [1, 7, 8, 200])
-def test_labelled_pages_of_hosts(spark, n):
-    """Pages written by hand, with their main texts, on hosts of so many pages: what repeats on a host goes from eight pages on."""
-    layouts = [
-        ("<nav><ul><li>Home<li>News</ul></nav><main><h1>Title {i}</h1><p>First of {i}, <em>and</em> more.<p>Second {i}<table><tr><td>a{i}<td>b</table></main><div class=footer>Imprint</div>", "Title {i}\nFirst of {i}, and more.\nSecond {i}\na{i}\nb"),
-        ("<div id=header>Site</div><div class='entry'><h2>Title {i}</h2>Loose text {i}<blockquote>Said {i}</blockquote></div><div class=comments><p>Nice {i}</div>", "Title {i}\nLoose text {i}\nSaid {i}"),
-        ("<article><h1>T{i}</h1><div class='review-body'>Body {i} &lt;3</div><p class='notice-period'>Period {i}</p><div class='share'>Share {i}</div><pre>x\n {i}</pre></article>", "T{i}\nBody {i} <3\nPeriod {i}\nx {i}"),
-    ]
-    rows, want = [], {}
-    for k, (page, text) in enumerate(layouts):
-        for i in range(n):
-            rows.append((1000 * k + i, f"https://h{k}.example/{i}", "<html><body>" + page.replace("{i}", str(i)) + "<div class=x1>On every page</div></body></html>"))
-            alone = k == 1 and n < 8  # no article, and too few pages for a tree
-            want[1000 * k + i] = text.replace("{i}", str(i)) + ("\nOn every page" if alone else "")
-    got = {r["page_id"]: r["text"] for r in html_tree.extract(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
-    assert got == want
