@@ -1,18 +1,22 @@
-"""Tables out of LaTeX, BibTeX and paper-graph documents, by regular expressions over a text column.
+"""Tables out of LaTeX, BibTeX and paper-graph documents.
 
-These are extractions, not a parser: braces nest one level in arguments; macros are not expanded;
+Arguments, options and environments are read by their delimiters, at any depth (``functions.tex``); macros are not expanded;
 included files are joined before (see ``with_inputs``).
 """
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from paperloom.functions import tex
 from paperloom.functions import text as X
 from paperloom.operators import link
-
-_ARG = r"\{((?:[^{}]++|\{[^{}]*+\})*+)\}"
+from paperloom.session import written
 
 
 def _all(c: Column | str, pattern: str, group: int = 1) -> Column:
@@ -28,17 +32,11 @@ def without_comments(c: Column | str) -> Column:
     return F.regexp_replace(c, r"(?m)(?<!\\)%.*$", "")
 
 
-_HEADING = r"\\section\*?" + _ARG
-
-
 def sections(papers: DataFrame, text: str = "tex", paper: str = "paper_id") -> DataFrame:
-    """(paper, section_in_paper_id from 1, title, content, appendix) in document order."""
-    body = F.regexp_replace(without_comments(text), r"(?s)\\end\{document\}.*$", "")
-    marked = F.regexp_replace(body, r"\\appendix\b", "\\\\section{\u0000}")
-    rows = papers.select(paper, marked.alias("body"))
-    parts = F.arrays_zip(_all("body", _HEADING).alias("title"), F.slice(F.split("body", _HEADING), 2, 1 << 30).alias("content"))
-    out = rows.select(paper, F.posexplode(parts).alias("at", "part")).select(paper, "at", F.col("part.title").alias("title"), F.trim(F.col("part.content")).alias("content"))
-    mark = F.col("title") == "\u0000"
+    """(paper, section_in_paper_id from 1, title, content, appendix) in document order; of a section with a short title the long one counts."""
+    out = papers.select(paper, F.posexplode(tex.items(text, "section", bare="appendix")).alias("at", "s"))
+    out = out.select(paper, "at", F.col("s.name").alias("name"), F.col("s.value").alias("title"), F.trim(F.col("s.content")).alias("content"))
+    mark = F.col("name") == "appendix"
     order = Window.partitionBy(paper).orderBy("at")
     out = out.withColumn("appendix", F.max(mark).over(order)).where(~mark)
     return out.withColumn("section_in_paper_id", F.row_number().over(order)).select(paper, "section_in_paper_id", "title", "content", "appendix")
@@ -69,55 +67,57 @@ def citations(parts: DataFrame, paper: str = "paper_id") -> DataFrame:
     )
 
 
-def _environments(names: str) -> str:
-    return rf"(?s)\\begin\{{(?:{names})\*?\}}(.*?)\\end\{{(?:{names})\*?\}}"
+_DESCRIBING = "caption label includegraphics subfloat"
+
+
+def _described(found: Column) -> list[Column]:
+    """First caption (or that of a subfloat's option), last label and image paths among the items of a text."""
+    values = lambda name: F.transform(tex.named(found, name), lambda x: x["value"])
+    option = F.try_element_at(tex.named(found, "subfloat"), F.lit(1))["option"]
+    caption = F.coalesce(F.try_element_at(values("caption"), F.lit(1)), option)
+    paths = F.filter(F.transform(values("includegraphics"), lambda p: F.trim(p)), lambda p: p != "")
+    return [caption.alias("caption"), F.try_element_at(values("label"), F.lit(-1)).alias("label"), paths.alias("figure_paths")]
 
 
 def tables(papers: DataFrame, text: str = "tex", paper: str = "paper_id") -> DataFrame:
     """(paper, at, original, caption, label, tabular) of the table environments; the last label wins."""
-    rows = papers.select(paper, F.posexplode(_all(without_comments(text), _environments("table"), 0)).alias("at", "original"))
-    labels = _all("original", r"\\label\{([^}]+)\}")
-    tabular = _one("original", r"(?s)(\\begin\{(?:tabular|tabularx|tabulary|array)\*?\}.*?\\end\{(?:tabular|tabularx|tabulary|array)\*?\})")
-    return rows.select(paper, "at", "original", _one("original", r"(?s)\\caption" + _ARG).alias("caption"), F.try_element_at(labels, F.lit(-1)).alias("label"), tabular.alias("tabular"))
+    rows = papers.select(paper, F.posexplode(tex.items(text, environments="table")).alias("at", "t")).select(paper, "at", F.col("t.whole").alias("original"))
+    tabular = F.try_element_at(tex.items("original", environments="tabular tabularx tabulary array"), F.lit(1))["whole"]
+    rows = rows.select(paper, "at", "original", tabular.alias("tabular"), tex.items("original", "caption label").alias("found"))
+    return rows.select(paper, "at", "original", *_described(F.col("found"))[:2], "tabular")
 
 
 def figures(papers: DataFrame, text: str = "tex", paper: str = "paper_id") -> DataFrame:
     """(paper, at, original, caption, label, figure_paths, subfigures) of the figure environments.
 
-    Sub-figures are the subfigure, minipage and subfloat parts that hold an image; their paths, labels and
-    captions do not count for the figure around them.
+    Sub-figures are the outermost subfigure, minipage and subfloat parts that hold an image; the paths, labels and
+    captions of such parts do not count for the figure around them.
     """
-    rows = papers.select(paper, F.posexplode(_all(without_comments(text), _environments("figure"), 0)).alias("at", "original"))
-    image = r"\\includegraphics\*?(?:\[[^\]]*\])?\{([^}]+)\}"
-    part = rf"(?s)\\begin\{{(?:subfigure|minipage)\}}.*?\\end\{{(?:subfigure|minipage)\}}|\\subfloat(?:\[[^\]]*\])?{_ARG}"
-    parts = F.filter(_all("original", part, 0), lambda p: p.contains("\\includegraphics"))
-    own = F.regexp_replace("original", part, "")
-
-    def described(c: Column) -> list[Column]:
-        caption = F.coalesce(_one(c, r"(?s)\\caption(?:\[[^\]]*\])?" + _ARG), _one(c, r"\\subfloat\[([^\]]*)\]"))
-        return [caption.alias("caption"), F.try_element_at(_all(c, r"\\label\{([^}]+)\}"), F.lit(-1)).alias("label"), F.transform(_all(c, image), lambda p: F.trim(p)).alias("figure_paths")]
-
-    return rows.select(paper, "at", "original", *described(own), F.transform(parts, lambda p: F.struct(p.alias("original"), *described(p))).alias("subfigures"))
+    rows = papers.select(paper, F.posexplode(tex.items(text, environments="figure")).alias("at", "f")).select(paper, "at", F.col("f.whole").alias("original"))
+    split = rows.withColumn("split", tex.parsed("original", "subfloat", "subfigure minipage"))
+    parts = F.filter(F.transform("split.items", lambda p: p["whole"]), lambda p: p.contains("\\includegraphics"))
+    rows = split.select(paper, "at", "original", parts.alias("parts"), tex.items("split.rest", _DESCRIBING).alias("own"))
+    rows = rows.withColumn("inner", F.arrays_zip("parts", tex.items_of_each("parts", _DESCRIBING).alias("items")))
+    parts = F.transform("inner", lambda p: F.struct(p["parts"].alias("original"), *_described(p["items"])))
+    return rows.select(paper, "at", "original", *_described(F.col("own")), parts.alias("subfigures"))
 
 
 #: Environment families of displayed formulas and algorithms.
-BLOCKS = {"equation": "equation|align|gather|multline|eqnarray|displaymath", "algorithm": "algorithm|algorithm2e|algorithmic"}
+BLOCKS = {"equation": "equation align gather multline eqnarray displaymath", "algorithm": "algorithm algorithm2e algorithmic"}
 
 
 def blocks(papers: DataFrame, text: str = "tex", paper: str = "paper_id") -> DataFrame:
-    """(paper, kind, at, content) of equations and algorithms."""
-    body = without_comments(text)
-    each = [papers.select(paper, F.lit(kind).alias("kind"), F.posexplode(_all(body, _environments(names), 0)).alias("at", "content")) for kind, names in BLOCKS.items()]
-    return each[0].unionByName(each[1])
+    """(paper, kind, at, content) of equations and algorithms, the outermost of each family."""
+    each = [papers.select(paper, F.lit(kind).alias("kind"), F.posexplode(tex.items(text, environments=names)).alias("at", "b")) for kind, names in BLOCKS.items()]
+    return each[0].unionByName(each[1]).select(paper, "kind", "at", F.col("b.whole").alias("content"))
 
 
 def bib_entries(files: DataFrame, text: str = "bib", paper: str = "paper_id") -> DataFrame:
-    """(paper, bib_key, title, author, first_author, arxiv_id) of BibTeX entries."""
-    entries = files.select(paper, F.explode(F.split(text, r"(?m)^\s*@")).alias("entry")).withColumn("bib_key", _one("entry", r"^\w+\s*\{\s*([^,\s]+)\s*,")).where("bib_key is not null")
+    """(paper, bib_key, title, author, first_author, arxiv_id) of BibTeX entries; braces nest, quoted and joined values and string macros are read."""
+    entries = files.select(paper, F.explode(tex.bib_entries(text)).alias("e")).select(paper, F.col("e.key").alias("bib_key"), F.col("e.entry").alias("entry"), F.col("e.fields").alias("fields"))
 
     def value(name: str) -> Column:
-        got = F.coalesce(_one("entry", rf"(?is)\b{name}\s*=\s*{_ARG}"), _one("entry", rf'(?is)\b{name}\s*=\s*"([^"]*)"'))
-        return F.trim(F.regexp_replace(F.regexp_replace(got, "[{}]", ""), r"\s+", " "))
+        return F.trim(F.regexp_replace(F.regexp_replace(F.try_element_at("fields", F.lit(name)), "[{}]", ""), r"\s+", " "))
 
     out = entries.select(paper, "bib_key", value("title").alias("title"), value("author").alias("author"), F.coalesce(X.journal_id(value("journal")), X.bib_to_id("entry")).alias("arxiv_id"))
     return out.withColumn("first_author", X.first_author("author"))
@@ -154,33 +154,50 @@ def chunks(parts: DataFrame, paper: str = "paper_id") -> DataFrame:
 
 
 def with_inputs(files: DataFrame) -> DataFrame:
-    """(paper_id, tex): the main file of each paper, with files that it includes once put in their place.
+    """(paper_id, tex): the main file of each paper with the files that it includes, and those that they include, in their place.
 
-    files: paper_id, file, content. The main file has a document environment (the first by name, if several).
+    files: paper_id, file, content. The main file has a document environment (the first by name, if several). Inclusions in comments and verbatim text are none; a
+    file may be included many times, but not in itself: inclusions of a file inside it, and of files that are not there, leave nothing. Each file is cut at its inclusions once; a round
+    then joins the open inclusions of all papers with the files, until none is open. Rounds are as many as inclusions nest, and are written tables.
     """
-    main = files.where(F.col("content").contains("\\begin{document}")).groupBy("paper_id").agg(F.min_by("content", "file").alias("content"))
-    include = r"\\(?:input|include)\{([^}]+)\}"
-    pieces = main.select("paper_id", F.split("content", include).alias("texts"), _all("content", include).alias("names"))
-    # one more empty name, so that the last text is kept
-    zipped = F.arrays_zip(F.col("texts"), F.concat("names", F.array(F.lit(""))).alias("names"))
-    rows = pieces.select("paper_id", F.posexplode(zipped).alias("at", "p")).select("paper_id", "at", F.col("p.texts").alias("text"), F.regexp_replace("p.names", r"\.tex$", "").alias("name"))
-    known = files.select("paper_id", F.regexp_replace("file", r"\.tex$", "").alias("name"), F.col("content").alias("included"))
-    joined = rows.join(known, ["paper_id", "name"], "left").withColumn("text", F.concat("text", F.coalesce("included", F.lit(""))))
-    return joined.groupBy("paper_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), "").alias("tex"))
+    stem = lambda c: F.regexp_replace(F.trim(c), r"^\./|\.tex$", "")
+    found = files.select("paper_id", "file", stem("file").alias("name"), tex.parsed("content", "input include").alias("p"), F.col("content").contains("\\begin{document}").alias("main"))
+    after = F.transform("p.items", lambda x: F.coalesce(x["content"], F.lit("")))
+    head = F.expr("left(p.rest, length(p.rest) - aggregate(p.items, 0, (n, x) -> n + length(coalesce(x.content, ''))))")
+    pieces = F.arrays_zip(F.concat(F.array(head), after).alias("text"), F.concat(F.transform("p.items", lambda x: stem(x["value"])), F.array(F.lit(None).cast("string"))).alias("include"))
+    cut = written(found.select("paper_id", "file", "name", "main", pieces.alias("pieces")))
+    known = cut.groupBy("paper_id", "name").agg(F.min_by("pieces", "file").alias("pieces"))
+    start = cut.where("main").groupBy("paper_id").agg(F.min_by(F.struct("name", "pieces"), "file").alias("m"))
+    # a row for each piece: its place, as a path of numbers, and the inclusion that follows it, with the files that it is in
+    level = start.select("paper_id", F.array(F.col("m.name")).alias("inside"), F.posexplode("m.pieces").alias("at", "piece")).withColumn("path", F.array("at"))
+    level = written(level.select("paper_id", "path", "inside", "piece.text", "piece.include"))
+    done = level.select("paper_id", "path", "text")
+    while True:
+        open_ = level.where(F.col("include").isNotNull() & ~F.array_contains("inside", F.col("include")))
+        if open_.isEmpty():
+            break
+        joined = open_.select("paper_id", "path", F.concat("inside", F.array("include")).alias("inside"), F.col("include").alias("name")).join(known, ["paper_id", "name"])
+        each = joined.select("paper_id", "path", "inside", F.posexplode("pieces").alias("at", "piece"))
+        level = written(each.select("paper_id", F.concat("path", F.array("at")).alias("path"), "inside", "piece.text", "piece.include"))
+        done = done.unionByName(level.select("paper_id", "path", "text"))
+    ordered = F.array_sort(F.collect_list(F.struct("path", "text")))
+    return done.groupBy("paper_id").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "").alias("tex"))
 
 
 def base_info(papers: DataFrame, metadata: DataFrame, text: str = "tex") -> DataFrame:
     """(paper_id, title, author, bibliographies); catalogue values win over those of the LaTeX."""
     names = F.concat(_all(text, r"\\bibliography\{([^}]+)\}"), _all(text, r"\\addbibresource(?:\[[^\]]*\])?\{([^}]+)\}"))
     names = F.filter(F.flatten(F.transform(names, lambda n: F.transform(F.split(n, ","), lambda x: F.regexp_replace(F.trim(x), r"\.bib$", "")))), lambda x: x != "")
-    own = papers.select("paper_id", X.drop_markup(_one(text, r"(?s)\\title" + _ARG)).alias("_title"), X.drop_markup(_one(text, r"(?s)\\author" + _ARG)).alias("_author"), names.alias("bibliographies"))
+    heads = tex.items(text, "title author")
+    first = lambda name: F.try_element_at(tex.named(heads, name), F.lit(1))["value"]
+    own = papers.select("paper_id", X.drop_markup(first("title")).alias("_title"), X.drop_markup(first("author")).alias("_author"), names.alias("bibliographies"))
     out = own.join(metadata.select("paper_id", "title", "author"), "paper_id", "left")
     return out.select("paper_id", F.coalesce("title", "_title").alias("title"), F.coalesce("author", "_author").alias("author"), "bibliographies")
 
 
 def abstracts(papers: DataFrame, text: str = "tex") -> DataFrame:
     """(paper_id, abstract): the environment's text without commands."""
-    body = _one(without_comments(text), r"(?s)\\begin\{abstract\}(.*?)\\end\{abstract\}")
+    body = F.try_element_at(tex.items(text, environments="abstract"), F.lit(1))["content"]
     return papers.select("paper_id", F.trim(F.regexp_replace(X.drop_commands(body), r"^\s+|\s+$", "")).alias("abstract"))
 
 
@@ -206,15 +223,25 @@ def document_tables(documents: DataFrame) -> DataFrame:
     return rows.select("paper_arxiv_id", "at", F.lit(None).cast("string").alias("path"), F.col("t.caption").alias("caption"), F.col("t.label").alias("label"), F.col("t.tabular").alias("table_text"))
 
 
-def document_figures(documents: DataFrame) -> DataFrame:
-    """Figure trees, three levels deep, to rows: a parent comes before its children; nodes without a path are kept."""
-    row = lambda f: F.struct(F.try_element_at(f["figure_paths"], F.lit(1)).alias("path"), f["caption"].alias("caption"), f["label"].alias("label"))
-    empty = F.array().cast("array<struct<path: string, caption: string, label: string>>")
+@F.pandas_udf(ArrayType(StructType([StructField(name, StringType()) for name in ("path", "caption", "label")])))
+def _figure_nodes(texts: pd.Series) -> pd.Series:
+    """The nodes of figure trees in JSON, a parent before its children, whatever their depth."""
+    out = []
+    for text in texts:
+        nodes, waiting = [], [json.loads(text)] if text else []
+        while waiting:
+            node = waiting.pop()
+            if isinstance(node, list):
+                waiting += reversed(node)
+            elif isinstance(node, dict):
+                paths = node.get("figure_paths") or [None]
+                nodes.append({"path": paths[0], "caption": node.get("caption"), "label": node.get("label")})
+                waiting.append(node.get("subfigures"))
+        out.append(nodes)
+    return pd.Series(out)
 
-    def tree(f: Column, depth: int) -> Column:
-        if depth == 1:
-            return F.array(row(f))
-        return F.concat(F.array(row(f)), F.coalesce(F.flatten(F.transform(f["subfigures"], lambda s: tree(s, depth - 1))), empty))
 
-    nodes = F.flatten(F.transform("figure", lambda f: tree(f, 3)))
+def document_figures(documents: DataFrame) -> DataFrame:
+    """Figure trees of any depth (a VARIANT, or nested structs) to rows: a parent comes before its children; nodes without a path are kept."""
+    nodes = _figure_nodes(F.to_json("figure"))
     return documents.select("paper_arxiv_id", F.posexplode(nodes).alias("at", "f")).select("paper_arxiv_id", "at", "f.path", "f.caption", "f.label")

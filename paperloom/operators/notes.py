@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as X
+from paperloom.functions.literal import literal_json
 
 
 def reviews(notes: DataFrame) -> DataFrame:
@@ -59,15 +60,11 @@ def profiles(raw: DataFrame) -> DataFrame:
 
 
 def lenient_json(c: Column | str) -> Column:
-    """Valid JSON text of a value: JSON itself, a Python literal rewritten, other text as {"_raw": text}; blank is {}."""
+    """Valid JSON text of a value: JSON itself; a Python literal (one that is no dict as {"_value": ...}); other text as {"_raw": text}; blank is {}."""
     text = F.trim(F.col(c) if isinstance(c, str) else c)
-    literal = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\bNone\b", "null"), r"\bTrue\b", "true"), r"\bFalse\b", "false")
-    literal = F.regexp_replace(F.replace(literal, F.lit('"'), F.lit('\\"')), r"(?<![A-Za-z0-9\\])'|(?<!\\)'(?![A-Za-z0-9])", '"')
-    raw = F.to_json(F.struct(text.alias("_raw")))
-    return (
-        F.when(X.is_blank(text), "{}").when(text.rlike(r"^[\[{]") & F.try_parse_json(text).isNotNull(), text)
-        .when(text.rlike(r"^[\[{]") & F.try_parse_json(literal).isNotNull(), literal).otherwise(raw)
-    )
+    blank, is_json = X.is_blank(text), F.try_parse_json(text).isNotNull()
+    literal = literal_json(F.when(~blank & ~is_json, text))  # the others pass as nulls
+    return F.when(blank, "{}").when(is_json, text).otherwise(F.coalesce(literal, F.to_json(F.struct(text.alias("_raw")))))
 
 
 def encoded(df: DataFrame) -> DataFrame:

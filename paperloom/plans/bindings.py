@@ -83,6 +83,44 @@ class Bindings:
         )
         return rows.select(F.col("doc_id").cast("string").alias("paper_id"), F.concat(head, body, F.lit("\\end{document}\n")).alias("tex"))
 
+    def nested_tex(self) -> DataFrame:
+        """(paper_id, tex): a section a line, whose title, captions and parts nest one to six levels deep, among comments, verbatim text and escaped braces."""
+
+        def deep(line, i):
+            depth = (i % 6 + 1).cast("int")
+            return F.concat(F.repeat(F.lit("\\emph{"), depth), line, F.repeat(F.lit("}"), depth))
+
+        def section(line, i):
+            n = i.cast("string")
+            return F.concat(
+                F.lit("% \\section{hidden} {\n\\section[s"), n, F.lit("]{"), deep(line, i), F.lit("}\nBody \\{ \\% \\begin{verbatim}\\section{no {\\end{verbatim}\n\\begin{figure*}\\begin{center}\\includegraphics[width=2]{img/"), n,
+                F.lit(".pdf}\\end{center}\\begin{minipage}{2cm}\\begin{minipage}{1cm}\\includegraphics{p"), n, F.lit(".pdf}\\caption{"), deep(n, i), F.lit("}\\end{minipage}\\end{minipage}\\caption[short]{"), deep(line, i), F.lit("}\\label{fig:"), n,
+                F.lit("}\\end{figure*}\n\\begin{table}\\begin{tabular}{c}\\begin{tabular}{l}"), n, F.lit("\\end{tabular}\\end{tabular}\\caption{"), deep(line, i), F.lit("}\\end{table}\n"),
+            )
+
+        body = F.array_join(F.transform("lines", section), "")
+        return self.clean_lines().select(F.col("doc_id").cast("string").alias("paper_id"), F.concat(F.lit("\\begin{document}"), body, F.lit("\\end{document}\\section{after}")).alias("tex"))
+
+    def nested_bib(self) -> DataFrame:
+        """(paper_id, bib): an entry a line; titles in braces or quotes, one to six levels deep, with a macro and an unclosed note among them."""
+
+        def entry(line, i):
+            depth = (i % 6).cast("int")
+            inner = F.concat(F.repeat(F.lit("{"), depth), line, F.repeat(F.lit("}"), depth))
+            title = F.when(i % 2 == 0, F.concat(F.lit("{"), inner, F.lit("}"))).otherwise(F.concat(F.lit('"'), inner, F.lit(' {"q"}"')))
+            return F.concat(F.lit("@article{k"), i.cast("string"), F.lit(",\n year = 2020, title = "), title, F.lit(",\n author = who # { and B},\n note = {open\n}\n"))
+
+        body = F.concat(F.lit('@string{who = "Ander, A"}\n'), F.array_join(F.transform("lines", entry), ""))
+        return self.clean_lines().select(F.col("doc_id").cast("string").alias("paper_id"), body.alias("bib"))
+
+    def deep_figures(self) -> DataFrame:
+        """(paper_arxiv_id, figure): trees of one to fifty levels, each node but the last with a leaf beside the next one."""
+        depth = (F.col("doc_id") % 50 + 1).cast("int")
+        node = lambda k: F.concat(F.lit('{"caption":"c'), k.cast("string"), F.lit('","label":"l","figure_paths":["'), k.cast("string"), F.lit('.pdf"],"subfigures":['))
+        leaf = ',{"caption":"leaf","label":null,"figure_paths":[],"subfigures":[]}]}'
+        text = F.concat(F.lit("["), F.array_join(F.transform(F.sequence(F.lit(1), depth), node), ""), F.lit("]}"), F.repeat(F.lit(leaf), depth - 1), F.lit("]"))
+        return self.table("documents").select(F.col("doc_id").cast("string").alias("paper_arxiv_id"), F.parse_json(text).alias("figure"))
+
     def bib(self) -> DataFrame:
         """(paper_id, bib, bbl): documents as one-entry bibliographies."""
         rows = self.clean_lines().select(F.col("doc_id").cast("string").alias("paper_id"), F.element_at("lines", 1).alias("title"))

@@ -175,6 +175,36 @@ def t6(b: Bindings) -> DataFrame:
     return latex.bib_entries(b.bib()).select("paper_id", "bib_key", "title", "first_author", "arxiv_id")
 
 
+def _deep(text: str) -> str:
+    return f"repeat('\\emph{{', i % 6 + 1) || {text} || repeat('}}', i % 6 + 1)"
+
+
+@query("t1_nested_sections", f"SELECT CAST(doc_id AS VARCHAR) AS paper_id, CAST(i + 1 AS INTEGER) AS section_in_paper_id, {_deep('line')} AS title FROM ({_LINES})")
+def t1_nested(b: Bindings) -> DataFrame:
+    """Short titles, titles of one to six levels of braces, comments and verbatim text."""
+    return latex.sections(b.nested_tex()).select("paper_id", "section_in_paper_id", "title")
+
+
+@query("t3_nested_tables", f"SELECT CAST(doc_id AS VARCHAR) AS paper_id, CAST(i AS INTEGER) AS pos, {_deep('line')} AS caption, '\\begin{{tabular}}{{c}}\\begin{{tabular}}{{l}}' || i || '\\end{{tabular}}\\end{{tabular}}' AS tabular FROM ({_LINES})")
+def t3_nested(b: Bindings) -> DataFrame:
+    return latex.tables(b.nested_tex()).select("paper_id", F.col("at").alias("pos"), "caption", "tabular")
+
+
+@query(
+    "t4_nested_figures",
+    f"SELECT CAST(doc_id AS VARCHAR) AS paper_id, CAST(i AS INTEGER) AS pos, {_deep('line')} AS caption, 'fig:' || i AS label, 'img/' || i || '.pdf' AS path, {_deep('i')} AS part_caption, 'p' || i || '.pdf' AS part_path FROM ({_LINES})",
+)
+def t4_nested(b: Bindings) -> DataFrame:
+    part = F.element_at("subfigures", 1)
+    found = latex.figures(b.nested_tex())
+    return found.select("paper_id", F.col("at").alias("pos"), "caption", "label", F.concat_ws(",", "figure_paths").alias("path"), part["caption"].alias("part_caption"), F.concat_ws(",", part["figure_paths"]).alias("part_path"))
+
+
+@query("t6_nested_bibtex", f"SELECT CAST(doc_id AS VARCHAR) AS paper_id, 'k' || i AS bib_key, trim(regexp_replace(line || CASE WHEN i % 2 = 0 THEN '' ELSE ' \"q\"' END, '\\s+', ' ', 'g')) AS title, 'Ander, A' AS first_author FROM ({_LINES})")
+def t6_nested(b: Bindings) -> DataFrame:
+    return latex.bib_entries(b.nested_bib()).select("paper_id", "bib_key", "title", "first_author")
+
+
 @query("t7_thebibliography", f"SELECT CAST(doc_id AS VARCHAR) AS paper_id, 'key' || doc_id AS bib_key, 'A. Ander' AS authors, line AS title FROM ({_LINES}) WHERE i = 0 AND line <> ''")
 def t7(b: Bindings) -> DataFrame:
     return latex.bbl_entries(b.bib()).where("title <> ''")
@@ -207,6 +237,25 @@ def t13_inputs(b: Bindings) -> DataFrame:
     return latex.with_inputs(rows.select("paper_id", F.inline(files)))
 
 
+@query(
+    "t13_nested_inputs",
+    f"WITH g AS (SELECT doc_id, i // 20 AS g, '(' || string_agg('<' || i || line || '>', '' ORDER BY i) || ')' AS part FROM ({_LINES}) GROUP BY 1, 2) "
+    "SELECT CAST(doc_id AS VARCHAR) AS paper_id, '\\begin{document}' || string_agg(part, '' ORDER BY g) || '-' || any_value(part) FILTER (g = 0) AS tex FROM g GROUP BY 1",
+)
+def t13_nested(b: Bindings) -> DataFrame:
+    """The main file includes parts of twenty lines, the first of them twice, and these a file a line, which includes the main file, its part and, in a comment, nothing."""
+    rows = b.clean_lines().select(F.col("doc_id").cast("string").alias("paper_id"), "lines")
+    joined = lambda low, high, before: F.array_join(F.transform(F.sequence(low, high), lambda i: F.concat(F.lit("\\input{" + before), i.cast("string"), F.lit("}"))), "")
+    last = F.size("lines") - 1
+    parts = F.sequence(F.lit(0), F.floor(last / 20).cast("int"))
+    file = lambda name, content: F.struct(F.concat(name, F.lit(".tex")).alias("file"), F.concat(*content).alias("content"))
+    line = F.transform("lines", lambda x, i: file(i.cast("string"), [F.lit("<"), i.cast("string"), x, F.lit("% \\input{0}\n\\input{p"), F.floor(i / 20).cast("string"), F.lit("}\\include{main.tex}>")]))
+    part = F.transform(parts, lambda g: file(F.concat(F.lit("p"), g.cast("string")), [F.lit("("), joined(g * 20, F.least(last, g * 20 + 19), ""), F.lit(")")]))
+    main = F.array(file(F.lit("main"), [F.lit("\\begin{document}"), joined(F.lit(0), F.floor(last / 20).cast("int"), "p"), F.lit("-\\input{p0.tex}")]))
+    spliced = latex.with_inputs(rows.select("paper_id", F.inline(F.concat(main, part, line))))
+    return spliced.select("paper_id", F.replace("tex", F.lit("\n")).alias("tex"))
+
+
 @query("t14_abstracts", f"SELECT CAST(doc_id AS VARCHAR) AS paper_id, line AS abstract FROM ({_LINES}) WHERE i = 0")
 def t14(b: Bindings) -> DataFrame:
     return latex.abstracts(b.tex())
@@ -235,6 +284,17 @@ def n5(b: Bindings) -> DataFrame:
     return latex.document_figures(b.paper_graphs()).select("paper_arxiv_id", F.col("at").alias("pos"), "path", "caption")
 
 
+@query(
+    "n5_deep_figures",
+    "WITH RECURSIVE walk(doc_id, level, depth) AS (SELECT doc_id, 1, doc_id % 50 + 1 FROM documents UNION ALL SELECT doc_id, level + 1, depth FROM walk WHERE level < depth) "
+    "SELECT CAST(doc_id AS VARCHAR) AS paper_arxiv_id, CAST(level - 1 AS INTEGER) AS pos, 'c' || level AS caption, level || '.pdf' AS path FROM walk "
+    "UNION ALL SELECT CAST(doc_id AS VARCHAR), CAST(depth + level - 1 AS INTEGER), 'leaf', NULL FROM walk WHERE level < depth",
+)
+def n5_deep(b: Bindings) -> DataFrame:
+    """Figure trees of one to fifty levels; a parent comes before its children."""
+    return latex.document_figures(b.deep_figures()).select("paper_arxiv_id", F.col("at").alias("pos"), "caption", "path")
+
+
 @query("n6_sections_map", f"SELECT CAST(doc_id AS VARCHAR) AS paper_arxiv_id, 'S' || lpad(CAST(g AS VARCHAR), 4, '0') AS title, g > 1 AS appendix, CAST(g + 1 AS INTEGER) AS section_in_paper_id FROM ({_GROUPS})")
 def n6(b: Bindings) -> DataFrame:
     """Sections keep the order of the document."""

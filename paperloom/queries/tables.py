@@ -78,10 +78,11 @@ def s5(b: Bindings) -> DataFrame:
     graphs = b.paper_graphs()
     graphs.unionByName(graphs.withColumn("paper_arxiv_id", F.concat("paper_arxiv_id", F.lit("_history")))).write.json(path)
     rows = imports.read_paper_graphs(b.spark, path, lines=True)
-    parts = F.aggregate("figure", F.lit(0), lambda n, f: n + F.size(f["subfigures"]))
+    trees = F.col("figure").cast("array<struct<subfigures: array<variant>>>")
+    parts = F.aggregate(trees, F.lit(0), lambda n, f: n + F.size(f["subfigures"]))
     appendix = F.size(F.filter(F.map_values("sections"), lambda s: s["appendix"] == "true")).cast("long")
     return rows.select(
-        "paper_arxiv_id", F.size("sections").alias("sections"), F.size("figure").alias("figures"), parts.alias("parts"), F.size("table").alias("tables"), F.size("citations").alias("citations"), appendix.alias("appendix")
+        "paper_arxiv_id", F.size("sections").alias("sections"), F.size(trees).alias("figures"), parts.alias("parts"), F.size("table").alias("tables"), F.size("citations").alias("citations"), appendix.alias("appendix")
     )
 
 

@@ -114,18 +114,16 @@ WRAPPERS = {"arxiv_papers": "papers", "arxiv_citations": "citations", "arxiv_par
 STAGES = ("downloaded", "paper_graph", "citation", "semantic_scholar", "paragraph")
 TASKS = Table("paper_task", "id long, paper_arxiv_id string, " + ", ".join(f"{s} boolean" for s in STAGES), ("paper_arxiv_id",))
 
-_FIGURE = "original: string, caption: string, label: string, figure_paths: array<string>"
-FIGURE = f"struct<{_FIGURE}, subfigures: array<struct<{_FIGURE}, subfigures: array<struct<{_FIGURE}>>>>>"
 CITATION = (
     "struct<bib_key: string, bib_title: string, arxiv_id: string, short_id: string, title: string, author: string, published: string, similar_score: double, importance_score: double,"
     " context: array<struct<section: string, subsection: string, subsubsection: string, prev_context: string, next_context: string>>>"
 )
-#: One nested document for each paper, as a schema string.
+#: One nested document for each paper, as a schema string; figures nest to any depth.
 PAPER_GRAPH = (
     "title string, author string, abstract string, published string, primary_category string, summary string, categories array<string>, equations array<string>, algorithm array<string>,"
     " sections map<string, struct<content: string, appendix: string>>,"
     " `table` array<struct<original: string, caption: string, label: string, tabular: string, subtables: array<struct<caption: string, label: string, tabular: string>>>>,"
-    f" figure array<{FIGURE}>, citations map<string, {CITATION}>"
+    f" figure variant, citations map<string, {CITATION}>"
 )
 #: Side-car metadata of a paper.
 METADATA = "id string, title string, abstract string, authors array<string>, published string, categories array<string>, url string"

@@ -1,10 +1,14 @@
 """Joins, merges, matches and derivations on hand-made tables."""
 
+import ast
+import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from paperloom.functions.literal import to_json
 from paperloom.operators import graph, latex, link, match, notes, pdftext, revisions, store
 
 
@@ -238,3 +242,93 @@ def test_near_titles_equal_brute_force(spark):
         if -best[0] >= 97:
             want[i] = (best[1], -best[0])
     assert got == want and len(want) > 50
+
+
+def test_figure_trees_of_any_depth(spark):
+    def tree(depth):
+        return {"caption": f"c{depth}", "label": None, "figure_paths": [f"{depth}.pdf"], "subfigures": [tree(depth - 1), {"caption": "leaf", "figure_paths": [], "subfigures": None}] if depth > 1 else []}
+
+    rows_ = [(str(d), json.dumps([tree(d), tree(1)])) for d in (1, 2, 5, 50, 200)] + [("none", None), ("empty", "[]")]
+    df = spark.createDataFrame(rows_, "paper_arxiv_id string, text string").select("paper_arxiv_id", F.parse_json("text").alias("figure"))
+    got = {}
+    for r in latex.document_figures(df).orderBy("at").collect():
+        got.setdefault(r["paper_arxiv_id"], []).append((r["caption"], r["path"]))
+    assert got == {str(d): [(f"c{k}", f"{k}.pdf") for k in range(d, 0, -1)] + [("leaf", None)] * (d - 1) + [("c1", "1.pdf")] for d in (1, 2, 5, 50, 200)}
+
+
+def spliced(files, name, inside=()):
+    """Plain inclusion: comments gone, files in their place, none in itself."""
+    text = re.sub(r"(?m)(?<!\\)%.*$", "", files.get(name, ""))
+    if name in inside or name not in files:
+        return ""
+    return re.sub(r"\\(?:input|include)\{([^}]*)\}", lambda m: spliced(files, m[1].strip().removesuffix(".tex"), (*inside, name)), text)
+
+
+def test_inclusions_chain_meet_and_turn_back(spark):
+    rng = random.Random(8)
+    papers = {
+        "chain": {"main": "\\begin{document}a\\input{b}z", "b": "b\\input{c.tex}y", "c": "c\\include{d}x", "d": "d"},
+        "diamond": {"main": "\\begin{document}\\input{l}-\\input{r}", "l": "l\\input{s}", "r": "\\input{s}r\\input{s}", "s": "s"},
+        "cycle": {"main": "\\begin{document}\\input{a}|\\input{main}", "a": "a\\input{b}", "b": "b\\input{a}\\input{main}\\input{none}."},
+        "comment": {"main": "\\begin{document}% \\input{a}\n\\%\\input{a}", "a": "yes"},
+        "alone": {"main": "\\begin{document}"}, "no main": {"a": "x"},
+    }
+    for i in range(12):
+        names = ["main", *"abcdef"]
+        papers[f"r{i}"] = {n: ("\\begin{document}" if n == "main" else "") + "".join(rng.choice([n, "\n", " ", f"\\input{{{rng.choice('abcdefg')}}}", "% x\n"]) for _ in range(rng.randrange(4))) for n in names}
+    files = [(p, f"{n}.tex", t) for p, parts in papers.items() for n, t in parts.items()]
+    got = {r["paper_id"]: r["tex"] for r in latex.with_inputs(spark.createDataFrame(files, "paper_id string, file string, content string")).collect()}
+    assert got == {p: spliced(parts, "main") for p, parts in papers.items() if "main" in parts}
+
+
+def test_python_literals(spark):
+    given = [
+        "{'a': 'None of it is True', 'b': \"it's\"}", "{'a': (1, 2), 'b': {1, 2, 1}, 3: [None, True, -.5]}", "['x', 'y']", "{'a': b'x', 'b': r'\\d' 'z', 'c': '\\u00e9\\x41\\n'}", "{'a': {'b': {'c': [[[{}]]]}}}", "{'open': [1, 2}", "{'a': 1+2j}",
+        '[1, {"a": null}]', "5", "it's free", "{'a': 0x1f, 'b': 1_000, 'c': 'x' # note\n}",
+    ]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(given)], "i int, x string").select("i", notes.lenient_json("x").alias("j"))
+    got = [json.loads(r["j"]) for r in df.orderBy("i").collect()]
+    assert got == [
+        {"a": "None of it is True", "b": "it's"}, {"a": [1, 2], "b": [1, 2], "3": [None, True, -0.5]}, {"_value": ["x", "y"]}, {"a": "x", "b": "\\dz", "c": "éA\n"}, {"a": {"b": {"c": [[[{}]]]}}}, {"_raw": "{'open': [1, 2}"},
+        {"_raw": "{'a': 1+2j}"}, [1, {"a": None}], 5, {"_raw": "it's free"}, {"a": 31, "b": 1000, "c": "x"},
+    ]
+
+
+def test_literals_as_python_reads_them():
+    def made(rng, depth=0):
+        kind = rng.randrange(10 if depth < 5 else 6)
+        if kind < 3:
+            text = "".join(rng.choice(["a", "None", "True ", "it's", '"', "\\", "\n", "é", "{", "]", ",", "\U0001f600", "\\n"]) for _ in range(rng.randrange(5)))
+            return rng.choice([repr(text), json.dumps(text), "'''" + text.replace("\\", "\\\\").replace("'", "\\'") + "'''", "r'x\\d' 'y'", "'\\N{BULLET}\\x41\\101\\q'"])
+        if kind < 6:
+            return rng.choice(["None", "True", "False", "1", "-2", "+3", "0x1F", "1_000", "1.5", "-.5", "2.", "1e5", "00", "123456789012345678901234567890", "()", "[]", "{}"])
+        items, tail = [made(rng, depth + 1) for _ in range(rng.randrange(1, 4))], rng.choice(["", ",", "\n , "])
+        if kind == 6:
+            return "[" + ", ".join(items) + tail + "]"
+        if kind == 7:
+            return "(" + ", ".join(items) + tail + ")"
+        return "{" + ", ".join(f"{rng.choice([repr('k' + str(i)), str(i), 'None', 'True', '(7)'])} : {x}" for i, x in enumerate(items)) + tail + "}"
+
+    def plain(v):
+        if isinstance(v, dict):
+            return {k if isinstance(k, str) else json.dumps(k): plain(x) for k, x in v.items()}
+        return [plain(x) for x in v] if isinstance(v, list | tuple) else v
+
+    for seed in range(3000):
+        rng = random.Random(seed)
+        text = made(rng)
+        if seed % 3 == 0:  # broken ones
+            at = rng.randrange(len(text))
+            text = text[:at] + rng.choice(["", ",", "'", ":", "(", "]", "x", "0"]) + text[at + 1 :]
+        try:
+            want = ast.literal_eval(text.strip())
+        except Exception:
+            assert to_json(text) is None, text
+            continue
+        got = to_json(text)
+        try:
+            expected = plain(want if isinstance(want, dict) else {"_value": want})
+            json.dumps(expected)
+        except TypeError:  # JSON has no sets, and a broken text may turn out to be one
+            continue
+        assert got is not None and json.loads(got) == expected, text
