@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import text as X
 from paperloom.operators import latex, link, notes, pdftext
 from paperloom.operators.match import resolve_citations
-from paperloom.operators.revisions import hunks
+from paperloom.operators.revisions import hunks, located
 from paperloom.operators.store import with_ids
 
 
@@ -62,15 +62,16 @@ def arxiv_tables(documents: DataFrame, metadata: DataFrame, authors: DataFrame,
     }
 
 
-def _differences(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(modified, content): the hunks between the texts of each pair of revisions, as a JSON array in order."""
+def _differences(pairs: DataFrame, texts: DataFrame, boilerplate: list[str] | None = None) -> DataFrame:
+    """(modified, content): the hunks between the texts of each pair of revisions with their places in the newer one's paragraphs, as a JSON array in order."""
     old = texts.select(F.col("revision_openreview_id").alias("original"), F.col("text").alias("old"))
     new = texts.select(F.col("revision_openreview_id").alias("modified"), F.col("text").alias("new"))
     both = pairs.select("original", "modified").join(old, "original").join(new, "modified").select(F.col("modified").alias("pair"), "old", "new")
-    names = ["context_before", "original_lines", "modified_lines", "context_after"]
+    paragraphs = pdftext.paragraphs(both.select(F.col("pair").alias("paper_openreview_id"), F.col("new").alias("text")), boilerplate).withColumnRenamed("paper_openreview_id", "pair")
+    names = ["context_before", "context_after", "original_lines", "modified_lines", "section", "paragraph_idx", "before_section", "before_paragraph_idx", "after_section", "after_paragraph_idx"]
     each = F.array_sort(F.collect_list(F.struct("hunk", *names)))
-    content = F.to_json(F.transform(each, lambda h: F.struct(*[h[n].alias(n) for n in names])))
-    return hunks(both).groupBy("pair").agg(content.alias("content")).withColumnRenamed("pair", "modified")
+    content = F.to_json(F.transform(each, lambda h: F.struct(*[h[n].alias(n) for n in names])), {"ignoreNullFields": "false"})
+    return located(hunks(both), paragraphs).groupBy("pair").agg(content.alias("content")).withColumnRenamed("pair", "modified")
 
 
 def venue_tables(
@@ -90,7 +91,7 @@ def venue_tables(
     if revision_texts is None:
         changed = pairs.withColumn("content", F.lit(None).cast("string"))
     else:
-        changed = pairs.join(_differences(pairs, revision_texts), "modified", "left")
+        changed = pairs.join(_differences(pairs, revision_texts, boilerplate), "modified", "left")
     out = {
         "openreview_papers": submissions,
         "openreview_authors": notes.profiles(profiles),

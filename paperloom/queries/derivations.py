@@ -471,3 +471,59 @@ def t12(b: Bindings) -> DataFrame:
     pairs = _pairs(b)
     paragraphs = pairs.select("pair", F.posexplode(F.split("new", "\n")).alias("paragraph_idx", "content")).withColumn("section", F.lit("s"))
     return revisions.located(revisions.hunks(pairs), paragraphs).select("pair", "hunk", "modified_lines", "section", "paragraph_idx")
+
+
+def _revised(b: Bindings) -> DataFrame:
+    """Documents with numbered lines, against themselves with, in each seventeen lines, the fourth changed, the sixth removed and, in every other block, one added after the ninth."""
+    number = lambda i: F.lpad(i.cast("string"), 9, "0")
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.lit("L"), number(i), F.lit(" "), F.trim(x)))
+    docs = b.table("documents").select(F.col("doc_id").alias("pair"), lines.alias("lines"))
+    none = F.array().cast("array<string>")
+
+    def edited(x, i):
+        changed = F.array(F.concat(F.lit("C"), number(i), F.lit(" changed")))
+        added = F.array(x, F.concat(F.lit("A"), number(i), F.lit(" added")))
+        return F.when(i % 17 == 3, changed).when(i % 17 == 5, none).when(i % 34 == 8, added).otherwise(F.array(x))
+
+    return docs.select("pair", F.array_join("lines", "\n").alias("old"), F.array_join(F.flatten(F.transform("lines", edited)), "\n").alias("new"))
+
+
+#: r: old lines; h: a hunk for each block of seventeen lines that reaches its change; k: new lines in order.
+_REVISED = (
+    f"WITH r AS (SELECT doc_id, i, i // 17 AS b, i % 17 AS o, trim('L' || lpad(CAST(i AS VARCHAR), 9, '0') || ' ' || trim(raw)) AS line FROM ({_RAW})), "
+    "f AS (SELECT doc_id, b, bool_or(o = 8 AND b % 2 = 0) AS added FROM r GROUP BY 1, 2 HAVING bool_or(o = 3)), "
+    "h AS (SELECT doc_id AS pair, CAST(b + 1 AS INTEGER) AS hunk, coalesce(string_agg(line, ' ' ORDER BY i) FILTER (o < 3), '') AS context_before, "
+    "coalesce(string_agg(line, ' ' ORDER BY i) FILTER (o IN (4, 6, 7, 8) OR added AND o IN (9, 10, 11)), '') AS context_after, string_agg(line, ' ' ORDER BY i) FILTER (o IN (3, 5)) AS original_lines, "
+    "string_agg(CASE WHEN o = 3 THEN 'C' || lpad(CAST(i AS VARCHAR), 9, '0') || ' changed' ELSE 'A' || lpad(CAST(i AS VARCHAR), 9, '0') || ' added' END, ' ' ORDER BY i) FILTER (o = 3 OR added AND o = 8) AS modified_lines "
+    "FROM r JOIN f USING (doc_id, b) GROUP BY 1, 2), "
+    "k AS (SELECT doc_id AS pair, row_number() OVER (PARTITION BY doc_id ORDER BY i, z) - 1 AS place, line FROM ("
+    "SELECT doc_id, i, 0 AS z, CASE WHEN o = 3 THEN 'C' || lpad(CAST(i AS VARCHAR), 9, '0') || ' changed' ELSE line END AS line FROM r WHERE o <> 5 "
+    "UNION ALL SELECT doc_id, i, 1, 'A' || lpad(CAST(i AS VARCHAR), 9, '0') || ' added' FROM r WHERE i % 34 = 8))"
+)
+
+
+@query("t11_several_hunks", f"{_REVISED} SELECT * FROM h")
+def t11_several(b: Bindings) -> DataFrame:
+    """Changes, removals and additions, with several hunks a text."""
+    return revisions.hunks(_revised(b))
+
+
+@query(
+    "t12_places",
+    f"{_REVISED}, p AS (SELECT pair, place // 3 AS n, string_agg(line, ' ' ORDER BY place) AS content FROM k GROUP BY 1, 2), "
+    "w AS (SELECT pair, n, content, lag(content) OVER o AS prev, lead(content) OVER o AS next FROM p WINDOW o AS (PARTITION BY pair ORDER BY n)), "
+    "m AS (SELECT h.*, n, CASE WHEN contains(content, substr(context_before, 1, 10)) THEN n WHEN contains(prev, substr(context_before, 1, 10)) THEN n - 1 END AS b, "
+    "CASE WHEN contains(content, substr(context_after, 1, 10)) THEN n WHEN contains(next, substr(context_after, 1, 10)) THEN n + 1 END AS a FROM h JOIN w ON h.pair = w.pair AND contains(content, substr(modified_lines, 1, 10))), "
+    "t AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY pair, hunk ORDER BY (b IS NOT NULL)::INT + (a IS NOT NULL)::INT DESC, n) = 1) "
+    "SELECT pair, hunk, context_before, context_after, original_lines, modified_lines, 'S' || (n // 4) AS section, CAST(n AS INTEGER) AS paragraph_idx, 'S' || (b // 4) AS before_section, CAST(b AS INTEGER) AS before_paragraph_idx, "
+    "'S' || (a // 4) AS after_section, CAST(a AS INTEGER) AS after_paragraph_idx FROM t",
+)
+def t12_places(b: Bindings) -> DataFrame:
+    """Three new lines make a paragraph and four of these a section; the places of a change and of its contexts."""
+    pairs = _revised(b)
+    lines = pairs.select("pair", F.split("new", "\n").alias("lines"))
+    groups = F.sequence(F.lit(0), F.ceil(F.size("lines") / 3).cast("int") - 1)
+    trimmed = lambda g: F.array_join(F.transform(F.slice("lines", g * 3 + 1, 3), lambda x: F.trim(x)), " ")
+    paragraphs = lines.select("pair", F.posexplode(F.transform(groups, trimmed)).alias("paragraph_idx", "content"))
+    section = F.concat(F.lit("S"), F.floor(F.col("paragraph_idx") / 4).cast("string"))
+    return revisions.located(revisions.hunks(pairs), paragraphs.withColumn("section", section))

@@ -192,15 +192,14 @@ def test_hunks(spark):
 
 
 def test_hunks_are_those_of_a_unified_diff(spark):
-    """Moved blocks, repeated and blank lines; the expected hunks are read from the diff's own text."""
+    """Where each line occurs once and none moves, so that only one alignment is longest; the expected hunks are read from the diff's own text."""
     import difflib
 
     rng = random.Random(4)
     pairs = [(0, None, "a"), (1, "", ""), (2, "a\nb", None)]
     for i in range(3, 60):
-        old = [rng.choice(["x", "", " y ", "-z", "+w", "@"]) + (str(rng.randrange(30)) if rng.random() < 0.8 else "") for _ in range(rng.randrange(40))]
-        cut = rng.randrange(len(old) + 1)
-        new = [line for line in old[cut:] + old[:cut] if rng.random() < 0.9] if rng.random() < 0.3 else [rng.choice([line, line, line, line, "new"]) for line in old if rng.random() < 0.95]
+        old = [rng.choice(["x", " y ", "-z", "+w", "@"]) + str(k) for k in range(rng.randrange(40))]
+        new = [rng.choice([line, line, line, line, f"new {k}"]) for k, line in enumerate(old) if rng.random() < 0.95]
         pairs.append((i, "\n".join(old), "\n".join(new)))
     want = []
     for i, old, new in pairs:
@@ -217,6 +216,59 @@ def test_hunks_are_those_of_a_unified_diff(spark):
     assert rows(revisions.hunks(spark.createDataFrame(pairs, "pair int, old string, new string"))) == sorted(want, key=str)
 
 
+def longest(a, b):
+    """Length of a longest common subsequence, by the whole table."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = row[:]
+        for j, y in enumerate(b, 1):
+            row[j] = before[j - 1] + 1 if x == y else max(before[j], row[j - 1])
+    return row[-1]
+
+
+@pytest.mark.parametrize("cells", [1 << 26, 40])
+def test_alignments_are_longest(monkeypatch, cells):
+    """Moved blocks, repeated lines and few different ones, to 300 lines; with tables that are halved too."""
+    monkeypatch.setattr(revisions, "CELLS", cells)
+    rng = random.Random(cells)
+    for k in range(60):
+        old = [rng.randrange(rng.choice([2, 20, 300])) for _ in range(rng.choice([0, 1, 5, 40, 300]))]
+        cut = rng.randrange(len(old) + 1)
+        new = old[cut:] + old[:cut] if k % 3 == 0 else [rng.choice([x, x, x, 7]) for x in old if rng.random() < 0.9] + old[:3] if k % 3 == 1 else [rng.randrange(20) for _ in range(rng.randrange(300))]
+        pairs = revisions.common_lines(old, new)
+        assert all(old[x] == new[y] for x, y in pairs)
+        assert all(x < u and y < v for (x, y), (u, v) in zip(pairs, pairs[1:], strict=False))
+        assert len(pairs) == longest(old, new)
+
+
+def test_places_of_hunks_by_comparing_all(spark):
+    rng = random.Random(3)
+    words = ["alpha", "beta", "gamma", "delta"]
+    diffs, paragraphs = [], []
+    for pair in range(6):
+        texts = [" ".join(rng.choice(words) for _ in range(rng.choice([1, 3, 8]))) for _ in range(rng.randrange(1, 12))]
+        paragraphs += [(pair, i, f"s{i // 3}", t) for i, t in enumerate(texts)]
+        for hunk in range(8):
+            piece = lambda: rng.choice(texts)[rng.randrange(3) :][: rng.choice([3, 9, 10, 30])] + rng.choice(["", " more"])  # noqa: B023, E731
+            diffs.append((pair, hunk, piece(), rng.choice([piece(), ""]), "o", rng.choice([piece(), ""])))
+    got = {tuple(r)[:2]: tuple(r)[6:] for r in revisions.located(
+        spark.createDataFrame(diffs, "pair int, hunk int, context_before string, context_after string, original_lines string, modified_lines string"),
+        spark.createDataFrame(paragraphs, "pair int, paragraph_idx int, section string, content string")).collect()}
+    assert len(got) == len(diffs)
+    for pair, hunk, before, after, _, modified in diffs:
+        own = [(i, s, t) for p, i, s, t in paragraphs if p == pair]
+        best = None
+        for k, (i, s, t) in enumerate(own):
+            if not modified or modified[:10] not in t:
+                continue
+            place = lambda c, o: (s, i) if c[:10] in t else (own[o][1], own[o][0]) if 0 <= o < len(own) and c[:10] in own[o][2] else (None, None)  # noqa: B023, E731
+            b, a = place(before, k - 1), place(after, k + 1)
+            key = (-(b[1] is not None) - (a[1] is not None), i)
+            if best is None or key < best[0]:
+                best = (key, (s, i, *b, *a))
+        assert got[pair, hunk] == (best[1] if best else (None,) * 6), (pair, hunk)
+
+
 def test_pdf_text(spark):
     text = "Title here\n\nHeader\n\nAbstract\n\nWe study.\n\n1 Introduction\n\nA sentence that is\nlong\n\nand goes on.\n\n• a list\n\n3 4 + 5 = 9\n\nFigure 1: x\n\nNext one.\n\nReferences\n\n[1] Y"
     got = [(r["section"], r["content"]) for r in pdftext.paragraphs(spark.createDataFrame([("p", text)], "paper_openreview_id string, text string")).orderBy("paragraph_idx").collect()]
