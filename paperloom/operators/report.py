@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,9 +19,35 @@ def counts_by_type(df: DataFrame, column: str = "type") -> DataFrame:
 
 
 def fingerprint(ids: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
-    """SHA-256 of the sorted distinct ids joined by a bar, for each group; sets are as large as a batch of ids."""
-    text = F.sha2(F.concat_ws("|", F.array_sort(F.collect_set(F.col(name).cast("string")))), 256).alias("fingerprint")
-    return ids.groupBy(*(by or [])).agg(text)
+    """SHA-256 of the sorted distinct ids joined by a bar, for each group (nulls are no ids; the digest of no ids is that of the empty text).
+
+    Ids become distinct in parallel and arrive in order as a stream; a task holds one batch of them and a digest, whatever the size of the set. SHA-256 takes its
+    input in sequence, so one group's ids pass through one task; without groups the ranges of a parallel sort do, one after another.
+    """
+    groups = by or []
+    rows = ids.select(*groups, F.col(name).cast("string").alias("_id")).distinct()
+    if not groups:  # a row even if there are no ids
+        rows = rows.unionByName(ids.sparkSession.range(1).select(F.lit(None).cast("string").alias("_id")))
+    rows = rows.repartition(*groups).sortWithinPartitions(*groups, "_id") if groups else rows.orderBy("_id").coalesce(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, digest = None, None
+        done = lambda: pa.RecordBatch.from_arrays([*[pa.array([v], f.type) for v, f in zip(now[1], now[0], strict=True)], pa.array([digest.hexdigest()])], names=[*groups, "fingerprint"])
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(len(groups))]
+            for *group, value in zip(*columns, batch.column(len(groups)).to_pylist(), strict=True):
+                if now is None or now[1] != group:
+                    if now is not None:
+                        yield done()
+                    now, digest, between = (list(batch.schema)[: len(groups)], group), hashlib.sha256(), b""
+                if value is not None:
+                    digest.update(between + value.encode())
+                    between = b"|"
+        if now is not None:
+            yield done()
+
+    kinds = [f"`{c}` {ids.schema[c].dataType.simpleString()}" for c in groups]
+    return rows.mapInArrow(run, ", ".join([*kinds, "fingerprint string"]))
 
 
 def ratings(papers: DataFrame, reviews: DataFrame, key: str, rating: str) -> DataFrame:

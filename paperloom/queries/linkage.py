@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as X
-from paperloom.operators import graph, link, match, store
+from paperloom.operators import adjacency, graph, link, match, store
 from paperloom.plans.bindings import Bindings
 from paperloom.queries.registry import query
 from paperloom.schema import METADATA_NAMES, Table
 from paperloom.session import shared_folder
+from paperloom.sources.ledger import Ledger
 from paperloom.sources.tables import Snapshots
 from paperloom.streaming import ingest
 
@@ -441,6 +442,28 @@ def x1(b: Bindings) -> DataFrame:
     return snapshots.scan(INGESTED)
 
 
+@query("x1_two_streams", "SELECT CAST(o_orderkey AS VARCHAR) AS arxiv_id, o_orderpriority AS title, strftime(o_orderdate, '%Y-%m-%d') AS published FROM orders")
+def x1_two(b: Bindings) -> DataFrame:
+    """Two streams of the same files, one without a category, add to one table at the same time; each paper is there once."""
+    folder = f"{shared_folder(b.spark)}/stream-{uuid.uuid4().hex}"
+    ledger = Ledger(b.spark, f"{folder}/store")
+    build = lambda batch: batch.select(F.col("id").alias("arxiv_id"), "title", "published")
+    _metadata(b).write.json(f"{folder}/in")
+    streams = [ingest.ingest(ingest.papers(b.spark, f"{folder}/in", category), ledger, INGESTED, build, f"{folder}/progress-{category}") for category in ("cs", None)]
+    for stream in streams:
+        stream.awaitTermination()
+    return ledger.scan(INGESTED)
+
+
+@query("j1_bucketed_neighbourhood", f"SELECT a.* FROM ({_AUTHORS}) a JOIN supplier ON CAST(s_suppkey AS VARCHAR) = author_id WHERE s_acctbal < 1000")
+def j1_bucketed(b: Bindings) -> DataFrame:
+    """Edges laid out by both ends in buckets; hubs of over 500 edges are spread."""
+    name = f"edges_{uuid.uuid4().hex}"
+    adjacency.lay_out(b.authorship(), name, ("paper_arxiv_id", "author_id"), shared_folder(b.spark), buckets=16, most=500)
+    keys = b.table("supplier").where("s_acctbal < 1000").select(F.col("s_suppkey").cast("string").alias("author_id"))
+    return adjacency.neighbourhood(b.spark, name, keys)
+
+
 @query("x2_ingest_window", "SELECT o_orderkey AS paper FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1998-03-01' - 31 AND DATE '1998-03-01' - 2")
 def x2(b: Bindings) -> DataFrame:
     return ingest.window_of(b.dated(), "published", "1998-03-01", 30, 2).select("paper")

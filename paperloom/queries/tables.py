@@ -14,6 +14,7 @@ from paperloom.queries.registry import query
 from paperloom.schema import TASKS, Table
 from paperloom.session import shared_folder
 from paperloom.sources import exports, imports
+from paperloom.sources.ledger import Ledger
 from paperloom.sources.tables import Snapshots
 
 ORDERS = Table("orders_as_papers", "paper string, venue string, decision string, note string", ("paper",), narrow=("paper", "venue"), partition=("venue",), optional=("note",))
@@ -277,6 +278,35 @@ def m4(b: Bindings) -> DataFrame:
     return kept.select(F.col("o_orderkey").alias("paper"), F.lit(False).alias("deleted")).union(gone.select("o_orderkey", F.lit(True)))
 
 
+@query(
+    "m2_m4_merge_on_read",
+    "SELECT CAST(o_orderkey AS VARCHAR) AS paper, o_orderpriority AS venue, CASE WHEN o_orderkey % 7 = 0 THEN 'updated' WHEN o_orderkey % 5 = 0 AND o_custkey % 4 = 0 THEN 'again' ELSE o_orderstatus END AS decision, "
+    "CASE WHEN o_orderkey % 11 = 0 AND NOT (o_custkey % 4 = 0 AND o_orderkey % 5 = 0) THEN 'replaced' END AS note FROM orders WHERE o_orderpriority <> '1-URGENT' AND (o_custkey % 4 <> 0 OR o_orderkey % 5 = 0)",
+)
+def m2_merge_on_read(b: Bindings) -> DataFrame:
+    """A venue goes, some papers of all venues go, some are replaced, some come again, some are updated; marks and new rows are merged as they are read, after one venue is made compact too."""
+    ledger = Ledger(b.spark, _fresh(b, "ledger"))
+    orders = b.table("orders").select(F.col("o_orderkey").cast("string").alias("paper"), F.col("o_orderpriority").alias("venue"), F.col("o_orderstatus").alias("decision"), F.lit(None).cast("string").alias("note"), "o_orderkey", "o_custkey")
+    ledger.write(ORDERS, orders)
+    ledger.delete_partition(ORDERS, "1-URGENT")
+    ledger.delete(ORDERS, orders.where("o_custkey % 4 = 0").select("paper"))
+    ledger.replace(ORDERS, orders.where("o_orderkey % 11 = 0").select("paper", "venue", "decision", F.lit("replaced").alias("note")))
+    ledger.insert(ORDERS, orders.where("o_orderkey % 5 = 0 AND venue <> '1-URGENT'").withColumn("decision", F.lit("again")), ["paper"])
+    ledger.update(ORDERS, orders.where("o_orderkey % 7 = 0").select("paper", F.lit("updated").alias("decision")))
+    return ledger.scan(ORDERS)
+
+
+DOCUMENTS = Table("documents_as_papers", "paper string, lang string, source string", ("paper",))
+
+
+@query("p1_indexed_lookup", "SELECT CAST(doc_id AS VARCHAR) AS paper, lang, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+def p1_indexed(b: Bindings) -> DataFrame:
+    """By the index of key ranges and the files that can hold a key."""
+    ledger = Ledger(b.spark, _fresh(b, "ledger"))
+    ledger.write(DOCUMENTS, b.table("documents").select(F.col("doc_id").cast("string").alias("paper"), "lang", "source"))
+    return ledger.lookup(DOCUMENTS, b.table("labels").select(F.col("doc_id").cast("string").alias("paper")))
+
+
 @query("m5_insert_citations", "SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS citing_arxiv_id, CASE WHEN l_returnflag <> 'R' THEN CAST(l_partkey AS VARCHAR) END AS cited_arxiv_id, CASE WHEN l_returnflag = 'R' THEN l_linenumber END AS line FROM lineitem WHERE l_returnflag <> 'R' AND l_orderkey <> l_partkey UNION ALL SELECT CAST(l_orderkey AS VARCHAR), NULL, l_linenumber FROM lineitem WHERE l_returnflag = 'R'")
 def m5(b: Bindings) -> DataFrame:
     """M5: resolved citations are unique, unresolved ones all go in, self-citations are refused."""
@@ -406,6 +436,12 @@ def a7(b: Bindings) -> DataFrame:
     return report.fingerprint(b.table("orders").withColumnRenamed("o_orderpriority", "venue"), "o_custkey", ["venue"])
 
 
+@query("a7_whole_fingerprint", "SELECT sha256(string_agg(id, '|' ORDER BY id)) AS fingerprint FROM (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS id FROM orders)")
+def a7_whole(b: Bindings) -> DataFrame:
+    """A7 without groups: the ranges of a sort, one after another."""
+    return report.fingerprint(b.table("orders"), "o_custkey")
+
+
 @query("a10_review_ratings", "SELECT c_custkey, count(o_orderkey) AS n_reviews, round(avg(o_totalprice), 7) AS mean_rating FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
 def a10(b: Bindings) -> DataFrame:
     found = report.ratings(b.table("customer"), b.table("orders").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", "o_totalprice")
