@@ -6,7 +6,7 @@ overlapping steps; and its length. The machine adds a linear term and pairwise i
 linear time by half the difference of the squared sum and the sum of squares.
 
 Executors turn whole texts into features, at most ``N_FEATURES`` for a text of any length. Learning runs on the driver over the features of a
-bounded, deterministic sample of labelled rows (``max_rows``, the least by hash of the id); scoring is one narrow pass over whole texts.
+bounded, deterministic sample of labelled rows (``max_rows``, the least by hash of the id, and ``max_features``); scoring is one narrow pass over whole texts.
 
 Defined cases: a null or empty text is scored by its structure alone; rows without a label teach
 nothing; several labels of an id each count, once however often its row is repeated, and of an id with several texts the one of the least
@@ -21,10 +21,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.llm.words import as_bytes, slices, word_hashes_of
+from paperloom.session import written
 
 WORD_BITS = 15
 RANK = 6
@@ -149,10 +150,11 @@ def fit(bounds: np.ndarray, at: np.ndarray, values: np.ndarray, labels: np.ndarr
     return Machine(bias, linear, factors)
 
 
-def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", max_rows: int = 6000) -> Machine:
+def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", max_rows: int = 6000, max_features: int = 24_000_000) -> Machine:
     """A machine from at most ``max_rows`` labels, the least by hash of their id, and the features of their texts.
 
-    The sample is chosen among the labels alone, so its broadcast to the texts has that bound; what reaches the driver are max_rows sparse rows.
+    The sample is chosen among the labels alone, so its broadcast to the texts has that bound. Of these rows the first by hash reach the driver whose features come to at most ``max_features`` (12 bytes
+    each), so that many long texts do not burst it.
     """
     chosen = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_id"), F.col(label).cast("double").alias("_label"))
     chosen = chosen.withColumn("_h", F.xxhash64("_id")).orderBy("_h", "_id", "_label").limit(max_rows)
@@ -169,7 +171,11 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     kind = known.schema["_id"].dataType.simpleString()
     found = known.select("_id", "_text", F.xxhash64("_text").alias("_mark")).mapInArrow(run, f"_id {kind}, _mark long, _at array<int>, _values array<double>")
     one = found.groupBy("_id").agg(F.min_by(F.struct("_at", "_values"), "_mark").alias("_row"))
-    table = one.join(F.broadcast(chosen), "_id").orderBy("_h", "_id", "_label").select("_row.*", "_label").toArrow().combine_chunks()
+    one = written(one.join(F.broadcast(chosen), "_id"))  # at most max_rows, as the labels
+    order = Window.orderBy("_h", "_id", "_label")
+    sizes = one.select("_h", "_id", "_label", F.size("_row._at").cast("long").alias("_n")).withColumn("_place", F.row_number().over(order)).withColumn("_sum", F.sum("_n").over(order))
+    kept = sizes.where(F.col("_sum") <= max_features).agg(F.coalesce(F.max("_place"), F.lit(0))).first()[0]
+    table = one.orderBy("_h", "_id", "_label").limit(kept).select("_row.*", "_label").toArrow().combine_chunks()
     labels = (np.asarray(table.column("_label").to_pylist(), dtype=float) > 0.5).astype(float)
     if not len(labels):
         return fit(np.zeros(1, np.int64), np.empty(0, np.int64), np.empty(0), labels)
