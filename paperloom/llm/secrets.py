@@ -1,8 +1,8 @@
 """Secret scans: three base patterns, and a token-efficiency test for other random strings.
 
 A run of key-like characters that a tokenizer's vocabulary covers badly (few characters a token)
-is random text. Digests of known lengths, integrity digests, UUIDs, paths of plain names, dates and numbers are identifiers, not secrets, and are
-left out before the test; so is what a base span covers already, but not the rest of its run.
+is random text. Digests of known lengths, integrity digests, UUIDs, dates, numbers of books, preprints, parcels and bank accounts, and names, paths and versions whose every part is a number or a
+word are identifiers, not secrets, and are left out of the test; letters alone count only with four consonants in a row or three at two places, as words of poor cover that can be spoken are no keys; so is what a base span covers already, but not the rest of its run.
 
 One narrow pass over whole texts without a shuffle. Spans are in code points, end exclusive.
 
@@ -42,6 +42,13 @@ KNOWN = re.compile(
     r"|/?(?:[A-Z]?[a-z]+(?:[_-][a-z]+)*[0-9]*|[0-9]+)(?:/(?:[A-Z]?[a-z]+(?:[_-][a-z]+)*[0-9]*|[0-9]+))+/?"
     r"|[0-9+/_=-]+|\d{4}-?\d\d-?\d\d[T_-]\d\d(?:[_-]?\d\d){0,2}(?:Z|[+-]\d\d(?:-?\d\d)?)?)"
 )
+#: Identifiers of other kinds: book, preprint and parcel numbers, Roman numerals.
+NUMBERS = re.compile(r"ISBN(?:-?1[03])?[-:]?[0-9-]{9,16}[0-9Xx]|(?i:arxiv)[-:_]?\d{4}[-_.]?\d{4,5}(?:v\d+)?|1Z\d{3}[0-9A-Z]{13}|[IVXLCDM]+|[ivxlcdm]+")
+ACCOUNT = re.compile(r"[A-Z]{2}\d{2}[A-Z0-9]{11,30}")
+#: A part of a name: a number, or letters with a short number before or after them.
+PART = re.compile(r"\d*|(?:\d{1,3})?([A-Za-z]?[a-z]*|[A-Z]+)(?:\d{1,8}[a-z]?\d{0,3})?")
+_PARTS = re.compile(r"[_+/=-]+|(?<=[a-z])(?=[A-Z][a-z])")
+_CONSONANTS = re.compile(r"(?i)[b-df-hj-np-tv-xz]{4}|[b-df-hj-np-tv-xz]{3}[aeiouy].*[b-df-hj-np-tv-xz]{3}")
 #: A date at the start is left out of the test, not what follows it.
 DATE = re.compile(r"^\d{4}-?\d\d-?\d\d[T_-]")
 _DIGIT, _LETTER, _CHANGE = re.compile(r"\d"), re.compile(r"[A-Za-z]"), re.compile(r"[a-z](?=[A-Z])")
@@ -53,6 +60,25 @@ MOST_LETTERS_A_TOKEN = 1.7
 Span = tuple[str, int, int]
 
 
+def _is_account(word: str) -> bool:
+    """Whether a bank account number's check digits are right."""
+    return bool(ACCOUNT.fullmatch(word)) and int("".join(str(int(c, 36)) for c in word[4:] + word[:4])) % 97 == 1
+
+
+def _is_name(word: str, encoder: tiktoken.Encoding) -> bool:
+    """Whether every part of a snake, kebab or camel name, path or triplet is a number or a word (with a number) that the vocabulary covers well; one short word in four may be covered badly."""
+    parts = _PARTS.split(word)
+    poor = 0
+    for part in parts:
+        m = PART.fullmatch(part)
+        if not m:
+            return False
+        letters = m[1] or ""
+        if len(letters) > 3 and len(letters) <= MOST_CHARS_A_TOKEN * len(encoder.encode_ordinary(letters)):
+            poor += 1 if len(letters) < 7 else len(parts)
+    return len(parts) > 1 and poor <= len(parts) // 4
+
+
 def base_spans(text: str) -> list[Span]:
     found: list[Span] = []
     low = text.lower()
@@ -90,13 +116,15 @@ def random_spans(text: str, taken: list[Span], encoder: tiktoken.Encoding, most:
     found = []
     for low, high in _uncovered(CANDIDATE.finditer(text), taken):
         word = text[low:high]
-        if KNOWN.fullmatch(word):
+        if KNOWN.fullmatch(word) or NUMBERS.fullmatch(word):
             continue
         rest = DATE.sub("", word)
         if len(rest) < LEAST_LENGTH or not _LETTER.search(rest):
             continue
         mixed = _DIGIT.search(rest) or len(_CHANGE.findall(rest)) >= 4
-        if len(rest) <= (most if mixed else min(most, MOST_LETTERS_A_TOKEN)) * len(encoder.encode_ordinary(rest)):
+        if not mixed and not _CONSONANTS.search(rest):
+            continue  # words that can be spoken
+        if len(rest) <= (most if mixed else min(most, MOST_LETTERS_A_TOKEN)) * len(encoder.encode_ordinary(rest)) and not _is_account(word) and not _is_name(rest, encoder):
             found.append(("random", low, high))
     return found
 

@@ -66,6 +66,26 @@ def test_random_strings_of_every_layout():
         assert found(text) == [], text
 
 
+def test_identifiers_and_words_are_no_secrets(spark):
+    encoder = tokenizer.encoding(tokenizer.read_ranks())
+    names = "ISBN978-3-16-148410-0 1Z999AA10123456784 arXiv2301_01234v2 /usr/lib/x86_64-linux-gnu/libc Foo_Bar_Baz_Qux_12 MMXXIVMCMXCIX v1.2.3-rc4-20240101 GB82WEST12345698765432 aarch64-unknown-linux-gnu com_example_app_v2 DESLELEEUXOU laaieaueuxtre Donaudampfschiffahrt internationalization"
+    for name in names.split():
+        assert [k for k, _, _ in secrets.spans(f"of {name} there", encoder)[1] if k == "random"] == [], name
+    for key in ("sk_live_Zk9Jq3LpX8wV2tRb7Yc", "xqzkvwpjhtrbgfmd", "ghp-Zk9Jq3LpX8wV2tRb7YcAq0", "Ab3_x9Kq2Zp7Lw4V"):
+        assert [k for k, _, _ in secrets.spans(f"of {key} there", encoder)[1] if k == "random"] == ["random"], key
+
+
+def test_no_random_strings_in_text_without_secrets():
+    """False spans among the words of documents, which hold no random strings: at most one in a million words."""
+    import duckdb
+
+    encoder, found, words = tokenizer.encoding(tokenizer.read_ranks()), 0, 0
+    for (text,) in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet' WHERE text IS NOT NULL").fetchall():
+        words += len(text.split())
+        found += sum(kind == "random" for kind, _, _ in secrets.spans(text, encoder)[1])
+    assert found <= words / 1e6
+
+
 def test_precision_and_recall_of_random_strings():
     """Planted random strings of many layouts in prose against words, paths, identifiers and digests: figures for the README."""
     import random
@@ -367,3 +387,12 @@ def test_split_tree_has_the_law_of_a_shuffled_deal(spark):
     for k, n in quotas.items():
         variance = n * 20 / 80 * (60 / 80) * ((80 - n) / 79)
         assert abs(got[k].mean(axis=0) - n / 4).max() < 5 * (variance / 20) ** 0.5 and 0.4 < got[k].var(axis=0).mean() / variance < 1.9
+
+
+def test_quality_learns_from_a_bounded_number_of_features(spark):
+    docs = spark.createDataFrame([(i, "clean words of the river " * 9 if i % 2 else "spam !!! $$$ 99 " * 9) for i in range(60)], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    few = quality.learn(docs, labels, max_features=5)
+    assert {r["score"] for r in quality.score(docs, few).collect()} == {0.5}
+    got = quality.score(docs, quality.learn(docs, labels, max_features=800)).collect()
+    assert all((r["score"] > 0.5) == (r["doc_id"] % 2 == 1) for r in got)
