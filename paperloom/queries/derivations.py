@@ -358,6 +358,48 @@ def g2(b: Bindings) -> DataFrame:
     return report.counts_by_type(nodes).select(F.lit("node").alias("kind"), "type", "n").union(report.counts_by_type(edges).select(F.lit("edge"), "type", "n"))
 
 
+def _sql_digest(columns: str, source: str, *named: str) -> str:
+    """The row of report.digest in SQL, after the named constants."""
+    text = ", ".join(f"coalesce(CAST({c} AS VARCHAR), '<null>')" for c in columns.split())
+    return f"SELECT {''.join(f'{n}, ' for n in named)}count(*) AS n, CAST(coalesce(sum(('0x' || substr(md5(concat_ws('|', {text})), 1, 15))::BIGINT), 0) AS VARCHAR) AS digest FROM ({source})"
+
+
+_CHUNKS = (
+    f"SELECT CAST(doc_id AS VARCHAR) AS paper, i // 2 AS g, CASE WHEN i % 2 = 0 THEN i + i // 2 ELSE i + i // 2 + 1 END AS at, i, trim(line || ' \\citep{{k' || (i % 3) || ', k' || (i % 5) || '}} see \\ref{{fig:' || (i // 2) || '}}.') AS content FROM ({_LINES}) "
+    f"UNION ALL SELECT CAST(doc_id AS VARCHAR), i // 2, i + i // 2 + 1, NULL, '\\begin{{equation}}x=' || (i // 2) || '\\end{{equation}}' FROM ({_LINES}) WHERE i % 2 = 0"
+).replace(" AS at,", " AS place,")
+_PAIRED = f"SELECT paper || ':text_' || place AS source, paper || ':text_' || lead(place) OVER (PARTITION BY paper, g ORDER BY place) AS target FROM ({_CHUNKS})"
+
+
+@query(
+    "g2_graph_content",
+    " UNION ALL ".join(
+        [
+            _sql_digest("id type paper content", "SELECT CAST(doc_id AS VARCHAR) AS id, 'paperNode' AS type, CAST(doc_id AS VARCHAR) AS paper, NULL AS content FROM documents", "'paperNode' AS type"),
+            _sql_digest("id type paper content", f"SELECT paper || ':text_' || place AS id, 'textNode' AS type, paper, content FROM ({_CHUNKS})", "'textNode'"),
+            _sql_digest("id type paper content", f"SELECT doc_id || ':img_' || g || '.png' AS id, 'figureNode' AS type, doc_id AS paper, 'img/' || g || '.pdf' AS content FROM ({_GROUPS})", "'figureNode'"),
+            _sql_digest("source target type", "SELECT doc_id AS source, '0' AS target, 'citing_edge' AS type FROM documents", "'citing_edge'"),
+            _sql_digest("source target type", f"SELECT paper || ':text_' || place AS source, paper AS target, 'current_paper_edge' AS type FROM ({_CHUNKS}) WHERE i % 3 = 0 OR i % 5 = 0", "'current_paper_edge'"),
+            _sql_digest("source target type", f"SELECT paper || ':text_' || place AS source, paper || ':img_' || g || '.png' AS target, 'ref_figure' AS type FROM ({_CHUNKS}) WHERE i IS NOT NULL", "'ref_figure'"),
+            _sql_digest("source target type", f"SELECT source, target, 'adjacent_chunk_edge' AS type FROM ({_PAIRED}) WHERE target IS NOT NULL UNION ALL SELECT target, source, 'adjacent_chunk_edge' FROM ({_PAIRED}) WHERE target IS NOT NULL", "'adjacent_chunk_edge'"),
+        ]
+    ),
+)
+def g2_content(b: Bindings) -> DataFrame:
+    """G2, G3 by content: a digest of each type of node and edge."""
+    tex = b.tex()
+    citations = tex.select("paper_id", F.lit("k0").alias("key"), F.lit("0").alias("target"))
+    figures = latex.figures(tex).select("paper_id", "label", F.col("figure_paths").alias("paths"))
+    tables = latex.tables(tex).select("paper_id", "label", F.col("tabular").alias("content"))
+    nodes, edges = graph.heterogeneous(latex.chunks(latex.sections(tex)), citations, figures, tables)
+    out = None
+    for df, columns, types in ((nodes, ("id", "type", "paper_id", "content"), ("paperNode", "textNode", "figureNode")), (edges, ("source", "target", "type"), ("citing_edge", "current_paper_edge", "ref_figure", "adjacent_chunk_edge"))):
+        for kind in types:
+            row = report.digest(df.where(F.col("type") == kind), *columns).select(F.lit(kind).alias("type"), "n", "digest")
+            out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query(
     "g4_arxiv_build",
     f"WITH g AS (SELECT count(*) AS n FROM ({_GROUPS})), d AS (SELECT count(*) AS n FROM documents), l AS (SELECT count(*) AS n FROM ({_LINES}) WHERE i % 2 = 0 OR line <> ''), c AS (SELECT count(*) AS n FROM documents) "
@@ -370,6 +412,10 @@ def g2(b: Bindings) -> DataFrame:
 )
 def g4(b: Bindings) -> DataFrame:
     """G4, S5 (the document's shape): every table out of paper graphs and metadata, counted."""
+    return _counted(_built(b))
+
+
+def _built(b: Bindings) -> dict[str, DataFrame]:
     metadata = b.table("documents").select(
         F.concat(F.lit("2301."), F.lpad(F.col("doc_id").cast("string"), 5, "0")).alias("id"), F.element_at(F.split("text", "\n"), 1).alias("title"), F.lit("a").alias("abstract"), F.array("source").alias("authors"), F.lit("2024-01-02").alias("published"),
         F.array("lang").alias("categories"), F.lit("u").alias("url"),
@@ -378,7 +424,40 @@ def g4(b: Bindings) -> DataFrame:
     references = b.table("documents").select(  # each names the title of the key without a cited id
         F.col("doc_id").cast("string").alias("citing_arxiv_id"), F.lit("2301.00009").alias("cited_arxiv_id"), F.lit("Title k3").alias("cited_paper_name"), F.lit(1).alias("at")
     )
-    return _counted(build.arxiv_tables(b.paper_graphs(), metadata, authors, references))
+    return build.arxiv_tables(b.paper_graphs(), metadata, authors, references)
+
+
+_SECTION_TEXT = f"SELECT doc_id, i // 2 AS g, string_agg(line, chr(10) || chr(10) ORDER BY i) || ' \\cite{{k0, k' || (i // 2 % 4) || '}} \\ref{{fig:' || (i // 2) || '}} \\ref{{tab:' || (i // 2) || '}}' AS content FROM ({_LINES}) GROUP BY 1, 2"
+_SECTION_ROWS = f"SELECT row_number() OVER (ORDER BY CAST(doc_id AS VARCHAR), g) AS id, doc_id, g, content, 'S' || lpad(CAST(g AS VARCHAR), 4, '0') AS title, g > 1 AS appendix, g + 1 AS section FROM ({_SECTION_TEXT})"
+_PARAGRAPH_ROWS = (
+    "SELECT *, row_number() OVER (ORDER BY CAST(doc_id AS VARCHAR), place) AS id, place - min(place) OVER (PARTITION BY doc_id, g) AS paragraph FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY g, part) - 1 AS place FROM ("
+    f"SELECT id AS section_id, doc_id, g, title, generate_subscripts(string_split(content, chr(10) || chr(10)), 1) AS part, trim(unnest(string_split(content, chr(10) || chr(10)))) AS content FROM ({_SECTION_ROWS})) WHERE content <> '')"
+)
+_FIGURE_ROWS = f"SELECT row_number() OVER (ORDER BY CAST(doc_id AS VARCHAR), g, k) AS id, doc_id, 'img/' || CASE k WHEN 0 THEN 'f' ELSE 'p' END || g || '.pdf' AS path, CASE k WHEN 0 THEN 'C' || g ELSE 'part' END AS caption, CASE k WHEN 0 THEN '\\label{{fig:' || g || '}}' END AS label FROM ({_GROUPS}), (VALUES (0), (1)) t(k)"
+_TABLE_ROWS = f"SELECT row_number() OVER (ORDER BY CAST(doc_id AS VARCHAR), g) AS id, doc_id, 'T' || g AS caption, '\\label{{tab:' || g || '}}' AS label, g AS table_text FROM ({_GROUPS})"
+_CONTENTS = {
+    "arxiv_papers": ("id arxiv_id base_arxiv_id title", "id arxiv arxiv title", "SELECT row_number() OVER (ORDER BY doc_id) AS id, '2301.' || lpad(CAST(doc_id AS VARCHAR), 5, '0') AS arxiv, string_split(text, chr(10))[1] AS title FROM documents"),
+    "arxiv_sections": ("id content title appendix paper_arxiv_id section_in_paper_id", "id content title appendix doc_id section", _SECTION_ROWS),
+    "arxiv_paragraphs": ("id paragraph_id content paper_arxiv_id paper_section section_id paragraph_in_paper_id", "id paragraph content doc_id title section_id place", _PARAGRAPH_ROWS),
+    "arxiv_figures": ("id paper_arxiv_id path caption label", "id doc_id path caption label", _FIGURE_ROWS),
+    "arxiv_tables": ("id paper_arxiv_id caption label table_text", "id doc_id caption label table_text", _TABLE_ROWS),
+    "arxiv_paper_figures": ("paper_arxiv_id figure_id", "doc_id id", _FIGURE_ROWS),
+    "arxiv_paper_tables": ("paper_arxiv_id table_id", "doc_id id", _TABLE_ROWS),
+    "arxiv_citations": (
+        "id citing_arxiv_id cited_arxiv_id bib_key bib_title citing_sections", "id doc_id cited bib_key title section",
+        "SELECT row_number() OVER (ORDER BY CAST(doc_id AS VARCHAR), k) AS id, doc_id, CASE WHEN k < 3 THEN '2301.0000' || k ELSE '2301.00009' END AS cited, 'k' || k AS bib_key, 'title k' || k AS title, 'S' || k AS section FROM documents, (VALUES (0), (1), (2), (3)) t(k)",
+    ),
+}
+
+
+@query("g4_build_content", " UNION ALL ".join(_sql_digest(sql, source, f"'{name}' AS name") for name, (_, sql, source) in _CONTENTS.items()))
+def g4_content(b: Bindings) -> DataFrame:
+    """G4 by content: a digest of each of the tables that hold papers, their parts and their citations, with the ids that the build gives."""
+    tables, out = _built(b), None
+    for name, (columns, _, _) in _CONTENTS.items():
+        row = report.digest(tables[name], *columns.split()).select(F.lit(name).alias("name"), "n", "digest")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 def _counted(tables: dict[str, DataFrame]) -> DataFrame:
