@@ -46,16 +46,17 @@ STRONG = frozenset(
     " recommendations trending widget widgets popup modal overlay pagination pager paging tagcloud teaser teasers outbrain taboola paywall menu menus searchform".split()
 )
 #: Words that do so alone or with words of place, but not at the end of any other name.
-WEAK = frozenset(
-    "aside rail foot banner banners header head notice notices alert alerts warning disclaimer subscription register search form comment reply replies respond discussion feedback reader readers"
-    " review reviews social follow popular skip hidden copyright legal toc".split()
-)
+EXACT = frozenset("aside rail foot banner banners subscription register search form comment reply replies respond social skip hidden".split())
+#: Words that do so too, but that in an article may label one of its parts.
+WEAK = frozenset("header head notice notices alert alerts warning disclaimer discussion feedback reader readers review reviews follow popular copyright legal toc".split())
 #: Words of place, form and number that may stand beside these.
 PLACES = frozenset(
     "site page global main primary secondary top bottom left right upper lower inner outer mobile desktop sticky fixed floating area areas list links link item items container wrapper wrap box"
     " block section bar row col column panel group posts stories articles buttons button icons icon slot unit holder region zone home user users post blog entry article thread tree count first last one two nofollow"
-    " jp wp".split()
+    " jp wp media thumbnail small large customer customers visitor visitors guest guests".split()
 )
+#: Names of text that is not shown.
+UNSEEN = frozenset("visually-hidden visuallyhidden sr-only screen-reader-text screen-reader-only a11y-hidden".split())
 #: A header of these is the article's own.
 OWN_HEADS = frozenset("article entry post story section content chapter block item row col column group first last".split())
 #: Words at the start of a class that speak of a state or of something else on the page.
@@ -77,15 +78,16 @@ NONE, SOME, SURE = 0, 1, 2
 def name_evidence(name: str) -> int:
     """What one class or id says: SURE that it is not the article, SOME, or NONE."""
     words = [w.lower() for w in _WORDS.findall(name)]
+    if name.lower() in UNSEEN:
+        return SURE
     if not words or words[0] in FLAGS and len(words) > 1:
         return NONE
-    bad = [w for w in words if w in STRONG or w in WEAK]
-    if not bad:
+    if not any(w in STRONG or w in EXACT or w in WEAK for w in words):
         return NONE
     if words[-1] in ("header", "head") and any(w in OWN_HEADS for w in words[:-1]):
         return NONE
-    if len(words) == 1 or all(w in STRONG or w in WEAK or w in PLACES for w in words):
-        return SURE if any(w in STRONG for w in bad) else SOME
+    if all(w in STRONG or w in EXACT or w in WEAK or w in PLACES for w in words):
+        return SURE if any(w in STRONG or w in EXACT for w in words) else SOME
     return SURE if words[-1] in STRONG else NONE
 
 
@@ -259,7 +261,7 @@ def _dropped(page: Page) -> list[bool]:
 
     Let R be the text, without that of links, outside all branches with evidence against them. The largest such branch is looked at first. It is kept, and what is in it is looked
     at in its turn, if an article or main element in it has more text than R and there is none outside; or if it has more than R and the page's h1; or, unless
-    its own tag is the evidence, if it has more than nine times R.
+    its own tag is the evidence or an h1 is outside, if it has more than nine times R.
     """
     n, tags, parents = len(page.tags), page.tags, page.parents
     plain, article, h1, inside = [0] * n, [0] * n, [False] * n, [0] * n
@@ -268,12 +270,14 @@ def _dropped(page: Page) -> list[bool]:
     for e in range(1, n):
         linked[e] = linked[parents[e]] or tags[e] == "a"
         in_article[e] = in_article[parents[e]] or page.article[e]
+    links = [0] * n
     for e, text in page.events:
-        if e >= 0 and not page.hard[e] and not linked[e]:
-            plain[e] += len(text.strip())
+        if e >= 0 and not page.hard[e]:
+            (links if linked[e] else plain)[e] += len(text.strip())
     for e in range(n - 1, 0, -1):
         p = parents[e]
         plain[p] += plain[e]
+        links[p] += links[e]
         if page.article[e] and page.says[e] != SURE:
             article[e] = max(article[e], plain[e])
         article[p] = max(article[p], article[e])
@@ -295,18 +299,21 @@ def _dropped(page: Page) -> list[bool]:
         said = page.says[e]
         if tags[e] in SOFT or header[e] or tags[e] == "header" and not in_article[e] and inside[e]:
             said = SURE
-        elif said == SOME and in_article[e] and not inside[e]:
-            said = NONE  # in an article a single common word labels one of its parts
+        elif said == SOME and in_article[e] and not inside[e] and links[e] <= plain[e]:
+            said = NONE  # in an article a single common word labels one of its parts, if that is no list of links
         elif page.article[e] and said == SOME:
             said = NONE
         evidence[e] = said
     below = [0] * n  # text of the topmost branches with evidence that are strictly inside
     free = [False] * n  # whether there are articles outside these
+    title = [False] * n  # whether there is an h1 outside these
     for e in range(n - 1, 0, -1):
         below[parents[e]] += plain[e] if evidence[e] else below[e]
         free[e] = free[e] or page.article[e] and plain[e] > 0
         free[parents[e]] = free[parents[e]] or free[e] and not evidence[e]
-    rest, outside = plain[0] - below[0], free[0]
+        title[e] = title[e] or tags[e] == "h1" and not page.hard[e]
+        title[parents[e]] = title[parents[e]] or title[e] and not evidence[e]
+    rest, outside, titled = plain[0] - below[0], free[0], title[0]
     out = list(page.hard)
     children: dict[int, list[int]] = {}  # topmost branches with evidence, by the one that they are in
     owner = [0] * n
@@ -320,8 +327,8 @@ def _dropped(page: Page) -> list[bool]:
     while heap:
         _, e = heapq.heappop(heap)
         by_tag = tags[e] in SOFT or tags[e] == "header"
-        if article[e] > rest and not outside or h1[e] and plain[e] > rest and tags[e] != "header" or not by_tag and plain[e] > 9 * rest:
-            rest, outside = rest + plain[e] - below[e], outside or free[e]
+        if article[e] > rest and not outside or h1[e] and plain[e] > rest and tags[e] != "header" or not by_tag and not titled and plain[e] > 9 * rest:
+            rest, outside, titled = rest + plain[e] - below[e], outside or free[e], titled or title[e]
             for inner in children.get(e, ()):
                 heapq.heappush(heap, (-plain[inner], inner))
         else:

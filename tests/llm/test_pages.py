@@ -60,9 +60,9 @@ def test_ids_of_headings_and_sections_are_titles():
 
 
 def test_what_names_say():
-    for name in ("sidebar", "site-footer", "leftSidebar", "main-nav", "ad-slot", "ads_top", "comments-area", "related-posts", "widget-area", "cookie-banner", "newsletter-signup", "nav-links", "user-comments", "post-sidebar", "share-buttons"):
+    for name in ("sidebar", "site-footer", "leftSidebar", "main-nav", "ad-slot", "ads_top", "comments-area", "related-posts", "widget-area", "cookie-banner", "newsletter-signup", "nav-links", "user-comments", "post-sidebar", "share-buttons", "search", "comment", "post-comment"):
         assert name_evidence(name) == 2, name
-    for name in ("search", "site-header", "notice", "legal", "follow", "toc"):
+    for name in ("site-header", "notice", "legal", "follow", "toc"):
         assert name_evidence(name) == 1, name
     for name in ("has-sidebar", "no-footer", "with-comments", "is-menu", "entry-header", "article-header", "review-body", "long-form-text", "menu-design", "content", "main", "", "42"):
         assert name_evidence(name) == 0, name
@@ -92,6 +92,20 @@ def test_layouts(layout, comment):
     assert only(LAYOUTS[layout].replace("COMMENT", comment)) == WANT
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div id=header><a href=/>Site</a></div><div role=main>{}</div><div id=footer>Foot text of the site</div>", "<div class=cookie-notice><p>" + "We use cookies to do things. " * 30 + "</p></div><div class=content>{}</div>",
+        "<div id=content><div class=post>{}</div><div id=disqus_thread><p>" + "Comments of readers. " * 30 + "</p></div></div><div id=sidebar>Side</div>", "<article>{}<div class=comment>Nice one</div><ul class=comment-list><li>Two</ul></article>",
+        "<div role=main><div class=toc><h2>Contents</h2><ul><li><a href=#a>The first one</a><li><a href=#b>The second one</a></ul></div>{}</div>", "<table><tr><td><table class=nav><tr><td>A<td>B</table><td>{}<td class=ads>Buy this</table>",
+        "<a class=skip-link href=#c>Skip</a><div class=visually-hidden>Menu</div><div id=c>{}</div><div class=customer-reviews>Great</div>", "<article>{}<aside class=pullquote>Quoted</aside></article>", "<form id=all><div class=header>Logo</div><div class=main>{}</div><div class=footer>ft</div></form>",
+        "<div id=page><main><article class='node node--full'>{}</article><section class=comments-wrapper><article class=comment><p>" + "Long comment. " * 50 + "</p></article></section></main><div class='column sidebar'>Side</div></div>",
+    ],
+)
+def test_more_layouts(page):
+    assert only("<body>" + page.replace("{}", BODY) + "</body>") == WANT
+
+
 def test_menus_without_names_and_pages_without_articles():
     menu = "<div><a href=1>Home</a> <a href=2>World news</a> <a href=3>Sport</a> | <a href=4>All of it</a></div>"
     assert only(f"<body>{menu}<div>{BODY}</div>{menu}</body>") == WANT
