@@ -50,15 +50,15 @@ def fingerprint(ids: DataFrame, name: str, by: list[str] | None = None) -> DataF
     return rows.mapInArrow(run, ", ".join([*kinds, "fingerprint string"]))
 
 
-def digest(df: DataFrame, *columns: str) -> DataFrame:
-    """One row (n, digest) for a table's content, whatever the order of its rows: the sum of a number for each row, out of the MD5 of its columns as text.
+def digest(df: DataFrame, *columns: str, by: str | None = None) -> DataFrame:
+    """One row (n, digest) for a table's content, or one for each value of ``by``, whatever the order of its rows: the sum of a number for each row, out of the MD5 of its columns as text.
 
     Arrays are joined by commas, nulls written as <null>. Other engines can compute the same; sums of equal tables are equal, and repeated rows count.
     """
     kinds = dict(df.dtypes)
     text = [F.concat_ws(",", c) if kinds[c].startswith("array") else F.coalesce(F.col(c).cast("string"), F.lit("<null>")) for c in columns]
     number = F.conv(F.substring(F.md5(F.concat_ws("|", *text)), 1, 15), 16, 10).cast("decimal(38,0)")
-    return df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(number), F.lit(0)).cast("string").alias("digest"))
+    return df.groupBy(*([by] if by else [])).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(number), F.lit(0)).cast("string").alias("digest"))
 
 
 def ratings(papers: DataFrame, reviews: DataFrame, key: str, rating: str) -> DataFrame:

@@ -392,12 +392,7 @@ def g2_content(b: Bindings) -> DataFrame:
     figures = latex.figures(tex).select("paper_id", "label", F.col("figure_paths").alias("paths"))
     tables = latex.tables(tex).select("paper_id", "label", F.col("tabular").alias("content"))
     nodes, edges = graph.heterogeneous(latex.chunks(latex.sections(tex)), citations, figures, tables)
-    out = None
-    for df, columns, types in ((nodes, ("id", "type", "paper_id", "content"), ("paperNode", "textNode", "figureNode")), (edges, ("source", "target", "type"), ("citing_edge", "current_paper_edge", "ref_figure", "adjacent_chunk_edge"))):
-        for kind in types:
-            row = report.digest(df.where(F.col("type") == kind), *columns).select(F.lit(kind).alias("type"), "n", "digest")
-            out = row if out is None else out.unionByName(row)
-    return out
+    return report.digest(nodes, "id", "type", "paper_id", "content", by="type").unionByName(report.digest(edges, "source", "target", "type", by="type"))
 
 
 @query(
