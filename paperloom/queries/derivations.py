@@ -10,6 +10,7 @@ from paperloom.operators import graph, latex, link, match, notes, pdftext, repor
 from paperloom.plans import build
 from paperloom.plans.bindings import Bindings
 from paperloom.queries.registry import query
+from paperloom.session import written
 
 _RAW = "SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents"
 #: Clean lines in SQL, as Bindings.clean_lines has them: doc_id, i, line.
@@ -389,9 +390,9 @@ def g2_content(b: Bindings) -> DataFrame:
     """G2, G3 by content: a digest of each type of node and edge."""
     tex = b.tex()
     citations = tex.select("paper_id", F.lit("k0").alias("key"), F.lit("0").alias("target"))
-    figures = latex.figures(tex).select("paper_id", "label", F.col("figure_paths").alias("paths"))
-    tables = latex.tables(tex).select("paper_id", "label", F.col("tabular").alias("content"))
-    nodes, edges = graph.heterogeneous(latex.chunks(latex.sections(tex)), citations, figures, tables)
+    figures = written(latex.figures(tex).select("paper_id", "label", F.col("figure_paths").alias("paths")))  # the graph reads each of them more than once
+    tables = written(latex.tables(tex).select("paper_id", "label", F.col("tabular").alias("content")))
+    nodes, edges = graph.heterogeneous(written(latex.chunks(latex.sections(tex))), citations, figures, tables)
     return report.digest(nodes, "id", "type", "paper_id", "content", by="type").unionByName(report.digest(edges, "source", "target", "type", by="type"))
 
 
