@@ -72,6 +72,10 @@ class Ledger:
             return 0
         return max((int(s.getPath().getName()[:12]) for s in system.listStatus(path) if s.getPath().getName().endswith(".json") and s.getPath().getName()[0] != "."), default=0)
 
+    @staticmethod
+    def _local(system) -> bool:
+        return system.getUri().getScheme() == "file"
+
     def _put(self, name: str, number: int, state: dict) -> bool:
         """The commit, if none has its number yet."""
         jvm, body = self.spark.sparkContext._jvm, json.dumps(state)
@@ -80,7 +84,7 @@ class Ledger:
         stream = system.create(draft, False)
         stream.write(body.encode())
         stream.close()
-        if system.getUri().getScheme() == "file":  # a link is made or refused in one step, a local rename is not
+        if self._local(system):  # a link is made or refused in one step, a local rename is not
             try:
                 os.link(draft.toUri().getPath(), target.toUri().getPath())
                 return True
@@ -90,7 +94,7 @@ class Ledger:
                 system.delete(draft, False)
         context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
         try:
-            rename = getattr(jvm, "org.apache.hadoop.fs.Options$Rename")
+            rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
             options = self.spark.sparkContext._gateway.new_array(rename, 1)
             options[0] = rename.NONE
             context.rename(draft, target, options)
