@@ -154,8 +154,18 @@ def parsed(c: Column | str, commands: str = "", environments: str = "", bare: st
     return _function(*(frozenset(x.split()) for x in (commands, environments, bare)))(c)
 
 
+@lru_cache(maxsize=64)
+def _items_function(commands: frozenset[str], environments: frozenset[str], bare: frozenset[str]):
+    @F.pandas_udf(ArrayType(_ITEM))
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([parse(t, commands, environments, bare)[0] for t in texts])
+
+    return run
+
+
 def items(c: Column | str, commands: str = "", environments: str = "", bare: str = "") -> Column:
-    return parsed(c, commands, environments, bare)["items"]
+    """The items alone, as parsed() has them."""
+    return _items_function(*(frozenset(x.split()) for x in (commands, environments, bare)))(c)
 
 
 @lru_cache(maxsize=64)
