@@ -191,7 +191,7 @@ class Ledger:
         for c in first:
             writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
         writer.parquet(f"{self.folder}/{table.name}/{identifier}")
-        written = self.spark.read.parquet(f"{self.folder}/{table.name}/{identifier}")
+        written = self.spark.read.schema(out.schema).parquet(f"{self.folder}/{table.name}/{identifier}")  # of no rows there is no file to tell the schema
         file = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
         written = written.withColumn("_path", F.regexp_extract(file, rf"({table.name}/{identifier}/.*)$", 1))
         key = F.col(first[0]).cast("string") if first else F.lit(None).cast("string")

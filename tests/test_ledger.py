@@ -177,3 +177,12 @@ def test_a_number_is_given_once(spark, tmp_path, monkeypatch, local):
     assert not ledger._put("papers", 1, state) and ledger._put("papers", 2, state | {"number": 2}) and not ledger._put("papers", 2, state)
     assert ledger.version("papers") == 2 and rows(ledger.scan(PAPERS)) == [("x", "a", 1)]
     assert sorted(p.name for p in Path(tmp_path, "papers/log").iterdir() if not p.name.endswith(".crc")) == ["000000000001.json", "000000000002.json"]
+
+
+def test_a_batch_without_new_keys_changes_nothing(spark, tmp_path):
+    """As when another writer has brought all of its rows before."""
+    ledger = Ledger(spark, str(tmp_path))
+    new = papers(spark, [("v", "a", 1), ("w", "b", 2)])
+    assert [ledger.insert(PAPERS, new, ["n"]) for _ in range(2)] == [1, 1]
+    ledger.delete(PAPERS, spark.createDataFrame([("z",)], "paper string"))
+    assert ledger.version("papers") == 1 and rows(ledger.scan(PAPERS)) == [("v", "a", 1), ("w", "b", 2)]
