@@ -185,12 +185,13 @@ def with_inputs(files: DataFrame) -> DataFrame:
 
 
 def base_info(papers: DataFrame, metadata: DataFrame, text: str = "tex") -> DataFrame:
-    """(paper_id, title, author, bibliographies); catalogue values win over those of the LaTeX."""
+    """(paper_id, title, author, bibliographies); catalogue values win over those of the LaTeX, where an empty argument is none."""
     names = F.concat(_all(text, r"\\bibliography\{([^}]+)\}"), _all(text, r"\\addbibresource(?:\[[^\]]*\])?\{([^}]+)\}"))
     names = F.filter(F.flatten(F.transform(names, lambda n: F.transform(F.split(n, ","), lambda x: F.regexp_replace(F.trim(x), r"\.bib$", "")))), lambda x: x != "")
     heads = tex.items(text, "title author")
     first = lambda name: F.try_element_at(tex.named(heads, name), F.lit(1))["value"]
-    own = papers.select("paper_id", X.drop_markup(first("title")).alias("_title"), X.drop_markup(first("author")).alias("_author"), names.alias("bibliographies"))
+    shown = lambda name: F.nullif(X.drop_markup(first(name)), F.lit(""))
+    own = papers.select("paper_id", shown("title").alias("_title"), shown("author").alias("_author"), names.alias("bibliographies"))
     out = own.join(metadata.select("paper_id", "title", "author"), "paper_id", "left")
     return out.select("paper_id", F.coalesce("title", "_title").alias("title"), F.coalesce("author", "_author").alias("author"), "bibliographies")
 

@@ -49,6 +49,7 @@ def test_title_similarity_scores_whole_titles(spark, tmp_path):
 
 ODD = {  # documents of odd forms: without a text, with an empty first line or none but empty ones, with signs only
     "f6_f12_macros": [(1, "first\n\nthird"), (2, ""), (3, "\u00e9\u00e9\nx y"), (4, None)],
+    "t13_base_info": [(1, "\nsecond"), (2, ""), (3, "first"), (4, None), (5, "\u00e9!"), (7, None)],
 }
 
 
