@@ -8,13 +8,13 @@ from __future__ import annotations
 
 import json
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from paperloom.functions import tex
 from paperloom.functions import text as X
+from paperloom.functions.slices import by_slices
 from paperloom.operators import link
 from paperloom.session import written
 
@@ -34,7 +34,7 @@ def without_comments(c: Column | str) -> Column:
 
 def sections(papers: DataFrame, text: str = "tex", paper: str = "paper_id") -> DataFrame:
     """(paper, section_in_paper_id from 1, title, content, appendix) in document order; of a section with a short title the long one counts."""
-    out = papers.select(paper, F.posexplode(tex.items(text, "section", bare="appendix")).alias("at", "s"))
+    out = papers.select(paper, F.posexplode(tex.items(text, "section", bare="appendix", fields="name value content")).alias("at", "s"))
     out = out.select(paper, "at", F.col("s.name").alias("name"), F.col("s.value").alias("title"), F.trim(F.col("s.content")).alias("content"))
     mark = F.col("name") == "appendix"
     order = Window.partitionBy(paper).orderBy("at")
@@ -68,6 +68,7 @@ def citations(parts: DataFrame, paper: str = "paper_id") -> DataFrame:
 
 
 _DESCRIBING = "caption label includegraphics subfloat"
+_ARGUMENTS = "name option value"
 
 
 def _described(found: Column) -> list[Column]:
@@ -81,9 +82,9 @@ def _described(found: Column) -> list[Column]:
 
 def tables(papers: DataFrame, text: str = "tex", paper: str = "paper_id") -> DataFrame:
     """(paper, at, original, caption, label, tabular) of the table environments; the last label wins."""
-    rows = papers.select(paper, F.posexplode(tex.items(text, environments="table")).alias("at", "t")).select(paper, "at", F.col("t.whole").alias("original"))
-    tabular = F.try_element_at(tex.items("original", environments="tabular tabularx tabulary array"), F.lit(1))["whole"]
-    rows = rows.select(paper, "at", "original", tabular.alias("tabular"), tex.items("original", "caption label").alias("found"))
+    rows = papers.select(paper, F.posexplode(tex.items(text, environments="table", fields="whole")).alias("at", "t")).select(paper, "at", F.col("t.whole").alias("original"))
+    tabular = F.try_element_at(tex.items("original", environments="tabular tabularx tabulary array", fields="whole"), F.lit(1))["whole"]
+    rows = rows.select(paper, "at", "original", tabular.alias("tabular"), tex.items("original", "caption label", fields=_ARGUMENTS).alias("found"))
     return rows.select(paper, "at", "original", *_described(F.col("found"))[:2], "tabular")
 
 
@@ -93,11 +94,11 @@ def figures(papers: DataFrame, text: str = "tex", paper: str = "paper_id") -> Da
     Sub-figures are the outermost subfigure, minipage and subfloat parts that hold an image; the paths, labels and
     captions of such parts do not count for the figure around them.
     """
-    rows = papers.select(paper, F.posexplode(tex.items(text, environments="figure")).alias("at", "f")).select(paper, "at", F.col("f.whole").alias("original"))
-    split = rows.withColumn("split", tex.parsed("original", "subfloat", "subfigure minipage"))
+    rows = papers.select(paper, F.posexplode(tex.items(text, environments="figure", fields="whole")).alias("at", "f")).select(paper, "at", F.col("f.whole").alias("original"))
+    split = rows.withColumn("split", tex.parsed("original", "subfloat", "subfigure minipage", fields="whole"))
     parts = F.filter(F.transform("split.items", lambda p: p["whole"]), lambda p: p.contains("\\includegraphics"))
-    rows = split.select(paper, "at", "original", parts.alias("parts"), tex.items("split.rest", _DESCRIBING).alias("own"))
-    rows = rows.withColumn("inner", F.arrays_zip("parts", tex.items_of_each("parts", _DESCRIBING).alias("items")))
+    rows = split.select(paper, "at", "original", parts.alias("parts"), tex.items("split.rest", _DESCRIBING, fields=_ARGUMENTS).alias("own"))
+    rows = rows.withColumn("inner", F.arrays_zip("parts", tex.items_of_each("parts", _DESCRIBING, _ARGUMENTS).alias("items")))
     parts = F.transform("inner", lambda p: F.struct(p["parts"].alias("original"), *_described(p["items"])))
     return rows.select(paper, "at", "original", *_described(F.col("own")), parts.alias("subfigures"))
 
@@ -108,7 +109,7 @@ BLOCKS = {"equation": "equation align gather multline eqnarray displaymath", "al
 
 def blocks(papers: DataFrame, text: str = "tex", paper: str = "paper_id") -> DataFrame:
     """(paper, kind, at, content) of equations and algorithms, the outermost of each family."""
-    each = [papers.select(paper, F.lit(kind).alias("kind"), F.posexplode(tex.items(text, environments=names)).alias("at", "b")) for kind, names in BLOCKS.items()]
+    each = [papers.select(paper, F.lit(kind).alias("kind"), F.posexplode(tex.items(text, environments=names, fields="whole")).alias("at", "b")) for kind, names in BLOCKS.items()]
     return each[0].unionByName(each[1]).select(paper, "kind", "at", F.col("b.whole").alias("content"))
 
 
@@ -161,7 +162,7 @@ def with_inputs(files: DataFrame) -> DataFrame:
     then joins the open inclusions of all papers with the files, until none is open. Rounds are as many as inclusions nest, and are written tables.
     """
     stem = lambda c: F.regexp_replace(F.trim(c), r"^\./|\.tex$", "")
-    found = files.select("paper_id", "file", stem("file").alias("name"), tex.parsed("content", "input include").alias("p"), F.col("content").contains("\\begin{document}").alias("main"))
+    found = files.select("paper_id", "file", stem("file").alias("name"), tex.parsed("content", "input include", fields="value content").alias("p"), F.col("content").contains("\\begin{document}").alias("main"))
     after = F.transform("p.items", lambda x: F.coalesce(x["content"], F.lit("")))
     head = F.expr("left(p.rest, length(p.rest) - aggregate(p.items, 0, (n, x) -> n + length(coalesce(x.content, ''))))")
     pieces = F.arrays_zip(F.concat(F.array(head), after).alias("text"), F.concat(F.transform("p.items", lambda x: stem(x["value"])), F.array(F.lit(None).cast("string"))).alias("include"))
@@ -188,7 +189,7 @@ def base_info(papers: DataFrame, metadata: DataFrame, text: str = "tex") -> Data
     """(paper_id, title, author, bibliographies); catalogue values win over those of the LaTeX, where an empty argument is none."""
     names = F.concat(_all(text, r"\\bibliography\{([^}]+)\}"), _all(text, r"\\addbibresource(?:\[[^\]]*\])?\{([^}]+)\}"))
     names = F.filter(F.flatten(F.transform(names, lambda n: F.transform(F.split(n, ","), lambda x: F.regexp_replace(F.trim(x), r"\.bib$", "")))), lambda x: x != "")
-    heads = tex.items(text, "title author")
+    heads = tex.items(text, "title author", fields="name value")
     first = lambda name: F.try_element_at(tex.named(heads, name), F.lit(1))["value"]
     shown = lambda name: F.nullif(X.drop_markup(first(name)), F.lit(""))
     own = papers.select("paper_id", shown("title").alias("_title"), shown("author").alias("_author"), names.alias("bibliographies"))
@@ -198,7 +199,7 @@ def base_info(papers: DataFrame, metadata: DataFrame, text: str = "tex") -> Data
 
 def abstracts(papers: DataFrame, text: str = "tex") -> DataFrame:
     """(paper_id, abstract): the environment's text without commands."""
-    body = F.try_element_at(tex.items(text, environments="abstract"), F.lit(1))["content"]
+    body = F.try_element_at(tex.items(text, environments="abstract", fields="content"), F.lit(1))["content"]
     return papers.select("paper_id", F.trim(F.regexp_replace(X.drop_commands(body), r"^\s+|\s+$", "")).alias("abstract"))
 
 
@@ -224,22 +225,22 @@ def document_tables(documents: DataFrame) -> DataFrame:
     return rows.select("paper_arxiv_id", "at", F.lit(None).cast("string").alias("path"), F.col("t.caption").alias("caption"), F.col("t.label").alias("label"), F.col("t.tabular").alias("table_text"))
 
 
-@F.pandas_udf(ArrayType(StructType([StructField(name, StringType()) for name in ("path", "caption", "label")])))
-def _figure_nodes(texts: pd.Series) -> pd.Series:
-    """The nodes of figure trees in JSON, a parent before its children, whatever their depth."""
-    out = []
-    for text in texts:
-        nodes, waiting = [], [json.loads(text)] if text else []
-        while waiting:
-            node = waiting.pop()
-            if isinstance(node, list):
-                waiting += reversed(node)
-            elif isinstance(node, dict):
-                paths = node.get("figure_paths") or [None]
-                nodes.append({"path": paths[0], "caption": node.get("caption"), "label": node.get("label")})
-                waiting.append(node.get("subfigures"))
-        out.append(nodes)
-    return pd.Series(out)
+def _nodes(text: str | None) -> list[dict]:
+    """The nodes of a figure tree in JSON, a parent before its children, whatever its depth."""
+    nodes, waiting = [], [json.loads(text)] if text else []
+    while waiting:
+        node = waiting.pop()
+        if isinstance(node, list):
+            waiting += reversed(node)
+        elif isinstance(node, dict):
+            paths = node.get("figure_paths") or [None]
+            nodes.append({"path": paths[0], "caption": node.get("caption"), "label": node.get("label")})
+            waiting.append(node.get("subfigures"))
+    return nodes
+
+
+_NODES = pa.list_(pa.struct([(name, pa.string()) for name in ("path", "caption", "label")]))
+_figure_nodes = by_slices("array<struct<path: string, caption: string, label: string>>", lambda texts: pa.array([_nodes(t) for t in texts], _NODES))
 
 
 def document_figures(documents: DataFrame) -> DataFrame:

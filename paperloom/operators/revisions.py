@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+
+from paperloom.functions.slices import by_slices
 
 CONTEXT = 3
 PREFIX = 10
@@ -104,9 +105,10 @@ def _of_pair(old: str | None, new: str | None) -> list[dict[str, str]]:
     return out
 
 
-@F.pandas_udf(ArrayType(StructType([StructField(name, StringType()) for name in _FIELDS])))
-def _hunks(old: pd.Series, new: pd.Series) -> pd.Series:
-    return pd.Series([_of_pair(x, y) for x, y in zip(old, new, strict=True)])
+_hunks = by_slices(
+    f"array<struct<{', '.join(f'{name}: string' for name in _FIELDS)}>>",
+    lambda old, new: pa.array([_of_pair(x, y) for x, y in zip(old, new, strict=True)], pa.list_(pa.struct([(name, pa.string()) for name in _FIELDS]))),
+)
 
 
 def hunks(pairs: DataFrame) -> DataFrame:

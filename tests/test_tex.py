@@ -195,3 +195,20 @@ def test_plans_keep_the_rows_where_they_are(spark):
     papers = spark.createDataFrame([("p", TEX)], "paper_id string, tex string")
     plan = latex.figures(papers)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and latex.figures(papers).where(F.size("subfigures") == 2).count() == 1
+
+
+def test_a_task_holds_a_slice_of_a_batch(spark):
+    """Whatever the size of a batch of rows, what is made of them leaves in slices of bounded size."""
+    import pyarrow as pa
+
+    from paperloom.functions import slices
+
+    texts = pa.array(["x" * 400_000] * 5 + [None, "y" * 3_000_000, ""] + ["z"] * 2500)
+    found = list(slices.cuts([texts]))
+    assert [a for a, _ in found] == [0, *[b for _, b in found[:-1]]] and found[-1][1] == len(texts)
+    assert all(b - a == 1 or b - a <= slices.ROWS and sum(len(t or "") for t in texts[a:b].to_pylist()) <= slices.SLICE for a, b in found)
+    lists = pa.array([["x" * 600_000], None, ["x" * 600_000, None], []])
+    assert list(slices.cuts([lists])) == [(0, 2), (2, 4)]
+    sizes = slices.by_slices("long", lambda rows: pa.array([len(rows)] * len(rows), pa.int64()))
+    got = [r[0] for r in spark.range(2500, numPartitions=1).select(sizes(F.lit("t").substr(F.lit(1), F.col("id") % 2 + 1))).collect()]
+    assert got == [1000] * 2000 + [500] * 500
