@@ -18,6 +18,8 @@ from paperloom.session import checkpoint
 
 #: Characters of a gram by which near titles meet.
 GRAM = 5
+#: Characters from which on titles are scored without a bound before: the bound takes time with the square of the length.
+LONG = 1000
 
 
 def _lcs(a: str, b: str) -> int:
@@ -33,11 +35,26 @@ def _lcs(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
+def _shared(a: str, b: str) -> int:
+    """Length of the common beginning, by halving."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if a[low:middle] == b[low:middle] else (low, middle - 1)
+    return low
+
+
 def indel_ratio(a: str | None, b: str | None) -> float | None:
     if a is None or b is None:
         return None
     total = len(a) + len(b)
-    return 100.0 if not total else 200.0 * _lcs(a, b) / total
+    if not total:
+        return 100.0
+    first = _shared(a, b)  # equal beginnings and ends belong to some longest common subsequence
+    a, b = a[first:], b[first:]
+    last = _shared(a[::-1], b[::-1])
+    a, b = a[: len(a) - last], b[: len(b) - last]
+    return 200.0 * (first + last + _lcs(a, b)) / total
 
 
 @F.pandas_udf(DoubleType())
@@ -54,7 +71,8 @@ def scored(pairs: DataFrame, a: str, b: str, threshold: int) -> DataFrame:
     la, lb = F.length(a), F.length(b)
     budget = F.floor((100 - threshold) * (la + lb) / 100).cast("int")
     near = pairs.where(F.abs(la - lb) <= budget).withColumn("_budget", budget)
-    near = near.where(F.expr(f"levenshtein({a}, {b}, _budget)") >= 0)
+    longest = F.greatest(la, lb)  # no pair can exceed the budget, or the exact score is cheaper than its bound
+    near = near.where((F.col("_budget") >= longest) | (longest > LONG) | (F.expr(f"levenshtein({a}, {b}, _budget)") >= 0))
     other = F.when(F.col(a) != F.col(b), F.col(a))  # a null costs no comparison
     return near.withColumn("score", F.coalesce(_score(other, F.col(b)), F.lit(100.0))).where(F.col("score") >= threshold).drop("_budget")
 

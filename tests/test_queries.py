@@ -67,3 +67,16 @@ def test_odd_documents_equal_sql(spark, tmp_path, name):
     columns = sorted(got.columns)
     want = connection.execute(f"SELECT {', '.join(columns)} FROM ({entry.oracle_sql()[name]})").fetchall()
     assert plain([tuple(r) for r in got.select(*columns).collect()]) == plain(want)
+
+
+def test_only_what_differs_is_scored(monkeypatch):
+    from paperloom.operators import match
+
+    seen, whole = [], match._lcs
+    monkeypatch.setattr(match, "_lcs", lambda a, b: seen.append((a, b)) or whole(a, b))
+    title = "abcd efgh " * 3000
+    assert match.indel_ratio(title, title[:3] + title[4:]) == 200.0 * (len(title) - 1) / (2 * len(title) - 1)
+    assert max(len(a) + len(b) for a, b in seen) == 1
+    for a, b in [("", ""), ("a", ""), ("aa", "a"), ("abcab", "acb"), ("xay", "xby"), ("aba", "ababa")]:
+        total = len(a) + len(b)
+        assert match.indel_ratio(a, b) == (200.0 * whole(a, b) / total if total else 100.0)
