@@ -8,16 +8,22 @@ Arrow-batched function. Null and blank titles never match.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, LongType
 
 from paperloom.functions import text as X
 from paperloom.session import checkpoint
 
 #: Characters of a gram by which near titles meet.
 GRAM = 5
+#: Buckets of grams whose frequencies the driver holds.
+BUCKETS = 1 << 16
 #: Characters from which on titles are scored without a bound before: the bound takes time with the square of the length.
 LONG = 1000
 
@@ -122,11 +128,20 @@ def _rare_grams(titles: DataFrame, threshold: int) -> DataFrame:
     grams = F.transform(F.when(length < GRAM, F.array("title")).otherwise(every), lambda x: F.xxhash64(x))
     longest = length * (200 - threshold) / threshold  # where a title's partner contains it
     most = (F.floor((100 - threshold) * (length + longest) / 100) * GRAM + 1).cast("int")
-    each = titles.select("side", "key", length.alias("length"), most.alias("most"), F.explode(F.array_distinct(grams)).alias("gram"))
-    each = checkpoint(each.withColumn("bucket", F.pmod("gram", F.lit(1 << 16))))
-    often = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("often"))  # at most 65,536 rows
-    ordered = each.join(F.broadcast(often), "bucket").groupBy("side", "key", "length", "most").agg(F.array_sort(F.collect_list(F.struct("often", "gram"))).alias("grams"))
-    return ordered.select("side", "key", "length", F.explode(F.slice("grams", F.lit(1), F.col("most"))).alias("g")).select("side", "key", "length", F.col("g.gram").alias("gram"))
+    each = titles.select("side", "key", length.alias("length"), most.alias("most"), F.array_distinct(grams).alias("grams"))
+    counted = each.select(F.explode("grams").alias("gram")).groupBy(F.pmod("gram", F.lit(BUCKETS)).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("often")).collect()  # at most BUCKETS rows
+    often = np.zeros(BUCKETS, dtype=np.int64)
+    for row in counted:
+        often[row["bucket"]] = row["often"]
+
+    @F.arrow_udf(ArrayType(LongType()))
+    def rarest(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for lists, wanted in batches:
+            for grams, n in zip(lists, wanted.to_pylist(), strict=True):  # a title at a time
+                values = grams.values.to_numpy(zero_copy_only=False)
+                yield pa.array([values[np.lexsort((values, often[values % BUCKETS]))[:n]]], pa.list_(pa.int64()))
+
+    return each.select("side", "key", "length", F.explode(rarest("grams", "most")).alias("gram"))
 
 
 def near_titles(left: DataFrame, right: DataFrame, threshold: int = 97) -> DataFrame:

@@ -80,3 +80,13 @@ def test_only_what_differs_is_scored(monkeypatch):
     for a, b in [("", ""), ("a", ""), ("aa", "a"), ("abcab", "acb"), ("xay", "xby"), ("aba", "ababa")]:
         total = len(a) + len(b)
         assert match.indel_ratio(a, b) == (200.0 * whole(a, b) / total if total else 100.0)
+
+
+def test_grams_of_near_titles_are_not_written(spark, monkeypatch):
+    """Of a title's grams only the rarest, as many as its partners need, leave its row."""
+    from paperloom.operators import match
+
+    kept = []
+    monkeypatch.setattr(match, "checkpoint", lambda df: kept.append(df) or df)
+    titles = spark.createDataFrame([("l", 1, "".join(chr(97 + i * i % 23) + str(i) for i in range(200)))], "side string, key long, title string")
+    assert match._rare_grams(titles, 97).count() < 250 and not kept
