@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import text as X
 from paperloom.operators.store import first_match
+from paperloom.session import written
 
 
 def neighbourhood(edges: DataFrame, keys: DataFrame, nodes: DataFrame | None = None, far: str | None = None, node_key: str | None = None) -> DataFrame:
@@ -122,8 +123,9 @@ def resolved_chunks(chunks: DataFrame, citations: DataFrame, labels: DataFrame)
     chunks: paper_id, chunk_id, content; citations: paper_id, key, target; labels: paper_id, label, target. ``isolation`` marks
     chunks that resolve nothing.
     """
-    cited = chunks.select("paper_id", "chunk_id", F.explode(X.cites("content")).alias("key")).distinct().join(citations, ["paper_id", "key"])
-    referred = chunks.select("paper_id", "chunk_id", F.explode(X.refs("content")).alias("label")).distinct().join(labels, ["paper_id", "label"])
+    named = written(chunks.select("paper_id", "chunk_id", X.cites("content").alias("keys"), X.refs("content").alias("names")))  # contents are searched once
+    cited = named.select("paper_id", "chunk_id", F.explode("keys").alias("key")).distinct().join(citations, ["paper_id", "key"])
+    referred = named.select("paper_id", "chunk_id", F.explode("names").alias("label")).distinct().join(labels, ["paper_id", "label"])
     key = ["paper_id", "chunk_id"]
     cites = cited.groupBy(*key).agg(F.array_sort(F.collect_set("target")).alias("cites"))
     refs = referred.groupBy(*key).agg(F.array_sort(F.collect_set("target")).alias("refs"), F.array_sort(F.collect_set("label")).alias("ref_labels"))
