@@ -16,7 +16,9 @@ def _c(c: C) -> Column:
 
 def normalize_title(c: C) -> Column:
     """Lower case, trimmed, single spaces; null becomes ''."""
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(_c(c), F.lit(""))), r"\s+", " "))
+    low = F.lower(F.coalesce(_c(c), F.lit("")))
+    odd = reduce(Column.__or__, [F.contains(low, F.lit(x)) for x in ("  ", "\t", "\n", "\x0b", "\f", "\r")])  # the others are as the pattern would leave them
+    return F.trim(F.when(odd, F.regexp_replace(low, r"\s+", " ")).otherwise(low))
 
 
 def clean_title(c: C) -> Column:

@@ -2,7 +2,8 @@
 
 The score is the Indel ratio, 100 * (1 - indel / (la + lb)) with indel = la + lb - 2 * LCS. Candidates
 meet on an equality key; a length band and Spark's bounded ``levenshtein`` leave few pairs, as
-levenshtein <= indel <= 2 * levenshtein. Only survivors are scored, by a bit-parallel LCS in an
+levenshtein <= indel <= 2 * levenshtein; where the sides carry marks, bits of these bound the indel
+distance for a few instructions a pair. Only survivors are scored, by a bit-parallel LCS in an
 Arrow-batched function. Null and blank titles never match.
 """
 
@@ -13,11 +14,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, LongType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from paperloom.functions import text as X
+from paperloom.functions.slices import ROWS, SLICE, cuts
 from paperloom.session import checkpoint
 
 #: Characters of a gram by which near titles meet.
@@ -72,13 +75,49 @@ def _score_all(a: pd.Series, b: pd.Series) -> pd.Series:
 _score = _score_all.asNondeterministic()
 
 
-def scored(pairs: DataFrame, a: str, b: str, threshold: int) -> DataFrame:
-    """Pairs of a score of ``threshold`` or more, with the score; cheap bounds come first."""
-    la, lb = F.length(a), F.length(b)
+#: A count modulo 8 in four bits, such that one more or less flips one bit.
+_RING = np.array([0, 1, 3, 7, 15, 14, 12, 8], dtype=np.uint64)
+_PLACES = np.arange(0, 64, 4, dtype=np.uint64)
+
+
+def _marks(titles: pa.Array) -> pa.Array:
+    """Of a title its length, and in two numbers how many of 32 kinds of characters there are, by ``_RING``: each character put in or taken out flips one bit."""
+    texts = pc.fill_null(titles.cast(pa.large_binary()), b"")
+    ends = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    codes = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[ends[0] : ends[-1]]
+    last = np.append((codes[1:] & 0xC0) != 0x80, True)[: len(codes)]  # a character's last byte tells its kind
+    kinds = np.repeat(np.arange(0, 32 * len(texts), 32), np.diff(ends))[last] + (codes[last] & 31)
+    counts = np.bincount(kinds, minlength=32 * len(texts)).reshape(-1, 2, 16)
+    both = np.bitwise_or.reduce(_RING[counts & 7] << _PLACES, axis=2).view(np.int64)
+    parts = [np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1]), counts.sum(axis=(1, 2))]
+    return pa.StructArray.from_arrays([pa.array(p) for p in parts], names=["low", "high", "length"])
+
+
+@F.arrow_udf(StructType([StructField(part, LongType()) for part in ("low", "high", "length")]))
+def _marks_all(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for titles in batches:
+        if titles.nbytes <= SLICE:
+            yield from (_marks(titles[first : first + ROWS]) for first in range(0, len(titles), ROWS))
+        else:
+            yield from (_marks(titles[first:after]) for first, after in cuts([titles]))
+
+
+#: struct<low, high, length> of a title, by which ``scored`` leaves out pairs; marked so that it is not computed for each of its fields.
+marks = _marks_all.asNondeterministic()
+
+
+def scored(pairs: DataFrame, a: str, b: str, threshold: int, marked: tuple[str, str] | None = None) -> DataFrame:
+    """Pairs of a score of ``threshold`` or more, with the score; cheap bounds come first. ``marked`` names the columns of marks of a and b."""
+    la, lb = [F.col(f"{side}.length") for side in marked] if marked else [F.length(a), F.length(b)]
     budget = F.floor((100 - threshold) * (la + lb) / 100).cast("int")
     near = pairs.where(F.abs(la - lb) <= budget).withColumn("_budget", budget)
-    longest = F.greatest(la, lb)  # no pair can exceed the budget, or the exact score is cheaper than its bound
-    near = near.where((F.col("_budget") >= longest) | (longest > LONG) | (F.expr(f"levenshtein({a}, {b}, _budget)") >= 0))
+    if marked:  # the few that these leave cost less to score than to bound once more
+        left, right = marked
+        flipped = [F.bit_count(F.col(f"{left}.{part}").bitwiseXOR(F.col(f"{right}.{part}"))) for part in ("low", "high")]
+        near = near.where(flipped[0] + flipped[1] <= F.col("_budget"))
+    else:
+        longest = F.greatest(la, lb)  # no pair can exceed the budget, or the exact score is cheaper than its bound
+        near = near.where((F.col("_budget") >= longest) | (longest > LONG) | (F.expr(f"levenshtein({a}, {b}, _budget)") >= 0))
     other = F.when(F.col(a) != F.col(b), F.col(a))  # a null costs no comparison
     return near.withColumn("score", F.coalesce(_score(other, F.col(b)), F.lit(100.0))).where(F.col("score") >= threshold).drop("_budget")
 
@@ -89,17 +128,23 @@ def best(df: DataFrame, query: list[str], order_by: list[str | Column]) -> DataF
     return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
+def _by_paper(rows: DataFrame, raw: str, name: str, *others: str) -> DataFrame:
+    """Rows whose title is not blank: citing_arxiv_id, the normalised title, its marks and the other columns, moved once for all that goes by paper."""
+    titles = rows.where(F.col(raw).rlike(r"\S")).select("citing_arxiv_id", *others, X.normalize_title(raw).alias(name))
+    return titles.withColumn(f"{name}_marks", marks(name)).repartition("citing_arxiv_id")
+
+
 def match_references(references: DataFrame, citations: DataFrame, threshold: int = 95) -> DataFrame:
     """(id, cited_arxiv_id, score): bib rows without a cited id, resolved by known references of the same paper.
 
     references: citing_arxiv_id, cited_arxiv_id, cited_paper_name, at. A reference goes to its best bib
     title; of bib rows with equal titles the last is meant; of references that meet one bib row the last wins.
     """
-    known = references.withColumn("name", X.normalize_title("cited_paper_name")).where("name <> ''")
-    open_rows = citations.where(X.is_blank("cited_arxiv_id")).withColumn("title", X.normalize_title("bib_title")).where("title <> ''")
-    open_rows = open_rows.groupBy("citing_arxiv_id", "title").agg(F.max("id").alias("id"))
-    pairs = known.select("citing_arxiv_id", "cited_arxiv_id", "name", "at").join(open_rows, "citing_arxiv_id")
-    top = best(scored(pairs, "name", "title", threshold), ["citing_arxiv_id", "at"], ["id"])
+    known = _by_paper(references, "cited_paper_name", "name", "cited_arxiv_id", "at")
+    open_rows = _by_paper(citations.where(X.is_blank("cited_arxiv_id")), "bib_title", "title", "id")
+    open_rows = open_rows.groupBy("citing_arxiv_id", "title", "title_marks").agg(F.max("id").alias("id"))
+    pairs = known.join(open_rows, "citing_arxiv_id")
+    top = best(scored(pairs, "name", "title", threshold, ("name_marks", "title_marks")), ["citing_arxiv_id", "at"], ["id"])
     return top.groupBy("id").agg(F.max_by("cited_arxiv_id", "at").alias("cited_arxiv_id"), F.max_by("score", "at").alias("score"))
 
 

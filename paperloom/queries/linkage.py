@@ -12,7 +12,7 @@ from paperloom.operators import adjacency, graph, link, match, store
 from paperloom.plans.bindings import Bindings
 from paperloom.queries.registry import query
 from paperloom.schema import METADATA_NAMES, Table
-from paperloom.session import shared_folder
+from paperloom.session import shared_folder, written
 from paperloom.sources.ledger import Ledger
 from paperloom.sources.tables import Snapshots
 from paperloom.streaming import ingest
@@ -187,9 +187,11 @@ def j11(b: Bindings) -> DataFrame:
 
 
 def _titles(b: Bindings) -> DataFrame:
+    """Titles by paper and part, set once for both sides of a match."""
     part = b.table("part").select(F.col("p_partkey"), F.concat(F.lit("A study of the "), "p_name", F.lit(" in "), F.lower("p_type"), F.lit(" markets and "), "p_brand").alias("name"))
-    line = b.table("lineitem").groupBy(F.col("l_orderkey").cast("string").alias("citing_arxiv_id"), "l_partkey").agg(F.min("l_linenumber").alias("l_linenumber"))
-    return line.join(part, F.col("l_partkey") == F.col("p_partkey"))
+    line = b.table("lineitem").groupBy("l_orderkey", "l_partkey").agg(F.min("l_linenumber").alias("l_linenumber"))
+    rows = line.join(part, F.col("l_partkey") == F.col("p_partkey"))
+    return written(rows.select(F.col("l_orderkey").cast("string").alias("citing_arxiv_id"), "l_partkey", "l_linenumber", "name"))
 
 
 def _edited(name: str) -> F.Column:

@@ -384,3 +384,30 @@ def test_literals_as_python_reads_them():
         except TypeError:  # JSON has no sets, and a broken text may turn out to be one
             continue
         assert got is not None and json.loads(got) == expected, text
+
+
+def test_marks_bound_the_indel_distance():
+    """No more bits differ than characters are put in or taken out, in any script; lengths are of characters."""
+    import random
+
+    import pyarrow as pa
+
+    draw, letters = random.Random(5), "abcdefghij 09é漢ß\U0001f600"
+    words = ["", "a" * 40, *("".join(draw.choices(letters, k=draw.randrange(40))) for _ in range(60))]
+    words += [w[:k] + x + w[k + 1 :] for w in words for k, x in [(3, ""), (5, "a"), (0, "éé")]]
+    found = match._marks(pa.array(["cut off", *words, None])[1:]).to_pylist()
+    assert [f["length"] for f in found] == [*map(len, words), 0]
+    for a, x in zip(words[:70], found, strict=False):
+        for b, y in zip(words, found, strict=False):
+            flipped = sum(((x[p] ^ y[p]) & (1 << 64) - 1).bit_count() for p in ("low", "high"))
+            assert flipped <= len(a) + len(b) - 2 * match._lcs(a, b)
+
+
+def test_references_meet_by_marks_after_one_move(spark):
+    """Pairs cost no edit distance, the marks are computed once a title, and each side moves once before the pairs are made."""
+    known = spark.createDataFrame([("p", "c", "A title of some length", 1)], "citing_arxiv_id string, cited_arxiv_id string, cited_paper_name string, at long")
+    rows = spark.createDataFrame([(1, "p", None, "a  Title of some lengths"), (2, "p", None, " \t"), (3, "p", None, None)], "id long, citing_arxiv_id string, cited_arxiv_id string, bib_title string")
+    found = match.match_references(known, rows)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "levenshtein" not in plan and plan.count("_marks_all(") == 2 and plan.count("hashpartitioning(citing_arxiv_id#") - plan.count("at#") <= 2
+    assert [(r["id"], r["cited_arxiv_id"]) for r in found.collect()] == [(1, "c")]
