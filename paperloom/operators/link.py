@@ -189,7 +189,7 @@ def with_citing_paragraphs(citations: DataFrame, mentions: DataFrame) -> DataFra
 def objects_by_label(objects: DataFrame, chunks: DataFrame) -> DataFrame:
     """Chunks with the objects their labels refer to, only where there are any."""
     known = objects.select("paper_id", "label", "object")
-    refs = chunks.select("paper_id", "chunk_id", F.explode(X.refs("content")).alias("label")).distinct()
+    refs = chunks.select("paper_id", "chunk_id", F.explode_outer(X.refs("content")).alias("label")).where("label is not null").distinct()  # an inner explode searches twice, first whether there are any
     return refs.join(known, ["paper_id", "label"]).groupBy("paper_id", "chunk_id").agg(F.array_sort(F.collect_list("object")).alias("objects"))
 
 

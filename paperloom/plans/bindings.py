@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_letters, digits
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,8 +56,8 @@ class Bindings:
 
     def clean_lines(self) -> DataFrame:
         """(doc_id, lines): the lines of documents with ASCII letters, digits and blanks only."""
-        docs = self.table("documents")
-        return docs.select("doc_id", F.transform(F.split("text", "\n"), lambda x: F.trim(F.regexp_replace(x, "[^A-Za-z0-9 ]", ""))).alias("lines"))
+        docs = self.table("documents")  # characters by name are looked up in one table, ranges are tried one by one
+        return docs.select("doc_id", F.transform(F.split("text", "\n"), lambda x: F.trim(F.regexp_replace(x, f"[^{ascii_letters}{digits} ]+", ""))).alias("lines"))
 
     def tex(self) -> DataFrame:
         """(paper_id, tex): documents set as LaTeX.

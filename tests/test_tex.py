@@ -212,3 +212,25 @@ def test_a_task_holds_a_slice_of_a_batch(spark):
     sizes = slices.by_slices("long", lambda rows: pa.array([len(rows)] * len(rows), pa.int64()))
     got = [r[0] for r in spark.range(2500, numPartitions=1).select(sizes(F.lit("t").substr(F.lit(1), F.col("id") % 2 + 1))).collect()]
     assert got == [1000] * 2000 + [500] * 500
+
+
+def test_coarse_scan_has_the_environments_of_the_whole_one():
+    """Where no command of the names can be found, other tokens are passed over; comments, verbatim text and the document's end count all the same."""
+    draw = random.Random(3)
+    parts = ["\\begin{figure}", "\\end{figure}", "\\begin", "\\end", "\\begin {a*}", "\\end{a}", "\\verb|", "\\verb*|", "|", "\\verbatim", "\\begin{verbatim}", "\\end{verbatim}", "\\end{document}"]
+    parts += ["%", "% x\\begin{a}\n", "\n", "\\\\", "\\%", "\\", "{", "}", "[", "]", " ", "x", "*", "\\beginning", "\\endx"]
+    for _ in range(5000):
+        text = "".join(draw.choices(parts, k=draw.randrange(14)))
+        whole, tokens = tex._scan(text)
+        assert tex._scan(text, True) == (whole, [t for t in tokens if t[0] in ("begin", "end")])
+
+
+def test_objects_by_label_reads_figures_and_lines_once(spark, tmp_path):
+    """No Python function is left in the plan of the link, and neither lines nor references are searched for a filter before."""
+    from paperloom.queries import QUERIES
+
+    spark.createDataFrame([(1, "a\nb\nc"), (2, ""), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = QUERIES["a9_objects_by_label"](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and plan.count("regexp_extract_all(") == 1
+    assert sorted((r["paper_id"], r["pos"], r["objects"]) for r in found.collect()) == [("1", 0, "C0"), ("1", 1, "C0"), ("1", 2, "C1"), ("2", 0, "C0")]
