@@ -157,9 +157,10 @@ def resolve_citations(citations: DataFrame, references: DataFrame, threshold: in
 
 def match_bib_titles(paragraph_citations: DataFrame, candidates: DataFrame, threshold: int = 95) -> DataFrame:
     """The other way: each distinct bib title of a paper and its best candidate reference."""
-    titles = paragraph_citations.where(X.is_blank("cited_arxiv_id")).select("citing_arxiv_id", X.normalize_title("bib_title").alias("title")).where("title <> ''").distinct()
-    known = candidates.withColumn("name", X.normalize_title("cited_paper_name")).where("name <> ''").select("citing_arxiv_id", "cited_arxiv_id", "name", "at")
-    return best(scored(titles.join(known, "citing_arxiv_id"), "title", "name", threshold), ["citing_arxiv_id", "title"], ["at"]).select("citing_arxiv_id", "title", "cited_arxiv_id", "score")
+    titles = _by_paper(paragraph_citations.where(X.is_blank("cited_arxiv_id")), "bib_title", "title").distinct()
+    known = _by_paper(candidates, "cited_paper_name", "name", "cited_arxiv_id", "at")
+    pairs = titles.join(known, "citing_arxiv_id")
+    return best(scored(pairs, "title", "name", threshold, ("title_marks", "name_marks")), ["citing_arxiv_id", "title"], ["at"]).select("citing_arxiv_id", "title", "cited_arxiv_id", "score")
 
 
 def _rare_grams(titles: DataFrame, threshold: int) -> DataFrame:

@@ -411,3 +411,12 @@ def test_references_meet_by_marks_after_one_move(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "levenshtein" not in plan and plan.count("_marks_all(") == 2 and plan.count("hashpartitioning(citing_arxiv_id#") - plan.count("at#") <= 2
     assert [(r["id"], r["cited_arxiv_id"]) for r in found.collect()] == [(1, "c")]
+
+
+def test_bib_titles_meet_by_marks(spark):
+    """The other way round, too, pairs cost no edit distance."""
+    mentions = spark.createDataFrame([("p", "", "a  Title of some lengths"), ("p", "", "A title of some lengths"), ("p", "", None)], "citing_arxiv_id string, cited_arxiv_id string, bib_title string")
+    known = spark.createDataFrame([("p", "c", "A title of some length", 1), ("p", "d", "Another", 2)], "citing_arxiv_id string, cited_arxiv_id string, cited_paper_name string, at long")
+    found = match.match_bib_titles(mentions, known)
+    assert "levenshtein" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [(r["title"], r["cited_arxiv_id"]) for r in found.collect()] == [("a title of some lengths", "c")]
