@@ -21,10 +21,14 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, Stru
 
 from paperloom.functions import text as X
 from paperloom.functions.slices import ROWS, SLICE, cuts
-from paperloom.session import checkpoint
+from paperloom.session import checkpoint, written
 
 #: Characters of a gram by which near titles meet.
 GRAM = 5
+#: Parts of a title, in one of which lies its one edit.
+PARTS = 8
+#: Edits up to which partners are looked for before all that a threshold allows: these meet by few grams and in narrow bands of lengths.
+FEW = 4
 #: Buckets of grams whose frequencies the driver holds.
 BUCKETS = 1 << 16
 #: Characters from which on titles are scored without a bound before: the bound takes time with the square of the length.
@@ -163,56 +167,123 @@ def match_bib_titles(paragraph_citations: DataFrame, candidates: DataFrame, thre
     return best(scored(pairs, "title", "name", threshold, ("title_marks", "name_marks")), ["citing_arxiv_id", "title"], ["at"]).select("citing_arxiv_id", "title", "cited_arxiv_id", "score")
 
 
-def _rare_grams(titles: DataFrame, threshold: int) -> DataFrame:
-    """Rows (side, key, length, gram): the first grams of each title (side, key, title), in an order of rising frequency.
+def _rare_grams(titles: DataFrame, threshold: int, edits: int | None = None) -> DataFrame:
+    """Rows (side, key, length, gram): the first grams of each title (side, key, title), in an order of rising frequency; of side r those that side l may have.
 
     An insertion or deletion changes at most ``GRAM`` of a title's grams. If at most k of them lead from one title to another, the k * GRAM + 1 first
-    grams of both, in one order of all grams, have one in common; k follows from the longest partner that the threshold allows.
+    grams of both, in one order of all grams, have one in common; k follows from the longest partner that the threshold allows, or is ``edits`` if that is less.
     """
     length = F.length("title")
     every = F.regexp_extract_all("title", F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1))  # overlapping; in one pass
     grams = F.transform(F.when(length < GRAM, F.array("title")).otherwise(every), lambda x: F.xxhash64(x))
     longest = length * (200 - threshold) / threshold  # where a title's partner contains it
-    most = (F.floor((100 - threshold) * (length + longest) / 100) * GRAM + 1).cast("int")
+    most = F.floor((100 - threshold) * (length + longest) / 100)
+    most = ((most if edits is None else F.least(most, F.lit(edits))) * GRAM + 1).cast("int")
     each = titles.select("side", "key", length.alias("length"), most.alias("most"), F.array_distinct(grams).alias("grams"))
-    counted = each.select(F.explode("grams").alias("gram")).groupBy(F.pmod("gram", F.lit(BUCKETS)).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("often")).collect()  # at most BUCKETS rows
+    bucket = F.pmod("gram", F.lit(BUCKETS)).cast("int").alias("bucket")
+    counted = each.select(F.explode("grams").alias("gram")).groupBy(bucket).agg(F.count(F.lit(1)).alias("often")).collect()  # at most BUCKETS rows
     often = np.zeros(BUCKETS, dtype=np.int64)
     for row in counted:
         often[row["bucket"]] = row["often"]
 
-    @F.arrow_udf(ArrayType(LongType()))
-    def rarest(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for lists, wanted in batches:
-            for grams, n in zip(lists, wanted.to_pylist(), strict=True):  # a title at a time
-                values = grams.values.to_numpy(zero_copy_only=False)
-                yield pa.array([values[np.lexsort((values, often[values % BUCKETS]))[:n]]], pa.list_(pa.int64()))
+    def rarest(among: np.ndarray | None = None):
+        @F.arrow_udf(ArrayType(LongType()))
+        def one(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+            for lists, wanted in batches:
+                for grams, n in zip(lists, wanted.to_pylist(), strict=True):  # a title at a time
+                    values = grams.values.to_numpy(zero_copy_only=False)
+                    values = values[np.lexsort((values, often[values % BUCKETS]))[:n]]
+                    yield pa.array([values if among is None else values[among[values % BUCKETS]]], pa.list_(pa.int64()))
 
-    return each.select("side", "key", "length", F.explode(rarest("grams", "most")).alias("gram"))
+        return F.explode(one("grams", "most")).alias("gram")
+
+    left = each.where("side = 'l'").select("side", "key", "length", rarest())
+    there = np.zeros(BUCKETS, dtype=bool)
+    there[[row["bucket"] for row in left.select(bucket).distinct().collect()]] = True
+    return left.unionByName(each.where("side = 'r'").select("side", "key", "length", rarest(there)))
+
+
+def _one_edit(lefts: DataFrame, rights: DataFrame, threshold: int) -> DataFrame:
+    """(key, right_id, score): titles (key, title; id, title) of which one has a character more than the other.
+
+    They agree before and after one of ``PARTS`` parts of the shorter title. So they meet by a hash of all but that part, and only parts are compared.
+    """
+
+    def rows(titles: DataFrame, *ways: str) -> DataFrame:
+        """A row for each part and way, where these titles are shorter in the first way and longer in the second; ``n`` is the shorter one's length.
+
+        These rows are many times what the optimiser takes them for, and so are those of grams; hence no join of them may broadcast.
+        """
+        more, n = F.col("w.more"), F.col("n")
+        each = titles.select("*", F.explode(F.array(*[F.struct(F.lit(way).alias("way"), F.lit(more).alias("more")) for more, way in enumerate(ways)])).alias("w"))
+        each = each.withColumn("n", F.length("title") - more).where(200.0 * n / (2 * n + 1) >= threshold)
+        cut = lambda j: F.floor(n * j / PARTS).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda j: F.struct(j.alias("j"), cut(j).alias("a"), (cut(j + 1) + more).alias("b")))
+        a, b = F.col("p.a"), F.col("p.b")
+        meet = F.xxhash64("w.way", "n", "p.j", F.substring("title", F.lit(1), a), F.substring("title", b + 1, F.length("title")))
+        return each.select("*", F.explode(parts).alias("p")).select(*[c for c in titles.columns if c != "title"], "n", meet.alias("meet"), F.substring("title", a + 1, b - a).alias("part"))
+
+    left = rows(lefts.select("key", "title"), "right longer", "left longer").withColumnRenamed("part", "left_part")
+    right = rows(rights.select(F.col("id").alias("right_id"), "title"), "left longer", "right longer").select("right_id", "meet", F.col("part").alias("right_part"))
+    met = left.hint("merge").join(right, "meet").where("levenshtein(left_part, right_part, 1) = 1")  # lengths differ by one
+    return met.select("key", "right_id", (200.0 * F.col("n") / (2 * F.col("n") + 1)).alias("score"))
+
+
+def _more_edits(lefts: DataFrame, rights: DataFrame, threshold: int, edits: int | None) -> DataFrame:
+    """(key, right_id, score): pairs of the threshold, titles (key, title; key, id, title) of at most so many edits or all of them.
+
+    They meet in one of their rarest grams, as many as the edits can change and one more, and in a band of lengths. Titles themselves are fetched
+    for the pairs that are left.
+    """
+    ratio = (200 - threshold) / threshold  # no partner is longer by more
+
+    def band(length: Column) -> Column:
+        return F.floor(F.log(length + 1.0) / F.log(F.lit(1.2))) if edits is None else F.floor(length / (2 * edits))
+
+    def bands(length: Column) -> Column:
+        least, most = F.floor(length / ratio), F.ceil(length * ratio)
+        return F.sequence(band(least), band(most)) if edits is None else F.sequence(band(F.greatest(least, length - edits)), band(F.least(most, length + edits)))
+
+    rights = rights.join(lefts.select(F.explode(bands(F.length("title"))).alias("band")).distinct(), band(F.length("title")) == F.col("band"), "left_semi")
+    titles = lefts.select(F.lit("l").alias("side"), "key", "title").unionByName(rights.select(F.lit("r").alias("side"), "key", "title"))
+    grams = checkpoint(_rare_grams(titles, threshold, edits))
+    length = F.col("length")
+    left = grams.where("side = 'l'").select(F.col("key").alias("left_key"), length.alias("left_length"), "gram", band(length).alias("band"))
+    right = grams.where("side = 'r'").select(F.col("key").alias("right_key"), length.alias("right_length"), "gram", F.explode(bands(length)).alias("band"))
+    apart, both = F.abs(F.col("left_length") - F.col("right_length")), F.col("left_length") + F.col("right_length")
+    near = (apart <= F.floor((100 - threshold) * both / 100)) & (apart <= (both if edits is None else edits))
+    pairs = left.hint("merge").join(right, ["gram", "band"]).where(near).select("left_key", "right_key").distinct()
+    pairs = pairs.join(lefts.select(F.col("key").alias("left_key"), F.col("title").alias("left_title")), "left_key")
+    pairs = pairs.join(rights.select(F.col("key").alias("right_key"), F.col("id").alias("right_id"), F.col("title").alias("right_title")), "right_key")
+    return scored(pairs, "left_title", "right_title", threshold).select(F.col("left_key").alias("key"), "right_id", "score")
 
 
 def near_titles(left: DataFrame, right: DataFrame, threshold: int = 97) -> DataFrame:
     """Best right title of each left one across sources: (left_id, right_id, score); of rights with one title the least id.
 
-    No pair of the threshold is lost: different titles meet in one of their rarest grams, as many as the edits that the threshold allows
-    can change and one more, and in a band of lengths. Titles themselves are fetched for the pairs that are left.
+    No pair of the threshold is lost. Equal titles and those of one edit come first, then those of few, as these cost little; each time only those left
+    titles go on for which one of more edits could be as good as the best that they have.
     """
     lefts, rights = (df.select("id", X.normalize_title("title").alias("title")).where("title <> ''").withColumn("key", F.xxhash64("title")) for df in (left, right))
-    lefts, rights = checkpoint(lefts), checkpoint(rights.groupBy("key").agg(F.min("id").alias("id"), F.min("title").alias("title")))
-    once = lefts.groupBy("key").agg(F.min("title").alias("title"))
-    grams = checkpoint(_rare_grams(once.select(F.lit("l").alias("side"), "key", "title").unionByName(rights.select(F.lit("r").alias("side"), "key", "title")), threshold))
-    band = F.floor(F.log(F.col("length") + 1.0) / F.log(F.lit(1.2)))
-
-    def side(which: str, name: str, bands: list[int]) -> DataFrame:
-        rows = grams.where(F.col("side") == which).withColumn("band", F.explode(F.array(*[band + d for d in bands])))
-        return rows.select(F.col("key").alias(f"{name}_key"), F.col("length").alias(f"{name}_length"), "gram", "band")
-
-    met = side("l", "left", [0]).join(side("r", "right", [-1, 0, 1]), ["gram", "band"])
-    near = F.abs(F.col("left_length") - F.col("right_length")) <= F.floor((100 - threshold) * (F.col("left_length") + F.col("right_length")) / 100)
-    pairs = met.where(near).select("left_key", "right_key").distinct()
-    pairs = pairs.join(once.select(F.col("key").alias("left_key"), F.col("title").alias("left_title")), "left_key")
-    pairs = pairs.join(rights.select(F.col("key").alias("right_key"), F.col("id").alias("right_id"), F.col("title").alias("right_title")), "right_key")
-    top = best(scored(pairs, "left_title", "right_title", threshold), ["left_key"], ["right_id"]).select(F.col("left_key").alias("key"), "right_id", "score")
-    return lefts.join(top, "key").select(F.col("id").alias("left_id"), "right_id", "score")
+    lefts, rights = written(lefts), written(rights.groupBy("key").agg(F.min("id").alias("id"), F.min("title").alias("title")))
+    once = written(lefts.groupBy("key").agg(F.min("title").alias("title")))
+
+    def top(found: DataFrame) -> DataFrame:
+        """The best right of each left key; the least id wins ties."""
+        least = found.groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("score"), "right_id")).alias("top"))
+        return written(least.select("key", F.col("top.right_id").alias("right_id"), (-F.col("top.score")).alias("score")))
+
+    equal = once.select("key").join(rights.select("key", F.col("id").alias("right_id")), "key").withColumn("score", F.lit(100.0))
+    best_ones = top(equal.unionByName(_one_edit(once, rights, threshold)))
+    length, done = F.length("title"), 1
+    for edits in (FEW, None):
+        other = 200.0 * length / (2 * length + done + 1)  # the highest score of a title of more edits than those done
+        open_ones = once.join(best_ones, "key", "left").where((other >= threshold) & (F.coalesce("score", F.lit(0.0)) <= other))
+        open_ones = written(open_ones.select("key", "title"))
+        if open_ones.isEmpty():
+            break
+        best_ones, done = top(best_ones.unionByName(_more_edits(open_ones, rights, threshold, edits))), edits
+    return lefts.select("id", "key").join(best_ones, "key").select(F.col("id").alias("left_id"), "right_id", "score")
 
 
 def match_statistics(df: DataFrame, matched: Column) -> DataFrame:

@@ -296,6 +296,42 @@ def test_near_titles_equal_brute_force(spark):
     assert got == want and len(want) > 50
 
 
+def test_near_titles_of_any_number_of_edits(spark):
+    """Several partners a title, of none to many edits, with ties: of all, the best one, and the least id."""
+    rng = random.Random(11)
+
+    def edited(t, n):
+        for _ in range(n):
+            i = rng.randrange(len(t) + 1)
+            t = t[:i] + t[i + 1 :] if rng.random() < 0.5 else t[:i] + rng.choice("abxé") + t[i:]
+        return t
+
+    titles = ["".join(rng.choice("abcdefgh") for _ in range(n)) for n in [1, 2, 3, 5, 15, 16, 17, 18, 32, 33, 34, 35] * 3 + [60, 90, 150, 200, 280, 400] * 6] + ["ab" * 40, "a" * 50]
+    left = list(enumerate(titles))
+    right = [(i + 100 * k, edited(t, n)) for i, t in left for k, n in enumerate(rng.choice([[0, 1], [1, 2, 2], [2, 3, 2], [3, 4, 4], [5, 6], [7, 9, 8], [12]]))]
+    rng.shuffle(right)
+    got = {r["left_id"]: (r["right_id"], r["score"]) for r in match.near_titles(*(spark.createDataFrame(x, "id int, title string") for x in (left, right))).collect()}
+    want, edits = {}, set()
+    for i, a in left:
+        best, j = min((-match.indel_ratio(a, b), j) for j, b in right if b)
+        if -best >= 97:
+            want[i] = (j, -best)
+            edits.add(round((1 + best / 100) * (len(a) + len(dict(right)[j]))))
+    assert got == want and edits >= {0, 1, 2, 3} and max(edits) > match.FEW + 1
+
+
+def test_near_titles_of_few_edits_meet_by_few_grams(spark, monkeypatch):
+    """A title's grams follow from the edits of its partner, not from those that its length allows."""
+    kept, whole = [], match.checkpoint
+    monkeypatch.setattr(match, "checkpoint", lambda df: kept.append(whole(df)) or kept[-1])
+    rng = random.Random(5)
+    titles = ["".join(rng.choice("abcdefgh") for _ in range(800)) for _ in range(30)]
+    left, right = list(enumerate(titles)), [(i, t[:6] + t[7 + i % 3 :]) for i, t in enumerate(titles)]
+    got = match.near_titles(*(spark.createDataFrame(x, "id int, title string") for x in (left, right)))
+    assert {r["left_id"]: r["right_id"] for r in got.collect()} == {i: i for i, _ in left}
+    assert sum(df.count() for df in kept) < 30 * 2 * (5 * match.FEW + 1)  # one edit: none
+
+
 def test_figure_trees_of_any_depth(spark):
     def tree(depth):
         return {"caption": f"c{depth}", "label": None, "figure_paths": [f"{depth}.pdf"], "subfigures": [tree(depth - 1), {"caption": "leaf", "figure_paths": [], "subfigures": None}] if depth > 1 else []}
