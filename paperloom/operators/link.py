@@ -124,8 +124,8 @@ def resolved_chunks(chunks: DataFrame, citations: DataFrame, labels: DataFrame)
     chunks that resolve nothing.
     """
     named = written(chunks.select("paper_id", "chunk_id", X.cites("content").alias("keys"), X.refs("content").alias("names")))  # contents are searched once
-    cited = named.select("paper_id", "chunk_id", F.explode("keys").alias("key")).distinct().join(citations, ["paper_id", "key"])
-    referred = named.select("paper_id", "chunk_id", F.explode("names").alias("label")).distinct().join(labels, ["paper_id", "label"])
+    each = lambda names, name: named.select("paper_id", "chunk_id", F.explode(F.array_distinct(names)).alias(name)).hint("merge")  # noqa: E731  a file of names is far smaller than its rows, which no driver could broadcast
+    cited, referred = each("keys", "key").join(citations, ["paper_id", "key"]), each("names", "label").join(labels, ["paper_id", "label"])
     key = ["paper_id", "chunk_id"]
     cites = cited.groupBy(*key).agg(F.array_sort(F.collect_set("target")).alias("cites"))
     refs = referred.groupBy(*key).agg(F.array_sort(F.collect_set("target")).alias("refs"), F.array_sort(F.collect_set("label")).alias("ref_labels"))

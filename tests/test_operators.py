@@ -275,6 +275,16 @@ def test_pdf_text(spark):
     assert got == [("Abstract", "We study."), ("1 Introduction", "A sentence that islong and goes on. • a list Next one."), ("1 Introduction", "Figure 1: x")]
 
 
+def test_chunks_resolve_without_broadcasts_of_their_names(spark):
+    """Rows of names are many times their file, so that its size must not send them to the driver."""
+    rows = spark.range(20000).select(F.lit("p").alias("paper_id"), F.col("id").alias("chunk_id"), F.lit(r"\cite{a, b, a} \ref{x} \ref{y} \ref{x}").alias("content"))
+    citations = spark.createDataFrame([("p", "a", "A"), ("p", "a", "A"), ("q", "b", "B")], "paper_id string, key string, target string")
+    labels = spark.createDataFrame([("p", "x", "X"), ("p", "y", "Y")], "paper_id string, label string, target string")
+    found = link.resolved_chunks(rows, citations, labels)
+    assert "Inner, Build" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in found.select(*map(F.to_json, ["cites", "refs", "ref_labels"]), "isolation").groupBy(*range(1, 5)).count().collect()] == [('["A"]', '["X","Y"]', '["x","y"]', False, 20000)]
+
+
 def test_near_titles_equal_brute_force(spark):
     """One edit anywhere, in short titles and in the middle of long ones."""
     rng = random.Random(8)
